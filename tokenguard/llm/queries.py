@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from tokenguard.llm.bpe import op1_bpe
+from tokenguard.llm.mixing import OP9_SQL, op9_mixing
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_mixing": OP9_SQL,
+}
