@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from tokenguard.llm.bpe import op1_bpe
+from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
+from tokenguard.llm.topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op6_language": op6_language,
     "op9_mixing": op9_mixing,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL = {
     "op9_mixing": OP9_SQL,
+    "op10_topk": OP10_SQL,
 }

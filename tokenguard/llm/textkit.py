@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeds(n: int, stream: int) -> np.ndarray:
     """n odd 64-bit multipliers of a stream."""
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(stream) * U64(0xD1B54A32D192ED03)) | U64(1)
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(stream * 0xD1B54A32D192ED03 % 2**64)) | U64(1)
 
 
 BYTE_CODE = seeds(256, 1)
