@@ -5,16 +5,19 @@ from __future__ import annotations
 from tokenguard.llm.bpe import op1_bpe
 from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
+from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
 from tokenguard.llm.topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op6_language": op6_language,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
 
 ORACLE_SQL = {
+    "op3_ngram_join": OP3_SQL,
     "op9_mixing": OP9_SQL,
     "op10_topk": OP10_SQL,
 }
