@@ -38,7 +38,7 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -52,3 +52,26 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int =
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+
+
+def bounded_sample(df: DataFrame, key: str, per_key: int, most_keys: int = 500) -> DataFrame:
+    """About per_key rows for each value of key, the same in every run: those whose id's hash falls under a share that
+    the counts give (all rows where there are no more). Rows with a null key or doc_id are left out; more than most_keys
+    values are refused. Nothing is shuffled but the counts."""
+    df = df.where(F.col(key).isNotNull() & F.col("doc_id").isNotNull())
+    counts = df.groupBy(key).count().orderBy(key).limit(most_keys + 1).collect()
+    if len(counts) > most_keys:
+        raise ValueError(f"{key} has more than {most_keys} values")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    within = F.lit(False)
+    for row in counts:
+        within = within | ((F.col(key) == F.lit(row[key])) & (turn < F.lit(min(1 << 30, (per_key << 30) // row["count"]))))
+    return df.where(within)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_label: int) -> DataFrame:
+    """(doc_id, text, label) of about per_label documents for each label 0 and 1. A document that has both labels, or
+    rows with other labels, are left out. The labels picked are few whatever the corpus, so they are broadcast."""
+    one = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other")).where("label = other").drop("other")
+    picked = bounded_sample(one, "label", per_label)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

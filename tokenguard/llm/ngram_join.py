@@ -29,7 +29,7 @@ from tokenguard.llm import textkit
 from tokenguard.llm.common import materialize, slices, table
 from tokenguard.llm.graph import components
 
-BUCKET_BYTES = 12 << 20  # bytes of text for each bucket of hashes
+BUCKET_BYTES = 6 << 20  # bytes of text for each bucket of hashes
 BLOCK = 768  # documents of a block in a ring that is split
 DIRECT = 256  # documents that are compared by one matrix product
 KEY_BYTES = 5  # of a hash, beside its bucket; a clash only weakens the filter of step 2
