@@ -2,7 +2,7 @@
 
 Counts of hashed 1- to 3-grams of lower-cased characters per language become one matrix of log-probabilities, whose size
 is languages x buckets and does not depend on the data; it is broadcast. Documents are scored as sparse counts of buckets
-in numpy. The model is fitted on a bounded, hash-ordered sample of labelled documents.
+in numpy. The model is fitted on a bounded, hash-chosen sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import crc_mod, slices, table
+from tokenguard.llm.common import bounded_sample, crc_mod, slices, table
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
-SAMPLE_PER_LANGUAGE = 3000  # labelled documents that the model is fitted on, at most, in hash order
+SAMPLE_PER_LANGUAGE = 3000  # labelled documents that the model is fitted on, about, chosen by their ids' hash
 LANGUAGES = 500  # the matrix is broadcast: more labels than this are refused
 UNDETERMINED = "und"
 
@@ -33,10 +33,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (languages x buckets), from (doc_id, text, lang); null labels are ignored."""
-    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    parts = 32  # ranges of the hash, so that no task ranks a whole language
-    picked = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    picked = picked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, per_language // parts))
+    picked = bounded_sample(labelled, "lang", per_language, LANGUAGES).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -52,9 +49,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing:
         total = sum(np.frombuffer(x, "<i8") for x in frame.column("counts").to_pylist())
         return pa.table({"lang": frame.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = picked.select("lang", "text").mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} labels: these are not languages")
+    rows = picked.select("lang", "text").mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").orderBy("lang").collect()
     counts = np.array([np.frombuffer(r["counts"], "<i8") for r in rows]).reshape(len(rows), BUCKETS) + smoothing
     return [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True))
 
@@ -69,7 +64,7 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             n = batch.num_rows
             buckets, rows = grams(batch.column(1))
             keys, counts = np.unique(rows * BUCKETS + buckets, return_counts=True)

@@ -6,12 +6,16 @@ from tokenguard.llm.bpe import op1_bpe
 from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
 from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
+from tokenguard.llm.quality import op7_quality
 from tokenguard.llm.topk import OP10_SQL, op10_topk
+from tokenguard.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }

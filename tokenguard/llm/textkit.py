@@ -38,11 +38,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of every row, A-Z lower-cased: 64-bit hashes, and rows' offsets into them."""
+    """Words `[^\\x20\\x09-\\x0D]+` of every row, A-Z lower-cased: 64-bit hashes, and rows' offsets into them.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        text = LOWER[data] if lower else data
-        inside = ~SPACES[text]
+    separators replaces the bytes between words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
+        text = LOWER[data]
+        inside = ~separators[text]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edges = offsets[:-1][(offsets[:-1] < len(text))]
@@ -53,7 +55,8 @@ class Words:
             ends = np.append(self.starts[1:], len(text))
             at = np.arange(self.starts[0], len(text), dtype=np.int64) - np.repeat(self.starts, ends - self.starts)
             powers = seeds(int(at.max()) + 1, 2)
-            sums = np.add.reduceat(BYTE_CODE[text[self.starts[0] :]] * powers[at], self.starts - self.starts[0])
+            code = BYTE_CODE if separators is SPACES else np.where(separators, np.uint64(0), BYTE_CODE)
+            sums = np.add.reduceat(code[text[self.starts[0] :]] * powers[at], self.starts - self.starts[0])
             self.hashes = mix(sums)
         else:
             self.hashes = np.zeros(0, U64)
