@@ -5,6 +5,7 @@ from __future__ import annotations
 from tokenguard.llm.bpe import op1_bpe
 from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
+from tokenguard.llm.near_dedup import OP2_SQL, op2_near_dedup
 from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
 from tokenguard.llm.quality import op7_quality
 from tokenguard.llm.topk import OP10_SQL, op10_topk
@@ -12,6 +13,7 @@ from tokenguard.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_dedup": op2_near_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_dedup": OP2_SQL,
     "op3_ngram_join": OP3_SQL,
     "op9_mixing": OP9_SQL,
     "op10_topk": OP10_SQL,
