@@ -7,6 +7,7 @@ from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
 from tokenguard.llm.near_dedup import OP2_SQL, op2_near_dedup
 from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
+from tokenguard.llm.ppm import op5_lm_score
 from tokenguard.llm.quality import op7_quality
 from tokenguard.llm.topk import OP10_SQL, op10_topk
 from tokenguard.llm.toxicity import op8_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op5_lm_score": op5_lm_score,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
