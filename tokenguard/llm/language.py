@@ -54,8 +54,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing:
     return [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True))
 
 
-def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpness: float = 0.2) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of (doc_id, text).
+def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpness: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+    """(kept columns, doc_id unless kept, lang_pred, score) for each row of (doc_id, text).
 
     score is the posterior of the chosen language for a uniform prior, with the evidence of each n-gram taken `sharpness`
     times since n-grams overlap. Ties go to the first language in order. Null texts, texts without any letter, and all
@@ -74,11 +74,11 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
             best = totals.argmax(1)
             odds = np.exp(totals)
             seen = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, odds.max(1) / odds.sum(1), 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, odds.max(1) / odds.sum(1), 0.0))], ["kept", "lang_pred", "score"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return df.select("doc_id", "text", letters).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    own = df.select(F.struct(*(keep or ["doc_id"])).alias("kept"), "text", letters)
+    return own.mapInArrow(run, f"kept {own.schema['kept'].dataType.simpleString()}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

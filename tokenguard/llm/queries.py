@@ -9,6 +9,7 @@ from tokenguard.llm.near_dedup import OP2_SQL, op2_near_dedup
 from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
 from tokenguard.llm.ppm import op5_lm_score
 from tokenguard.llm.quality import op7_quality
+from tokenguard.llm.secrets import op4_secrets
 from tokenguard.llm.topk import OP10_SQL, op10_topk
 from tokenguard.llm.toxicity import op8_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op4_secrets": op4_secrets,
     "op5_lm_score": op5_lm_score,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
