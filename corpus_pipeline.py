@@ -1,13 +1,72 @@
-"""A corpus cleaned in stages; each stage is a DataFrame function over what its predecessor kept."""
+"""A training corpus in five stages: language ID, near-duplicate removal, secret scans, source mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents. Rows are compared with nothing outside the docs they are given.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenguard.llm import bpe, language, mixing, ngram_join, secrets
+from tokenguard.llm.common import materialize, table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determinable language go; nulls in lang become the predicted language, labels stay."""
+    columns = docs.columns
+    found = language.predict(docs, *language.fit(docs), keep=columns).where(F.col("lang_pred") != language.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
+
+    Rows that repeat an id are one document: they stay or go together."""
+    columns = docs.columns
+    copies = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts become [SECRET]; n_chars follows the text."""
+    columns = docs.columns
+    keyed = docs.withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("text")))  # ids may repeat
+    spans = materialize(secrets.scan(keyed.select(F.col("doc_key").alias("doc_id"), "text"))).groupBy(F.col("doc_id").alias("doc_key")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    found = keyed.join(spans, "doc_key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans"))))
+    return found.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document is repeated as often as the mix takes it, so some go."""
+    columns = docs.columns
+    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.max(F.expr("cast(taken / size AS int)")).alias("copies"))
+    sized = docs.withColumn("words", mixing.word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(taken["id"]) & (sized["words"] == taken["words"])
+    return sized.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[sized[c] for c in columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the token ids and of the text they decode to, for each row."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
