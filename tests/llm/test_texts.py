@@ -1,0 +1,251 @@
+"""Joins, language, quality, toxicity, secrets, mixing and LM scores against brute force or held-out labels."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tokenguard.llm import language, mixing, ngram_join, ppm, quality, secrets, toxicity
+from tokenguard.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, shingles int"  # two names clash
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, more.get("lang"), more.get("source", "s"), 0, "", 0) for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def brute_join(texts, percent=80):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(lower(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    reach = {i: i for i in texts}
+
+    def top(i):
+        while reach[i] != i:
+            i = reach[i]
+        return i
+
+    ids = sorted(texts)
+    for x in range(len(ids)):
+        for y in range(x):
+            a, b = sets[ids[x]], sets[ids[y]]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                u, v = top(ids[x]), top(ids[y])
+                reach[max(u, v)] = min(u, v)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def copies(n, seed, words=60):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = {}
+    base = [[r.choice(vocabulary) for _ in range(words)] for _ in range(6)]
+    passage = [r.choice(vocabulary) for _ in range(50)]
+    for i in range(n):
+        w = list(r.choice(base)) if i % 3 else [r.choice(vocabulary) for _ in range(r.randint(1, words))] + passage
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts[i * 7 % 1009] = " ".join(w).capitalize()
+    return texts
+
+
+@pytest.mark.parametrize("block,direct", [(768, 256), (16, 4)])
+def test_join(spark, monkeypatch, block, direct):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    texts = copies(260, block)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, texts.items())).collect()}
+    assert got == brute_join(texts)
+
+
+def test_links_in_a_block_are_complete():
+    r = np.random.default_rng(1)
+    core = r.integers(1, 1 << 60, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core[r.random(40) < 0.9], r.integers(1, 1 << 60, 3).astype(np.uint64)])) for _ in range(120)]
+    old, ngram_join.DIRECT = ngram_join.DIRECT, 5
+    try:
+        found = list(ngram_join.links(ngram_join.Block(sets), np.arange(120), np.arange(120), 80))
+    finally:
+        ngram_join.DIRECT = old
+    tree = ngram_join.forest(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+    own = {}
+
+    def top(x):
+        while own.get(x, x) != x:
+            x = own[x]
+        return x
+
+    for u, v in tree:
+        own[max(top(u), top(v))] = min(top(u), top(v))
+    want = {i: i for i in range(120)}
+
+    def wtop(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = wtop(i), wtop(j)
+                want[max(a, b)] = min(a, b)
+    same = lambda f: {tuple(f(i) == f(j) for j in range(120)) for i in range(120)}
+    assert same(top) == same(wtop)
+
+
+def test_join_odd_rows(spark):
+    texts = [(4, "One two"), (2, "one  TWO"), (3, None), (5, ""), (6, " \n"), (7, "one two three"), (7, "one two three"), (None, "one two"), (8, "x " * 30_000), (9, "É é"), (10, "é É")]
+    got = sorted(tuple(r) for r in ngram_join.join(frame(spark, texts)).collect())
+    assert got == [(2, 1, 2), (3, 0, 3), (4, 1, 2), (5, 0, 5), (6, 0, 6), (7, 1, 7), (7, 1, 7), (8, 1, 8), (9, 1, 9), (10, 1, 10)]
+    assert ngram_join.join(frame(spark, [])).count() == 0
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = QUERIES["op6_language"](spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred").count() >= 0.97 * got.count() > 0
+    model = language.fit(docs)
+    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "the and of " * 9000), (4, "der die und"), (None, "que les")]
+    out = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict(frame(spark, rows), *model).collect()]
+    assert all(p == "und" and s == 0 for _, p, s in out[:3]) and all(p != "und" and 0 <= s <= 1 for _, p, s in out[3:])
+    assert language.predict(frame(spark, []), *model).count() == 0
+    assert [r["lang_pred"] for r in language.predict(frame(spark, [(1, "abc")]), *language.fit(frame(spark, []))).collect()] == ["und"]
+
+
+@pytest.mark.parametrize("name,column,least", [("op7_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.9)])
+def test_held_out(spark, name, column, least):
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    got = QUERIES[name](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
+    assert got.where(F.col("predicted") == F.col(column)).count() >= least * got.count() > 0
+    assert got.where("score < 0 OR score > 1").count() == 0
+
+
+def test_classifiers_odd_rows(spark):
+    odd = frame(spark, [(1, None), (2, ""), (3, "w " * 30_000), (3, "x"), (None, "y")])
+    some = spark.createDataFrame([(i, f"good word{i % 3} here" if i % 2 else f"bad! idiot{i % 3} there", i % 2) for i in range(60)], "doc_id long, text string, label int")
+    for sample in (some, some.where("label = 1"), some.limit(0)):
+        got = quality.score(odd, quality.fit(sample)).collect()
+        assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+        got = toxicity.score(odd, toxicity.fit(some, sample)).collect()
+        assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.score(odd.limit(0), quality.fit(some)).count() == 0
+
+
+def test_nearest_is_exact():
+    r = np.random.default_rng(2)
+    terms = np.sort(r.integers(1, 1 << 60, 30).astype(np.uint64))
+    rows = [r.choice(terms, r.integers(0, 9)) for _ in range(500)]
+    index = toxicity.Index(terms, r.random(30) + 0.5, rows, r.integers(0, 2, 500), np.arange(500))
+    for _ in range(50):
+        term = np.sort(r.choice(30, r.integers(1, 6), replace=False))
+        weight = r.random(len(term))
+        weight /= np.linalg.norm(weight)
+        _, cosine = index.nearest(term, weight)
+        every = weight @ index.weights[term]
+        assert np.allclose(np.sort(cosine), np.sort(every[every > 0])[-toxicity.NEIGHBOURS :])
+
+
+def test_secrets(spark):
+    key = "AKIA" + "RQM3BCG4PHUE7WNF"
+    rows = [(1, f"see {key} end"), (2, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x'), (3, "password=b7db7aa4a5fcc78305"), (4, None), (5, ""), (6, "an ordinary Constantinopolitanisch word, 4041894974608795, https://example.org/path/to/some/page.html"), (7, f" {key} " * 40), (8, "commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae done"), (1, f"see {key} end"), (9, "word " * 30_000)]
+    df = frame(spark, rows)
+    got = secrets.scan(df).collect()
+    by = collections.Counter(r["doc_id"] for r in got)
+    assert by == {1: 2, 2: 1, 3: 1, 7: 40}
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in got)
+    assert secrets.scan(df.limit(0)).count() == 0
+    spans = F.array(F.struct(F.lit(10).cast("long").alias("start"), F.lit(2).alias("length")), F.struct(F.lit(0).cast("long").alias("start"), F.lit(3).alias("length")))
+    assert spark.range(1).select(secrets.redact(F.lit("abcdefghijklmn"), spans, "#")).first()[0] == "#defghij#mn"
+
+
+def test_mixing(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(0, 40)) or None, None, [None, "a", "b", "c", "d"][min(4, r.randint(0, 9))], 0, "", 0) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert len(got) == 3000 and (got.taken <= 2 * got["size"]).all()
+    sizes = got.groupby("target").agg(taken=("taken", "sum"), size=("source_size", "first"))
+    assert (abs(sizes.taken - sizes.index) <= 20).all() and abs(sizes.index.to_numpy().sum() - 1.5 * got["size"].sum()) < 1e-6
+    again = mixing.mix(spark.createDataFrame(rows[::-1], DOCS)).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(again.itertuples(index=False, name=None))
+    uneven = mixing.mix(spark.createDataFrame(rows, DOCS).withColumn("p", F.when(F.col("doc_id") < 1500, 50.0).otherwise(0.02)), propensity="p").toPandas()
+    part = uneven[(uneven.target > uneven.source_size) & (uneven.target < 2 * uneven.source_size)]  # with copies to draw for
+    extra = (part.taken - part["size"]).groupby(part.doc_id < 1500).sum()
+    assert extra[True] > 10 * extra[False] >= 0
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(1, None, None, None, 0, "", 0), (1, "a b", None, None, 0, "", 0), (1, "a b", None, None, 0, "", 0), (None, "c", None, "x", 0, "", 0), (2, "", None, "y", 0, "", 0)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert len(got) == 5 and (got.taken <= 2 * got["size"]).all()
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def brute_ppm(training, order=ppm.ORDER):
+    counts = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in training:
+        x = [257] * order + list((t or "").encode()) + [256]
+        for p in range(order, len(x)):
+            for j in range(order + 1):
+                counts[j][tuple(x[p - j : p])][x[p]] += 1
+
+    def symbol(context, s):
+        cost, gone = 0.0, set()
+        for j in range(order, -1, -1):
+            seen = counts[j].get(tuple(context[order - j :]))
+            if seen is None:
+                continue
+            left = {k: v for k, v in seen.items() if k not in gone}
+            n = sum(left.values())
+            if n:
+                if s in left:
+                    return cost + math.log10((2 * left[s] - 1) / (2 * n))
+                cost += math.log10(len(left) / (2 * n))
+            gone |= set(seen)
+        return cost - math.log10(257 - len(gone))
+
+    def text(t):
+        x = [257] * order + list((t or "").encode()) + [256]
+        return sum(symbol(x[p - order : p], x[p]) for p in range(order, len(x)))
+
+    return symbol, text
+
+
+def test_ppm(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op5_lm_score"](spark, SMALL).collect()}
+    train = {i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    symbol, text = brute_ppm([rows[i] for i in sorted(train)])
+    words = collections.Counter(w for i in train for w in [*WORD.findall(lower(rows[i] or "")), "\n"])
+    n, v = sum(words.values()), len(words)
+    for i in sorted(rows)[:40]:
+        w = [*WORD.findall(lower(rows[i] or "")), "\n"]
+        assert got[i]["score"] == pytest.approx(text(rows[i]), rel=1e-6)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(w), sum(words[x] > 0 for x in w), n, i not in train)
+    assert sum(10 ** symbol(list(b" the "), s) for s in range(257)) == pytest.approx(1)
+
+
+def test_ppm_odd_rows(spark):
+    df = frame(spark, [(1, None), (2, ""), (3, "ab " * 20_000), (3, "ab"), (None, "é")]).withColumn("train", F.col("doc_id") != 2)
+    got, total, kinds = ppm.score(df, "train")
+    out = sorted((r["doc_id"] or 0, r["n_words"], r["score"] < 0) for r in got.collect())
+    assert out == [(0, 1, True), (1, 0, True), (2, 0, True), (3, 1, True), (3, 20000, True)] and (total, kinds) == (20001, 1)
+    got, total, kinds = ppm.score(df.withColumn("train", F.lit(False)), "train")
+    assert {r["doc_id"]: r["score"] for r in got.collect()}[2] == pytest.approx(-math.log10(257)) and total == kinds == 0
+    assert ppm.score(df.limit(0), "train")[0].count() == 0

@@ -28,7 +28,8 @@ CENTRES = 256  # of the top level, at most: they are broadcast
 CHUNK = 2048  # vectors of a chunk, about
 GROUP = 16384  # vectors of a group of chunks, about: a cell holds two groups
 LEAF = 32
-SLACK = 1e-9  # bounds are widened by more than rounding can change them
+SLACK = 1e-7  # bounds are widened by more than rounding can change them
+POINT = 1e-5  # nodes of a smaller radius are not split
 
 
 GRAM = 2 * CHUNK  # nodes of fewer vectors are split with a table of their distances
@@ -52,7 +53,7 @@ class Node:
     def split(self, x: np.ndarray) -> list[Node]:
         """The next level, made when it is first needed: greedily chosen centres that cover all within half the radius."""
         if self.children == ():
-            if self.radius <= SLACK:
+            if self.radius <= POINT:
                 self.children = None
                 return [self]
             self.children, own = [], x[self.rows]
@@ -64,7 +65,7 @@ class Node:
                     near = np.flatnonzero(alive & (far <= self.radius * self.radius / 4))
                     near = near if alive[i] and i in near[:1] else np.union1d(near, [i])
                     alive[near] = False
-                    self.children.append(Node(x, self.rows[near], own[i], math.sqrt(max(0.0, float(far[near].max()))) + 1e-7 * (len(near) > 1)))
+                    self.children.append(Node(x, self.rows[near], own[i], math.sqrt(max(0.0, float(far[near].max()))) + SLACK * (len(near) > 1)))
         return self.children or [self]
 
 
@@ -80,15 +81,26 @@ class Links:
         self.x, self.copies, self.least = x, copies, least
         self.reach = math.sqrt(max(0.0, 2 - 2 * least))
         self.count = np.zeros(len(x), np.int64)
-        self.u: list[np.ndarray] = []
-        self.v: list[np.ndarray] = []
+        self.label = np.arange(len(x))  # smallest position that is known to be connected
+        self.edges: list[tuple[int, int]] = []
+
+    def connect(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Keep edges that join what was not connected; the others need no memory."""
+        a, b = self.label[u], self.label[v]
+        new = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        if len(new):
+            made = forest(new[:, 0], new[:, 1])
+            self.edges += made
+            root = np.arange(len(self.label))
+            for child, parent in sorted(made):  # parents are smaller, so theirs are settled
+                root[child] = root[parent]
+            self.label = root[self.label]
 
     def whole(self, a: np.ndarray, b: np.ndarray) -> None:
         """All of a are linked to all of b."""
         self.count[a] += self.copies[b].sum()
         self.count[b] += self.copies[a].sum()
-        self.u += [np.full(len(b), a[0]), np.full(len(a), b[0])]
-        self.v += [b, a]
+        self.connect(np.full(len(a) + len(b), a[0]), np.concatenate([a, b]))
 
     def exact(self, a: np.ndarray, b: np.ndarray) -> None:
         same = a is b
@@ -103,11 +115,13 @@ class Links:
             i, j = i[keep], j[keep]
             np.add.at(self.count, i, self.copies[j])
             np.add.at(self.count, j, self.copies[i])
-            self.u.append(i)
-            self.v.append(j)
+            self.connect(i, j)
 
     def within(self, node: Node) -> None:
         """Pairs inside one node."""
+        if 2 * node.radius + SLACK < self.reach:  # all are linked to all
+            self.count[node.rows] += self.copies[node.rows].sum() - self.copies[node.rows]
+            return self.connect(np.full(len(node.rows), node.rows[0]), node.rows)
         if node.children is None or len(node.rows) <= LEAF:
             return self.exact(node.rows, node.rows)
         nodes = node.split(self.x)
@@ -128,11 +142,11 @@ class Links:
             centres, radii = np.stack([n.centre for n in some]), np.array([n.radius for n in some])
             apart = np.sqrt(np.maximum(np.square(centres).sum(1)[:, None] + b_norms[None] - 2 * centres @ b_centres.T, 0))
             span = radii[:, None] + b_radii[None]
-            for i, j in np.argwhere(apart - 1e-7 <= span + self.reach):
+            for i, j in np.argwhere(apart - SLACK <= span + self.reach):
                 if same and start + i >= j:
                     continue
                 a, b = some[i], right[j]
-                if apart[i, j] + span[i, j] + 1e-7 < self.reach:
+                if apart[i, j] + span[i, j] + SLACK < self.reach:
                     self.whole(a.rows, b.rows)
                 elif len(a.rows) * len(b.rows) <= LEAF * LEAF or a.children is None and b.children is None:
                     self.exact(a.rows, b.rows)
@@ -202,8 +216,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             left, right = ([t for (g, d, *_), t in trees.items() if d == size and g == side] for side in (i, j))
             if left and right:
                 found.between(left, left if i == j else right)
-        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found.u, found.v))
-        edges = forest(rep[u], rep[v])
+        edges = [(int(rep[a]), int(rep[b])) for a, b in found.edges]
         has = np.flatnonzero(found.count)
         # rows of counts (v is null) and of edges (n is null)
         return pa.table({"u": pa.array([*rep[has].tolist(), *(e[0] for e in edges)], pa.int64()), "x": column.take(pa.array([*has.tolist(), *[None] * len(edges)], pa.int64())), "v": pa.array([*[None] * len(has), *(e[1] for e in edges)], pa.int64()), "n": pa.array([*found.count[has].tolist(), *[None] * len(edges)], pa.int64())})
