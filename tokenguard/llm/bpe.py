@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenguard.llm.common import slices, table
 
 NONE = np.int64(1) << 40  # later than any rank
-CACHED_WORDS = 500_000  # per Python worker; the cache starts anew beyond it
+CACHED_WORDS = 300_000  # per Python worker; the cache starts anew beyond it
 
 
 def byte_alphabet() -> dict[str, int]:

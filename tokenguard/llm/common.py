@@ -38,7 +38,7 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:

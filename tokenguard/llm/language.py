@@ -37,7 +37,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             buckets, rows = grams(batch.column(1))
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in set(langs):
@@ -64,7 +64,7 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             n = batch.num_rows
             buckets, rows = grams(batch.column(1))
             keys, counts = np.unique(rows * BUCKETS + buckets, return_counts=True)

@@ -103,7 +103,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """The model of (doc_id, text, label): weights x ratios, bias, and the calibration's slope and offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             row, bucket = features(batch.column(1))
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bucket[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), batch.column(2)], ["doc_id", "buckets", "label"])
@@ -132,7 +132,7 @@ def score(df: DataFrame, model: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, w, slope, offset = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             row, bucket = features(batch.column(1))
             v, n = ratio[bucket], batch.num_rows
             length = np.sqrt(np.bincount(row, v * v, n))
