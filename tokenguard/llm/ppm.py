@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenguard.llm import textkit
 from tokenguard.llm.common import crc_mod, materialize, slices, table
 
-ORDER = 6
+ORDER = 5
 END, START = 256, 257  # symbols beside the bytes
 SYMBOLS = 257  # that can be predicted
 BITS = 9
