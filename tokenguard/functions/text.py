@@ -116,3 +116,13 @@ def suggested_terms(text: Column) -> Column:
 
 def snippet(text: Column, n: int = 120) -> Column:
     return F.substring(text, 1, n)
+
+
+def url_encoded(text: Column) -> Column:
+    """Percent-encoded for a query string's value: spaces become %20."""
+    return F.replace(F.url_encode(F.coalesce(text, F.lit(""))), F.lit("+"), F.lit("%20"))
+
+
+def field(struct: Column, name: str, default: object) -> Column:
+    """A field of a struct or map, with a default where it or the whole is null."""
+    return F.coalesce(struct[name], F.lit(default))

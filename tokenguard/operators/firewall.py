@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard import params
 from tokenguard.functions import text as T
+from tokenguard.operators import evaluation as E
+from tokenguard.operators import retrieval as R
 
 SIGNAL = "[INTERCEPTION: SEMANTIC ENTROPY > tau. ABORTING HALLUCINATED TOKEN GENERATION.]"
 
@@ -34,3 +36,15 @@ def screen(queries: DataFrame, contexts: DataFrame, keywords: Sequence[str] = pa
     met = met.withColumn("_v", verdict(F.col("query"), F.col("top_score"), keywords, r))
     poison = F.col("_v.is_poison")
     return met.select("query_id", "query", F.when(poison, "POISON_DETECTED").otherwise("GROUNDED").alias("status"), poison.alias("is_poison"), F.col("_v.reason").alias("reason"), F.when(~poison, F.col("context")).alias("context"), F.when(poison, SIGNAL).alias("interception_signal"))
+
+
+def run_suite(suite: DataFrame, chunks: DataFrame, encoder: Callable[[Column], Column], r: params.Retrieval = params.Retrieval(), reranker: Callable[[Column, Column], Column] | None = R.lexical_overlap) -> tuple[DataFrame, DataFrame]:
+    """Verdicts on the prompts of a suite (id, prompt, expected) against chunks with vectors, and the one-row report.
+
+    All prompts go through one plan: retrieval, context, screening."""
+    asked = suite.select(F.col("id").alias("query_id"), F.col("prompt").alias("query"), encoder(F.coalesce("prompt", F.lit(""))).alias("vector"))
+    hits = R.retrieve(asked, chunks, r, reranker)
+    verdicts = screen(asked, R.context(hits), r=r).join(suite.select(F.col("id").alias("query_id"), "expected"), "query_id")
+    best = hits.where("rank = 1").select("query_id", F.col("score").alias("top_score"), T.snippet(F.col("text")).alias("snippet"))
+    verdicts = verdicts.join(best, "query_id", "left").withColumn("passed", F.col("is_poison") == (F.col("expected") == "intercepted"))
+    return verdicts, E.suite_report(verdicts)

@@ -81,6 +81,16 @@ def draft_estimates(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFra
     return df.join(joined, keys).withColumn("logprob", F.coalesce("logprob", N.draft_logprob(F.col("token"), near))).drop("_joined")
 
 
+def score_payloads(df: DataFrame, keys: list[str], raw: str = "payload", pos: str = "pos", s: params.Scoring = params.Scoring()) -> DataFrame:
+    """Scores of token payloads in JSON, one for each row, with the entropy of their alternatives. The contrastive penalty
+    applies where a payload brings its baseline; a payload without a log-probability counts as certain."""
+    from tokenguard.sources import event_log
+
+    rows = df.withColumn("_x", event_log.payload(F.col(raw)))
+    rows = rows.select(*keys, pos, F.col("_x.token").alias("token"), F.col("_x.logprob").alias("logprob"), F.col("_x.unconditioned_logprob").alias("unconditioned_logprob"), N.shannon_entropy(F.col("_x.probabilities")).alias("entropy"))
+    return score_streams(rows, keys, pos, s)
+
+
 def first_trip(scored: DataFrame, keys: list[str], pos: str = "pos", score: str = "score", s: params.Scoring = params.Scoring()) -> DataFrame:
     """One row per stream: tripped, the position of the first score above tau, that score and variance, or -1 and zeros."""
     trip = F.min_by(F.struct(F.col(pos).alias("position"), F.col(score).alias("score"), F.col("ema_var").alias("variance")), F.when(F.col(score) > s.tau, F.col(pos)))

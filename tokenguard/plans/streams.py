@@ -185,6 +185,16 @@ def pmi_penalty(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(N.pmi_penalty(-F.col("value") / 250, baseline), 6).alias("pmi"))
 
 
+@query("payload_scores", f"""WITH {CTE}, y AS (SELECT *, CASE WHEN token <> 'click' THEN greatest(0, -0.5::DOUBLE - logprob) ELSE 0 END AS pmi, exp(-1.0::DOUBLE) AS o FROM x)
+  SELECT user_id, event_id, round(((1 - p) + 2 * ema_var + 0.45::DOUBLE * pmi) * weight, 6) AS score, round(-(p / (p + o)) * log2(p / (p + o)) - (o / (p + o)) * log2(o / (p + o)), 6) AS entropy FROM y""")
+def payload_scores(spark, sf_dir):
+    rows = event_stream(spark, sf_dir)
+    top = F.create_map(F.lit("own"), F.col("logprob"), F.lit("other"), F.lit(-1.0))
+    fields = F.struct("token", "logprob", top.alias("top_logprobs"), F.when(F.col("token") != "click", F.lit(-0.5)).alias("unconditioned_logprob"))
+    out = U.score_payloads(rows.withColumn("payload", F.to_json(fields)), KEYS)
+    return out.join(rows.select("user_id", "pos", "event_id"), ["user_id", "pos"]).select("user_id", "event_id", r6("score"), r6("entropy"))
+
+
 @query("calibrate_tau", f"WITH {CTE}, l AS (SELECT list(round(score, 6) ORDER BY round(score, 6)) AS xs, count(*) AS n FROM x) SELECT xs[least(floor(n * 0.95::DOUBLE)::BIGINT, n - 1) + 1] AS tau, n FROM l")
 def calibrate_tau(spark, sf_dir):
     return E.calibrate(scored(spark, sf_dir).select(r6("score")))
