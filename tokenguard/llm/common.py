@@ -33,6 +33,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that materialize has left in the shared folder; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tokenguard")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

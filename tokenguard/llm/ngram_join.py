@@ -141,9 +141,9 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, offsets = textkit.shingle_sets(textkit.Words(*textkit.flat(batch.column(1))), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 class Block:
@@ -235,21 +235,12 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def edges_to_pivots(met: DataFrame, percent: int) -> DataFrame:
-    """(pivot, doc_id, ring, linked, shingles) of documents with their pivots' sets beside them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for mine, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(other, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                # ring k holds distances in [k, k + 1) widths
-                out.append((100 * (union - both) // ((100 - percent) * union), 100 * both >= percent * union))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out])], ["pivot", "doc_id", "ring", "linked"])
-
-    return met.select("pivot", "doc_id", "shingles", "pivot_shingles").mapInArrow(run, "pivot long, doc_id long, ring int, linked boolean")
+def distances(met: DataFrame, percent: int) -> DataFrame:
+    """(pivot, doc_id, ring, linked) of (pivot, doc_id, shingles, pivot_shingles); ring k holds distances in [k, k + 1)
+    widths of 1 - percent / 100, in whole numbers throughout."""
+    both = F.size(F.array_intersect("shingles", "pivot_shingles")).cast("long")
+    counted = met.select("pivot", "doc_id", both.alias("both"), (F.size("shingles") + F.size("pivot_shingles") - both).alias("whole"))
+    return counted.select("pivot", "doc_id", F.expr(f"cast(100 * (whole - both) div ({100 - percent} * whole) AS int)").alias("ring"), (100 * F.col("both") >= percent * F.col("whole")).alias("linked"))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -269,7 +260,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     wanted = materialize(regions.select("doc_id").unionByName(regions.select(F.col("pivot").alias("doc_id"))).distinct())
     sets = materialize(sets_of(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
     met = regions.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    far = materialize(edges_to_pivots(met, percent))
+    far = materialize(distances(met, percent))
 
     # rings: a document's own, and the next as a boundary document. Documents that are linked to the pivot need no
     # comparison among themselves, so they are boundary documents of both; rings without own documents are left out
@@ -283,7 +274,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     def run(cell: pa.Table) -> pa.Table:
         ids = cell.column("doc_id").to_numpy()
         own, left = (cell.column(n).to_numpy().astype(bool) for n in ("own", "left"))
-        block = Block([np.frombuffer(x, "<u8") for x in cell.column("shingles").to_pylist()])
+        sets = cell.column("shingles").combine_chunks()
+        at, every = sets.offsets.to_numpy(), sets.values.to_numpy()
+        block = Block([every[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
         if cell.column("i")[0].as_py() == cell.column("j")[0].as_py():
             parts = [(np.flatnonzero(own), np.arange(len(ids)))]
         else:
