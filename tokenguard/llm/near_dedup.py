@@ -11,6 +11,7 @@ in double precision. A cell returns how many links each vector has and a spannin
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 
@@ -35,10 +36,24 @@ POINT = 1e-5  # nodes of a smaller radius are not split
 GRAM = 2 * CHUNK  # nodes of fewer vectors are split with a table of their distances
 
 
-def gram(x: np.ndarray) -> np.ndarray:
-    """Squared distances among the rows of x."""
-    norms = np.square(x).sum(1)
-    return norms[:, None] + norms[None] - 2 * x @ x.T
+class Level(list):
+    """Nodes, with their centres and radii as arrays."""
+
+    @functools.cached_property
+    def centres(self) -> np.ndarray:
+        return np.stack([n.centre for n in self])
+
+    @functools.cached_property
+    def coarse(self) -> np.ndarray:
+        return self.centres.astype(np.float32)
+
+    @functools.cached_property
+    def radii(self) -> np.ndarray:
+        return np.array([n.radius for n in self])
+
+    @functools.cached_property
+    def least_norm(self) -> float:
+        return float(np.square(self.centres).sum(1).min())
 
 
 class Node:
@@ -50,23 +65,48 @@ class Node:
         self.rows, self.centre, self.radius, self.children = rows, centre, radius, None
         self.children = None if len(rows) <= LEAF else ()
 
-    def split(self, x: np.ndarray) -> list[Node]:
+    def split(self, x: np.ndarray) -> Level:
         """The next level, made when it is first needed: greedily chosen centres that cover all within half the radius."""
         if self.children == ():
             if self.radius <= POINT:
                 self.children = None
-                return [self]
-            self.children, own = [], x[self.rows]
-            alive = np.ones(len(own), bool)
-            table = gram(own) if len(own) <= GRAM else None
+                return Level([self])
+            own, most = x[self.rows], self.radius * self.radius / 4
+            alive, self.children = np.ones(len(own), bool), Level()
+            near_of = neighbours(own, most) if len(own) <= GRAM else None
             for i in range(len(own)):
-                if alive[i]:
-                    far = np.square(own - own[i]).sum(1) if table is None else table[i]
-                    near = np.flatnonzero(alive & (far <= self.radius * self.radius / 4))
-                    near = near if alive[i] and i in near[:1] else np.union1d(near, [i])
-                    alive[near] = False
-                    self.children.append(Node(x, self.rows[near], own[i], math.sqrt(max(0.0, float(far[near].max()))) + SLACK * (len(near) > 1)))
-        return self.children or [self]
+                if not alive[i]:
+                    continue
+                if near_of is None:
+                    far = np.square(own - own[i]).sum(1)
+                    near = np.flatnonzero(alive & (far <= most))
+                    far = far[near]
+                else:
+                    near, far = near_of(i)
+                    near, far = near[alive[near]], far[alive[near]]
+                alive[near] = alive[i] = False
+                if len(near) < 2:
+                    self.children.append(Node(x, self.rows[i : i + 1], own[i], 0.0))
+                else:
+                    near = np.union1d(near, [i])
+                    self.children.append(Node(x, self.rows[near], own[i], math.sqrt(max(0.0, float(far.max()))) + SLACK))
+        return self.children or Level([self])
+
+
+def neighbours(x: np.ndarray, most: float):
+    """A function from a row to the rows within the squared distance and their squared distances.
+
+    One product gives all; if few pairs are near, only those are kept."""
+    norms = np.square(x).sum(1)
+    product = x @ x.T
+    i, j = np.nonzero(product >= norms.min() - most / 2)
+    if len(i) > 32 * len(x):
+        squares = norms[:, None] + norms[None] - 2 * product
+        return lambda k: ((near := np.flatnonzero(squares[k] <= most)), squares[k][near])
+    squares = norms[i] + norms[j] - 2 * product[i, j]
+    i, j, squares = i[squares <= most], j[squares <= most], squares[squares <= most]
+    at = np.searchsorted(i, np.arange(len(x) + 1)).tolist()
+    return lambda k: (j[at[k] : at[k + 1]], squares[at[k] : at[k + 1]])
 
 
 def tree(x: np.ndarray, rows: np.ndarray) -> Node:
@@ -132,31 +172,36 @@ class Links:
                 self.within(child)
         self.between(nodes, nodes)
 
-    def between(self, left: list[Node], right: list[Node]) -> None:
+    def between(self, left: Level, right: Level) -> None:
         """Pairs across nodes of two lists (or of one list with itself), a level at a time."""
         same = left is right
-        b_centres, b_radii = np.stack([n.centre for n in right]), np.array([n.radius for n in right])
-        b_norms = np.square(b_centres).sum(1)
-        for start in range(0, len(left), 512):
-            some = left[start : start + 512]
-            centres, radii = np.stack([n.centre for n in some]), np.array([n.radius for n in some])
-            apart = np.sqrt(np.maximum(np.square(centres).sum(1)[:, None] + b_norms[None] - 2 * centres @ b_centres.T, 0))
-            span = radii[:, None] + b_radii[None]
-            for i, j in np.argwhere(apart - SLACK <= span + self.reach):
-                if same and start + i >= j:
-                    continue
-                a, b = some[i], right[j]
-                if apart[i, j] + span[i, j] + SLACK < self.reach:
-                    self.whole(a.rows, b.rows)
-                elif len(a.rows) * len(b.rows) <= LEAF * LEAF or a.children is None and b.children is None:
-                    self.exact(a.rows, b.rows)
-                else:
-                    self.down(a, b)
+        # first by single precision and the widest radii, then exactly for the pairs that are left
+        widest = float(left.radii.max() + right.radii.max() + self.reach + SLACK)
+        least = np.float32((left.least_norm + right.least_norm - widest * widest) / 2 - 1e-4)
+        for start in range(0, len(left), 2048):
+            i, j = np.nonzero(left.coarse[start : start + 2048] @ right.coarse.T >= least)
+            i += start
+            if same:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 65536):
+                self.pairs(left, right, i[k : k + 65536], j[k : k + 65536])
+
+    def pairs(self, left: Level, right: Level, i: np.ndarray, j: np.ndarray) -> None:
+        apart = np.sqrt(np.square(left.centres[i] - right.centres[j]).sum(1))
+        span = left.radii[i] + right.radii[j]
+        for k in np.flatnonzero(apart - SLACK <= span + self.reach):
+            a, b = left[i[k]], right[j[k]]
+            if apart[k] + span[k] + SLACK < self.reach:
+                self.whole(a.rows, b.rows)
+            elif len(a.rows) * len(b.rows) <= LEAF * LEAF or a.children is None and b.children is None:
+                self.exact(a.rows, b.rows)
+            else:
+                self.down(a, b)
 
     def down(self, a: Node, b: Node) -> None:
         """The next level of the wider node, or of both if their radii are alike."""
-        left = a.split(self.x) if 2 * a.radius >= b.radius or b.children is None else [a]
-        right = b.split(self.x) if 2 * b.radius >= a.radius or a.children is None else [b]
+        left = a.split(self.x) if 2 * a.radius >= b.radius or b.children is None else Level([a])
+        right = b.split(self.x) if 2 * b.radius >= a.radius or a.children is None else Level([b])
         if left[0] is a and right[0] is b:
             self.exact(a.rows, b.rows)
         else:
@@ -213,7 +258,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             if g == i == j:
                 found.within(a)
         for size in set(sizes.tolist()):
-            left, right = ([t for (g, d, *_), t in trees.items() if d == size and g == side] for side in (i, j))
+            left, right = (Level(t for (g, d, *_), t in trees.items() if d == size and g == side) for side in (i, j))
             if left and right:
                 found.between(left, left if i == j else right)
         edges = [(int(rep[a]), int(rep[b])) for a, b in found.edges]
