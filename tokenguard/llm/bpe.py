@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tokenguard.llm.common import slices, table
 
-NONE = np.int64(1) << 40  # later than any rank
+NEVER = 1 << 40  # later than any rank
+NONE = np.int64(NEVER)
+SHORT = 40  # bytes; in longer words the next pair to merge is found with a heap
 CACHED_WORDS = 300_000  # per Python worker; the cache starts anew beyond it
 
 
@@ -65,16 +67,18 @@ class ByteBPE:
 
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         rank = np.full(size, -1, np.int64)
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # by rank
         for k, pair in enumerate(merges):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b, made = vocab[a], vocab[b], vocab[a + b]
-            self.rank[a, b] = (k, made)
+            self.rank[a, b] = k
+            self.made.append(made)
             left[made], right[made], rank[made] = a, b, k
         self.size = np.int64(size)
         keys = np.fromiter((a * size + b for a, b in self.rank), np.int64, len(self.rank))
         order = np.argsort(keys)
-        self.keys, self.key_rank = keys[order], np.fromiter((k for k, _ in self.rank.values()), np.int64, len(self.rank))[order]
+        self.keys, self.key_rank = keys[order], np.fromiter(self.rank.values(), np.int64, len(self.rank))[order]
         self.left_edge, self.right_edge = self._edge(left, rank), self._edge(right, rank)
         self.alone = np.full(size, -1, np.int8)  # 1: encodes to itself, 0: does not, -1: not known yet
         self.words: dict[str, bytes] = {}
@@ -123,22 +127,32 @@ class ByteBPE:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost among equals."""
         token = [self.byte_id[b] for b in word]
-        n, rank = len(token), self.rank
+        n, rank, made = len(token), self.rank, self.made
+        if n <= SHORT:
+            ranks = [rank.get(pair, NEVER) for pair in zip(token, token[1:])]
+            while ranks and (k := min(ranks)) < NEVER:
+                i = ranks.index(k)
+                token[i] = made[k]
+                del token[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = rank.get((token[i - 1], token[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = rank.get((token[i], token[i + 1]), NEVER)
+            return token
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*r, i) for i in range(n - 1) if (r := rank.get((token[i], token[i + 1])))]
-        heap = [(k, i, made) for k, made, i in heap]
+        heap = [(k, i) for i in range(n - 1) if (k := rank.get((token[i], token[i + 1]), NEVER)) < NEVER]
         heapq.heapify(heap)
         while heap:
-            k, i, made = heapq.heappop(heap)
+            k, i = heapq.heappop(heap)
             j = after[i]
-            if token[i] < 0 or j >= n or rank.get((token[i], token[j])) != (k, made):
+            if token[i] < 0 or j >= n or rank.get((token[i], token[j])) != k:
                 continue
-            token[i], token[j], after[i] = made, -1, after[j]
+            token[i], token[j], after[i] = made[k], -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := rank.get((token[x], token[y]))):
-                    heapq.heappush(heap, (r[0], x, r[1]))
+                if x >= 0 and y < n and (r := rank.get((token[x], token[y]), NEVER)) < NEVER:
+                    heapq.heappush(heap, (r, x))
         return [t for t in token if t >= 0]
 
     def learn(self, words: Iterable[str]) -> None:
