@@ -160,6 +160,14 @@ def test_nearest_is_exact():
         assert np.allclose(np.sort(cosine), np.sort(every[every > 0])[-toxicity.NEIGHBOURS :])
 
 
+def test_every_document_is_compared(spark):
+    sample = spark.createDataFrame([(i, f"plain{i} words{i} of{i} topic{i}", i % 2) for i in range(40)], "doc_id long, text string, label int")
+    docs = frame(spark, [(100 + i, f"topic{i} and plain{i}") for i in range(40)] + [(200, "unseen"), (201, None)])
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, sample)).collect()}
+    assert all(got[100 + i]["evidence"] == [i] and (got[100 + i]["score"] > 0.5) == (i % 2 == 1) for i in range(40))
+    assert got[200]["evidence"] == got[201]["evidence"] == []
+
+
 def test_secrets(spark):
     key = "AKIA" + "RQM3BCG4PHUE7WNF"
     rows = [(1, f"see {key} end"), (2, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x'), (3, "password=b7db7aa4a5fcc78305"), (4, None), (5, ""), (6, "an ordinary Constantinopolitanisch word, 4041894974608795, https://example.org/path/to/some/page.html"), (7, f" {key} " * 40), (8, "commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae done"), (1, f"see {key} end"), (9, "word " * 30_000)]

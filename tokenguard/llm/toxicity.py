@@ -1,18 +1,19 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are chosen from the labelled sample: those that stand beside many different words in toxic examples and beside
-clearly fewer in others. Counting different left neighbours, not documents, keeps copies and repeated passages from
-passing for evidence. Term frequencies are dampened, document frequencies are counted over all documents, and vectors
-are scaled to unit length.
+Every term of the labelled examples is in the index. Term frequencies are dampened, and document frequencies are counted
+over all documents, so common terms weigh little. A term also weighs more the more surely it tells toxic examples from
+others. That is judged by its different left neighbours, not by documents, which keeps copies and repeated passages from
+passing for evidence. Vectors are scaled to unit length.
 
 The index keeps, term by term, the examples' weights in blocks with each block's largest weight. For a document, blocks
 are visited by falling bound (the sum over its terms of weight x largest weight) and the search ends when no bound
 reaches the k-th best cosine, so the neighbours are exact. Their votes, weighted by 1 / (distance + 0.1), are smoothed
-towards the share of toxic examples without any chosen term; documents without any get that share.
+towards the share of toxic examples; only documents without any word of the examples get that share as it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,8 @@ from tokenguard.llm import textkit
 from tokenguard.llm.common import crc_mod, labelled, slices, table
 
 SAMPLE_PER_LABEL = 3000  # labelled examples of each class, about
-TERMS = 256  # of the strongest association, at most: the index is broadcast
 NEIGHBOURS, BLOCK = 15, 64
-LEAST_NEIGHBOURS, LEAST_Z, LEAST_ODDS = 4, 3.3, 5.0  # of a term: toxic neighbours, z-score, ratio of its shares
+ERRORS, GAIN = 1.5, 4.0  # of a term's weight: standard errors held back from its log odds, and the gain on what is left
 SMOOTHING = 0.25  # votes for the base score
 THRESHOLD = 0.7
 
@@ -40,28 +40,26 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes, np.repeat(np.arange(len(column)), words.counts())
 
 
-def choose(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms: counts of different left neighbours in toxic and other examples, by z-score."""
+def associate(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all terms, and the weight of each: above 1 as far as it surely tells the classes apart.
+
+    A term counts once for each left neighbour in toxic and in other examples. What its log odds exceed their standard
+    errors by is added, on either side."""
     sides = []
     for label in (True, False):
         own = [r for r, t in zip(rows, toxic, strict=True) if t == label and len(r)]
         term = np.concatenate([np.zeros(0, np.uint64), *own])
         left = np.concatenate([np.zeros(0, np.uint64), *(np.append(np.uint64(0), r[:-1]) for r in own)])
-        both = np.unique(np.stack([term, left], 1), axis=0)[:, 0] if len(term) else term
-        sides.append(np.unique(both, return_counts=True))
-    (terms, a), (others, b) = sides
-    at = np.searchsorted(others, terms)
-    there = (at < len(others)) & (np.append(others, 0)[np.minimum(at, len(others))] == terms)
-    b_of = np.where(there, np.append(b, 0)[np.minimum(at, len(b))], 0)
-    total_a, total_b = max(1, a.sum()), max(1, b.sum())
-    odds = np.log((a + 0.5) / total_a) - np.log((b_of + 0.5) / total_b)
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b_of + 0.5))
-    good = np.flatnonzero((a >= LEAST_NEIGHBOURS) & (z >= LEAST_Z) & (odds >= np.log(LEAST_ODDS)))
-    return np.sort(terms[good[np.argsort(-z[good], kind="stable")[:TERMS]]])
+        sides.append(term[np.unique(textkit.mix(term ^ textkit.mix(left + np.uint64(1))), return_index=True)[1]])
+    terms, which = np.unique(np.concatenate(sides), return_inverse=True)
+    a, b = (np.bincount(w, minlength=len(terms)) for w in (which[: len(sides[0])], which[len(sides[0]) :]))
+    odds = np.log((a + 0.5) / max(1, a.sum())) - np.log((b + 0.5) / max(1, b.sum()))
+    sure = np.maximum(0, np.abs(odds) - ERRORS * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    return terms, 1 + GAIN * np.square(sure)
 
 
 def term_counts(hashes: np.ndarray, rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of the chosen terms' occurrences."""
+    """(row, term, count) of the terms' occurrences."""
     if not len(terms):
         return (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
@@ -70,36 +68,73 @@ def term_counts(hashes: np.ndarray, rows: np.ndarray, terms: np.ndarray) -> tupl
     return keys // len(terms), keys % len(terms), counts
 
 
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end) end to end."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Postings:
+    """A sparse matrix, terms x examples; [terms] gives rows of it, filled in."""
+
+    def __init__(self, first: np.ndarray, at: np.ndarray, value: np.ndarray, n: int):
+        self.first, self.at, self.value, self.n = first, at, value, n
+
+    def __getitem__(self, term: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(term), self.n))
+        p = spans(self.first[term], self.first[term + 1])
+        out[np.repeat(np.arange(len(term)), self.first[term + 1] - self.first[term]), self.at[p]] = self.value[p]
+        return out
+
+
 class Index:
-    """Unit vectors of the examples that have a chosen term, in blocks."""
+    """Unit vectors of the examples that have a term, as postings, and their blocks' largest weights."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray):
         self.terms, self.idf = terms, idf
+        self.base = float((labels.sum() + 0.5) / (len(labels) + 1))
         row, term, count = term_counts(np.concatenate([np.zeros(0, np.uint64), *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), terms)
-        dense = np.zeros((len(rows), len(terms)))
-        dense[row, term] = (1 + np.log(count)) * idf[term]
-        has = dense.any(1)
-        none = labels[~has]
-        self.base = float((none.sum() + 0.5) / (len(none) + 1)) if len(labels) else 0.5
-        dense, labels, ids = dense[has], labels[has], ids[has]
-        order = np.lexsort((ids, dense.argmax(1))) if len(dense) else np.zeros(0, np.int64)  # likes together: tight bounds
+        value = (1 + np.log(count)) * idf[term]
+        value /= np.sqrt(np.bincount(row, np.square(value), len(rows)))[row] if len(row) else 1.0
+        has = np.unique(row)
+        strongest = np.lexsort((-value, row))[np.searchsorted(row, has)]
+        order = has[np.lexsort((ids[has], term[strongest]))]  # likes together: tight bounds
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        dense = dense[order]
-        self.weights = np.ascontiguousarray((dense / np.sqrt(np.square(dense).sum(1, keepdims=True))).T) if len(dense) else np.zeros((len(terms), 0))
-        starts = np.arange(0, len(order), BLOCK)
-        self.most = np.maximum.reduceat(self.weights, starts, axis=1) if len(starts) else np.zeros((len(terms), 0))
+        place = np.zeros(len(rows), np.int32)
+        place[order] = np.arange(len(order))
+        at = place[row]
+        by_term = np.lexsort((at, term))
+        term, at, value = term[by_term], at[by_term], value[by_term]
+        self.weights = Postings(np.searchsorted(term, np.arange(len(terms) + 1)), at, value, len(order))
+        self.blocks = -(-len(order) // BLOCK)
+        run = term * self.blocks + at // BLOCK
+        self.start = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))  # of each block of each term
+        self.first = np.searchsorted(self.start, self.weights.first)
+        self.block = at[self.start[:-1]] // BLOCK
+        self.most = np.maximum.reduceat(value, self.start[:-1]) if len(value) else value
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, ties to the smaller id."""
-        bound = weight @ self.most[term]
-        found, cosine, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(found) >= NEIGHBOURS and bound[block] < worst - 1e-12:
-                break
-            here = slice(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-            exact = weight @ self.weights[term, here]
-            found = np.concatenate([found, np.arange(here.start, here.stop)[exact > 0]])
-            cosine = np.concatenate([cosine, exact[exact > 0]])
+        mine = spans(self.first[term], self.first[term + 1])
+        block, scale = self.block[mine], np.repeat(weight, self.first[term + 1] - self.first[term])
+        bound = np.bincount(block, scale * self.most[mine], self.blocks)
+        line = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
+        found, cosine, worst, done, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 4
+        while done < len(line) and (len(found) < NEIGHBOURS or bound[line[done]] >= worst - 1e-12):
+            least = worst - 1e-12 if len(found) >= NEIGHBOURS else -1.0
+            now = line[done : done + step][bound[line[done : done + step]] >= least]
+            done, step = done + step, step * 4
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            hit = np.flatnonzero(chosen[block])
+            start, end = self.start[mine[hit]], self.start[mine[hit] + 1]
+            p = spans(start, end)
+            exact = np.bincount(self.weights.at[p], np.repeat(scale[hit], end - start) * self.weights.value[p])
+            new = np.flatnonzero(exact > 0)
+            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, exact[new]])
+            if len(cosine) > NEIGHBOURS:
+                keep = np.flatnonzero(cosine >= np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] - 1e-11)
+                found, cosine = found[keep], cosine[keep]
             best = np.lexsort((self.ids[found], -np.round(cosine, 12)))[:NEIGHBOURS]
             found, cosine = found[best], cosine[best]
             worst = cosine[-1] if len(cosine) else -1.0
@@ -124,24 +159,29 @@ def fit(docs: DataFrame, sample: DataFrame) -> Index:
     got = sample.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, words binary, label int").toPandas().sort_values(["doc_id", "words"])
     rows = [np.frombuffer(x, np.uint64) for x in got["words"]]
     labels, ids = got["label"].to_numpy(), got["doc_id"].to_numpy(np.int64)
-    terms = choose(rows, labels == 1)
+    terms, strength = associate(rows, labels == 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(len(terms), np.int64)
         for batch in slices(batches, "text"):
             total += batch.num_rows
             df += np.bincount(term_counts(*words_of(batch.column(0)), terms)[1], minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(terms)), pa.int32()), pa.array([total, *df.tolist()], pa.int64())], ["term", "n"])
-
-    sums = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if len(terms) else {}
-    idf = np.array([np.log((1 + sums.get(-1, 0)) / (1 + sums.get(i, 0))) + 1 for i in range(len(terms))])
+        here = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *here.tolist()], pa.int32()), pa.array([total, *df[here].tolist()], pa.int64())], ["term", "n"])
+
+    df, total = np.zeros(len(terms), np.int64), 0
+    if len(terms):
+        sums = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        term, n = sums["term"].to_numpy(), sums["n"].to_numpy()
+        df[term[term >= 0]], total = n[term >= 0], n[term < 0].sum()
+    idf = strength * (np.log((1 + total) / (1 + df)) + 1)
     return Index(terms, idf, rows, labels, ids)
 
 
 def score(df: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) for each row of (doc_id, text); evidence holds the ids of the neighbours that voted.
 
-    Null and empty texts, like all without a chosen term, get the base score and no evidence."""
+    Null and empty texts, like all without a word of the examples, get the base score and no evidence."""
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +192,7 @@ def score(df: DataFrame, index: Index) -> DataFrame:
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             out = []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                key = term[a:b].tobytes() + count[a:b].tobytes()
+                key = hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 100_000:
                         known.clear()
