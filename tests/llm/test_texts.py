@@ -182,6 +182,19 @@ def test_secrets(spark):
     assert spark.range(1).select(secrets.redact(F.lit("abcdefghijklmn"), spans, "#")).first()[0] == "#defghij#mn"
 
 
+@pytest.mark.parametrize("front,value,behind", [
+    ('password = "', "S3cr3t!Pass@word#2024xYz", '" x'), ("password: ", "aB3$dE5^gH7*jK9!mN1@", " x"), ("passwd='", "Tr0ub4dor&3xyzABCDEFG!", "'"),
+    ("api_key2 = ", "Zx9!kq7Lm", " x"), ("password  = ", "Zx9!kq7Lm", ""), ("password\t=\t", "Zx9!kq7Lm", "\n"), ("see https://x.org/?user=ab&token=", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", "&a=b"),
+    ("the password: ", "S3cr3t!Pass@word#2024xYz", ". Then"), ("my_long_secret_token_name=\"", "S3cr3t!Pass@word#2024xYz", '"'),
+])
+def test_whole_values(spark, front, value, behind):
+    text = front + value + behind
+    got = secrets.scan(frame(spark, [(1, text)])).collect()
+    assert [(r["start"], r["length"], r["value"]) for r in got] == [(len(front), len(value), value)]
+    redacted = secrets.redact(F.lit(text), F.array(F.struct(F.lit(got[0]["start"]).alias("start"), F.lit(got[0]["length"]).alias("length"))))
+    assert spark.range(1).select(redacted).first()[0] == front + "[SECRET]" + behind
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.randint(0, 40)) or None, None, [None, "a", "b", "c", "d"][min(4, r.randint(0, 9))], 0, "", 0) for i in range(3000)]

@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from tokenguard.llm.common import materialize, table
 
-#: A run of 16 key characters or more that stands alone; a shorter one only as the value of an assignment.
-CANDIDATE = r"""(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])|(?<=[A-Za-z]["']?[ ]?[=:][ ]?["']?)[A-Za-z0-9!@#$%^&*+/_.\-]{8,15}(?![A-Za-z0-9+/_\-])"""
+# A value goes to the closing quote, or to white space without the marks that end a sentence or bracket there. The parameter
+# of a URL that follows is not part of it, and a sign before another named secret has that one's value, not its own.
+NAME_IN_FRONT = r"""(?<=[\p{L}\p{N}_])["']?\s*+(?::(?!//)=?|={1,3}>?)\s*+|(?<=[\p{L}\p{N}_]={1,2})\s*+"""
+VALUE = r"""(?<=")[^"\s]{8,}+(?=")|(?<=')[^'\s]{8,}+(?=')|(?!\w{0,30}(?i:pass|pwd|secret|token|key|auth|cred)\w{0,20}[=:])(?:[^\s"'&?.,;:)\]}>]|[&?](?!\w{1,40}=)|[.,;:)\]}>]++(?![\s"']|$)){4,}+"""
+#: A run of 16 key characters or more that stands alone, or the whole value of an assignment, in the second or third group.
+CANDIDATE = rf"""((?:{NAME_IN_FRONT})["']?+)({VALUE})|((?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{16,}}={{0,2}}(?![A-Za-z0-9+/_\-]))"""
+LEAST = 8  # characters of a value
 AROUND = 24  # characters of a candidate's neighbourhood on each side
 
 # fixed values: fragments common in ordinary words and identifiers
@@ -35,17 +40,17 @@ def features() -> dict[str, Column]:
         "digits": F.regexp_count("value", F.lit("[0-9]")) / F.length("value"),
         "upper": F.regexp_count("value", F.lit("[A-Z]")) / F.length("value"),
         "hex": F.regexp_count("value", F.lit("[0-9a-f]")) / F.length("value"),
-        "marks": F.regexp_count("value", F.lit("[^A-Za-z0-9]")) / F.length("value"),
+        "marks": F.regexp_count("value", F.lit(r"[^\p{L}\p{N}]")) / F.length("value"),
         "transitions": F.regexp_count("value", F.lit("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")) / F.length("value"),
         "doubled": F.regexp_count("value", F.lit(r"(.)(?=\1)")) / F.length("value"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower("value"), "|".join(sorted(FRAGMENTS, key=len, reverse=True)), "")) / F.length("value"),
-        "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)),
+        "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit(r"\p{L}+"), F.lit(0)), F.length)), F.lit(0)),
         "separators": F.regexp_count("value", F.lit("[/.]")),
         "dashes": F.regexp_count("value", F.lit("-")),
-        "in_path": (F.col("before").rlike(r"[/\\]$|://\S*$") | F.col("value").rlike(r"^\.{0,2}/|\.[a-z]{2,4}$")).cast("int"),
-        "assigned": F.col("before").rlike(r"""[A-Za-z_]["']?\s?[=:]\s?["']?$""").cast("int"),
-        "secret_name": F.lower("before").rlike("(" + "|".join(SECRET_NAMES) + r""")[a-z_]{0,8}["']?\s?[=:]?\s?["']?$""").cast("int"),
-        "harmless_name": F.lower("before").rlike("(" + "|".join(HARMLESS_NAMES) + r""")[a-z_]{0,8}["']?\s?[=:]?\s?["']?$""").cast("int"),
+        "in_path": (F.col("before").rlike(r"[/\\]$|://\S*$") | F.col("value").rlike(r"^\.{0,2}/|\.[a-z]{2,4}$|^[a-z]+://")).cast("int"),
+        "assigned": F.col("before").rlike(r"""[\p{L}\p{N}_]["']?\s?[=:]+>?\s?["']?$""").cast("int"),
+        "secret_name": F.lower("before").rlike("(" + "|".join(SECRET_NAMES) + r""")[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int"),
+        "harmless_name": F.lower("before").rlike("(" + "|".join(HARMLESS_NAMES) + r""")[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int"),
         "known_prefix": F.col("value").rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|xox[bp]|sk|pk|rk)[_\-]|^AIza|^eyJ|^glpat-").cast("int"),
     }
 
@@ -56,19 +61,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     The text is marked where the pattern matches and cut there, so offsets add up over the pieces; the marks are private
     characters, which a text that holds them loses to another private one of equal length first."""
     clean = F.translate("text", "\ue000\ue001", "\ue002\ue002")
-    parts = docs.select("doc_id", F.split(F.regexp_replace(clean, f"({CANDIDATE})", "\ue000$1\ue001"), "\ue000").alias("parts")).where(F.size("parts") > 1)
+    parts = docs.select("doc_id", F.split(F.regexp_replace(clean, CANDIDATE, "$1\ue000$2$3\ue001"), "\ue000").alias("parts")).where(F.size("parts") > 1)
     # a piece has its match, the second mark, and the text up to the next match; the marks are not in the text
     pieces = F.transform("parts", lambda p: F.struct(F.substring_index(p, "\ue001", 1).alias("value"), F.substring_index(p, "\ue001", -1).alias("gap")))
-    begin = F.struct(F.length(F.element_at("parts", 1)).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,value:string,before:string,after:string>>").alias("found"), F.right(F.element_at("parts", 1), F.lit(AROUND)).alias("last"))
+    near = lambda x: F.right(F.regexp_replace(F.right(x, F.lit(256)), r"\s+", " "), F.lit(AROUND))
+    begin = F.struct(F.length(F.element_at("parts", 1)).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,value:string,before:string,after:string>>").alias("found"), near(F.element_at("parts", 1)).alias("last"))
     found = F.aggregate(
         F.slice(pieces, 2, F.size("parts")), begin,
         lambda a, p: F.struct(
             (a["start"] + F.length(p["value"]) + F.length(p["gap"])).alias("start"),
             F.array_append(a["found"], F.struct(a["start"].alias("start"), p["value"].alias("value"), a["last"].alias("before"), F.left(p["gap"], F.lit(AROUND)).alias("after"))).alias("found"),
-            F.right(F.concat(a["last"], p["value"], p["gap"]), F.lit(AROUND)).alias("last"),
+            near(F.concat(a["last"], p["value"], p["gap"])).alias("last"),
         ),
     )
-    return parts.select("doc_id", F.explode(found["found"]).alias("f")).select("doc_id", "f.*")
+    return parts.select("doc_id", F.explode(found["found"]).alias("f")).select("doc_id", "f.*").where(F.length("value") >= LEAST)
 
 
 def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -83,26 +89,38 @@ def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     uuid = F.concat_ws("-", *[F.substring(text, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     syllables = [c + v for c in "b ch d f g j l m n pr r sch st t th tr v z".split() for v in ("a", "en", "eau", "ier", "ó", "un")]
     foreign = F.concat(*[pick(50 + i, syllables) for i in range(7)])  # words of languages that the fragments don't know
+    marks = [F.substring(F.lit("!@#$%^&*?~|(+"), 1 + number(60 + i, 13), F.lit(1)) for i in range(4)]
+    chosen = F.concat(F.initcap(pick(70, FRAGMENTS)), number(71, 10000).cast("string"), marks[0], F.initcap(pick(72, FRAGMENTS)), marks[1], number(73, 100).cast("string"), F.substring(base64, 20, 4), marks[2])  # as people choose them
+    random = F.concat(F.substring(base64, 1, 5), marks[0], F.substring(base64, 7, 6), marks[1], F.substring(base64, 14, 5), marks[2], F.substring(base64, 20, number(74, 8) + 1), marks[3])
+    short = F.concat(F.substring(base64, 1, 3), marks[0], F.substring(base64, 7, 6))
+    text_value = F.concat(pick(75, ["https://", "", "(", "<"]), word(80), pick(76, ["/", ",", "-", ".", "_"]), word(83), pick(77, ["", "/", "!", ");", ".html"]))
     value = [  # secrets first
         F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.substring(text, 1, 40), F.substring(base64, 1, 40),
         F.concat(pick(3, ["ghp_", "sk_", "xoxb-", "glpat-"]), F.substring(F.translate(base64, "+/=", "abc"), 1, 36)), F.concat(F.substring(text, 1, 18), F.lit("")), F.substring(F.translate(base64, "+/", "!#"), 1, 14),
+        chosen, random, short,
         F.substring(text, 1, 40), uuid, F.concat_ws("/", word(10), word(13), word(16)), F.concat_ws("_", word(20), word(23), word(26)),
         F.concat(F.initcap(word(30)), word(33), word(36)), F.initcap(foreign), foreign, F.concat(word(40), F.initcap(word(43)), F.initcap(word(46))),
         F.substring(F.regexp_replace(F.conv(F.substring(text, 1, 15), 16, 10), "^", "4"), 1, 16),
+        text_value, F.concat(F.initcap(foreign), pick(78, ["", "!", "?", "-"])), F.concat(word(86), pick(79, ["", "!", "#", "&"])),
+        F.upper(foreign), F.upper(F.concat(word(92), word(95))),
     ]
     plain = pick(1, ["of the ", "and ", "with ", "see ", "le ", "und ", "que "])
-    named = F.concat(pick(2, SECRET_NAMES), pick(4, [' = "', "=", ": ", ' : "', "='"]))
+    named = F.concat(pick(2, SECRET_NAMES), pick(9, ["", "", "2", "_1"]), pick(4, [' = "', "=", ": ", ' : "', "='"]))
     harmless = F.concat(pick(5, HARMLESS_NAMES), pick(6, [" ", "=", ": ", " = "]))
+    other = F.concat(pick(90, FRAGMENTS), pick(91, [": ", " = ", '="', ":"]))
     path = pick(7, ["https://example.org/", "/usr/lib/", "src/", "C:\\"])
     before = [
         F.when(number(8, 2) == 0, plain).otherwise(named), named, named,
         F.when(number(8, 2) == 0, plain).otherwise(named), named, named,
+        named, named, named,
         harmless, F.when(number(8, 2) == 0, plain).otherwise(harmless), F.when(number(8, 2) == 0, plain).otherwise(path), F.when(number(8, 3) == 0, harmless).otherwise(plain),
         plain, F.when(number(8, 2) == 0, plain).otherwise(F.lit(". ")), plain, plain, plain,
+        other, other, other,
+        F.when(number(8, 2) == 0, plain).otherwise(F.lit("!! ")), F.when(number(8, 2) == 0, plain).otherwise(F.lit("!! ")),
     ]
     kind = F.pmod("id", F.lit(len(value)))
     choose = lambda xs: F.element_at(F.array(*xs), (kind + 1).cast("int"))
-    return row.select(choose(value).alias("value"), F.right(F.concat(F.lit("lorem ipsum dolor sit "), choose(before)), F.lit(AROUND)).alias("before"), F.lit(" et").alias("after"), (kind < 6).cast("int").alias("label"))
+    return row.select(choose(value).alias("value"), F.right(F.concat(F.lit("lorem ipsum dolor sit "), choose(before)), F.lit(AROUND)).alias("before"), F.lit(" et").alias("after"), (kind < 9).cast("int").alias("label"))
 
 
 def train(spark: SparkSession, trees: int = 20, depth: int = 6, seed: int = 7) -> str:
