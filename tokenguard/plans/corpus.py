@@ -134,7 +134,7 @@ def similarity_gate(spark, sf_dir):
 def retrieve_text(spark, sf_dir):
     """Retrieval over event chunks with the stand-in encoder and reranker, for the user turns of conversations."""
     rows = V.chunks(order_events(spark, sf_dir)).withColumn("chunk_id", F.xxhash64("text")).dropDuplicates(["chunk_id"]).withColumn("vector", R.hashing_encoder(F.col("text")))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND turn <= 1").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), R.hashing_encoder(F.col("text")).alias("vector"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), R.hashing_encoder(F.col("text")).alias("vector"))
     return R.retrieve(asked, rows)
 
 
