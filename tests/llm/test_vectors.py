@@ -33,8 +33,9 @@ def clustered(n, dim=16, seed=0):
 @pytest.mark.parametrize("n,chunk", [(700, 64), (300, 4096)])
 def test_near_pairs(spark, monkeypatch, n, chunk):
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(near_dedup, "GROUP", 4 * chunk)
+    monkeypatch.setattr(near_dedup, "GROUP", 2 * chunk)
     x = clustered(n)
+    x[n // 3] = 1e-30 * x[0]
     got = {r["vec_id"]: r for r in near_dedup.near_pairs(spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA)).collect()}
     d = x.astype(np.float64)
     d /= np.linalg.norm(d, axis=1, keepdims=True)
@@ -45,6 +46,50 @@ def test_near_pairs(spark, monkeypatch, n, chunk):
     assert [got[i]["component_id"] for i in range(n)] == want and all(got[i]["kept"] == (want[i] == i) for i in range(n))
 
 
+@pytest.mark.parametrize("scale", [1, 3, 0.7, 1e-3, 1e200, 1e-200])
+def test_cosine_of_exactly_the_threshold(spark, scale):
+    rows = []
+    for i, (a, b) in enumerate((([1, 0, 0, 0], [9, 1, 3, 3]), ([0, 2, 0, 0], [1, 9, 3, 3]), ([0, 0, 5, 0], [3, 3, 9, 1]))):
+        rows += [(10 * i, [float(v) for v in a]), (10 * i + 1, [float(scale * v) for v in b])]
+    want = {}
+    for i, a in rows:
+        one = np.ldexp(np.array(a), -int(np.frexp(max(a))[1]))
+        want[i] = sum(float(np.dot(one, y := np.ldexp(np.array(b), -int(np.frexp(max(b))[1]))) / (np.sqrt(np.dot(one, one)) * np.sqrt(np.dot(y, y)))) >= 0.9 for j, b in rows if i != j)
+    got = {r["vec_id"]: r["n_links"] for r in near_dedup.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+    if scale in (1, 3):
+        assert set(got.values()) == {1}
+
+
+def test_tight_leaves_are_counted_by_their_sums(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "GROUP", 48)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(5, 12))
+    base[1] = base[0] + 0.05 * r.normal(size=12)
+    x = np.concatenate([base[[0] * 200 + [1] * 150 + [2] * 60] + 0.004 * r.normal(size=(410, 12)), base[r.integers(0, 5, 150)] + 0.4 * r.normal(size=(150, 12))])
+    got = {row["vec_id"]: row for row in near_dedup.near_pairs(spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA.replace("float", "double"))).collect()}
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = d @ d.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == brute_components(len(x), np.argwhere(near))
+
+
+def test_cells_grow_with_the_vectors_where_they_are_clustered(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 32)
+    monkeypatch.setattr(near_dedup, "GROUP", 64)
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 0)
+    met = []
+    for clusters in (8, 32):
+        r = np.random.default_rng(clusters)
+        x = np.repeat(np.linalg.qr(r.normal(size=(64, 64)))[0][:clusters], 64, axis=0) + 0.03 * r.normal(size=(64 * clusters, 64))
+        unique = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "uid long, x array<double>, copies long")
+        _, leaves, pairs = near_dedup.upper_levels(unique, (2 - 1.8) ** 0.5, 512)
+        met.append(near_dedup.cells_of(pairs.select("a", "b"), near_dedup.packed(leaves, 64)).count())
+    assert met[1] <= 8 * met[0]  # 16 times without pruning
+
+
 def test_trees_count_exactly():
     x = near_dedup.unit(clustered(1500, seed=3).astype(float))
     links = near_dedup.Links(x, np.ones(len(x), np.int64), 0.9)
@@ -56,8 +101,8 @@ def test_trees_count_exactly():
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0], 0, ""), (3, [2.0, 0.0], 0, ""), (3, [2.0, 0.0], 0, ""), (1, None, 0, ""), (2, [0.0, 0.0], 0, ""), (4, [nan, 1.0], 0, ""), (6, [inf, 1.0], 0, ""), (7, [None, 1.0], 0, ""), (8, [], 0, ""), (9, [-0.0, 1.0], 0, ""), (10, [0.0, 1.0], 0, ""), (11, [1.0, 0.0, 0.0], 0, ""), (None, [1.0, 0.0], 0, "")]
-    got = sorted(tuple(r) for r in near_dedup.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(1, 0, 1, True), (2, 0, 2, True), (3, 2, 3, True), (3, 2, 3, True), (4, 0, 4, True), (5, 2, 3, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 9, False), (11, 0, 11, True)]
+    got = sorted((tuple(r) for r in near_dedup.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()), key=lambda r: r[0] or 0)
+    assert got == [(None, 0, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 2, 3, True), (3, 2, 3, True), (4, 0, 4, True), (5, 2, 3, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 9, False), (11, 0, 11, True)]
     assert near_dedup.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
