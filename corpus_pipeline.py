@@ -42,11 +42,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document is repeated as often as the mix takes it, so some go."""
-    columns = docs.columns
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.max(F.expr("cast(taken / size AS int)")).alias("copies"))
-    sized = docs.withColumn("words", mixing.word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(taken["id"]) & (sized["words"] == taken["words"])
-    return sized.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[sized[c] for c in columns])
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,9 +195,13 @@ def test_whole_values(spark, front, value, behind):
     assert spark.range(1).select(redacted).first()[0] == front + "[SECRET]" + behind
 
 
+def mixture(n, seed):
+    r = random.Random(seed)
+    return [(i, " ".join(["w"] * r.randint(0, 40)) or None, None, [None, "a", "b", "c", "d"][min(4, r.randint(0, 9))], 0, "", 0) for i in range(n)]
+
+
 def test_mixing(spark):
-    r = random.Random(4)
-    rows = [(i, " ".join(["w"] * r.randint(0, 40)) or None, None, [None, "a", "b", "c", "d"][min(4, r.randint(0, 9))], 0, "", 0) for i in range(3000)]
+    rows = mixture(3000, 4)
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
     assert len(got) == 3000 and (got.taken <= 2 * got["size"]).all()
     sizes = got.groupby("target").agg(taken=("taken", "sum"), size=("source_size", "first"))
@@ -210,6 +214,26 @@ def test_mixing(spark):
     assert extra[True] > 10 * extra[False] >= 0
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Of many documents the share taken once more is c / (c + sqrt(size)) with one c for each source (Pareto sampling)."""
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * r.choice([1, 4, 16, 64])), None, "a" if i % 3 else "b", 0, "", 0) for i in range(24_000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    for _, part in got.groupby("target"):
+        extra = (part.taken // part["size"] - (part.target // part.source_size).astype(int))
+        share = extra.groupby(part["size"]).mean()
+        if 0 < extra.mean() < 1:
+            level = share[4] / (1 - share[4]) * 2  # the odds at size 4 give the level
+            assert all(abs(share[s] - level / (level + math.sqrt(s))) < 0.03 for s in (1, 4, 16, 64)) and share[1] > share[64] + 0.2
+
+
+def test_mixing_without_ids(spark):
+    rows = [(None if i % 2 else i, f"{i} " + " ".join(["w"] * 8), None, "ab"[i % 7 == 0], 0, "", 0) for i in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    sums = got.groupby("target").taken.sum()
+    assert len(got) == 2000 and (abs(sums - sums.index) <= 9).all()
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None, 0, "", 0), (1, "a b", None, None, 0, "", 0), (1, "a b", None, None, 0, "", 0), (None, "c", None, "x", 0, "", 0), (2, "", None, "y", 0, "", 0)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
@@ -217,6 +241,14 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_what_the_mix_takes(spark):
+    docs = spark.createDataFrame(mixture(600, 8), DOCS)
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("taken div size").alias("n"))
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.groupBy("doc_id").agg(F.count("*")).collect()} == {tuple(r) for r in taken.collect()}
+
+
 def brute_ppm(training, order=ppm.ORDER):
     counts = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
     for t in training:
