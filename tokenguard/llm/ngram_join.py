@@ -1,7 +1,8 @@
 """Exact Jaccard join of documents' word n-gram sets through pivots.
 
-1. Every document's set of hashed shingles is computed in numpy and dealt by hash in packed arrays; where a hash's
-   documents meet, its document frequency is known. Equal sets are found by a 128-bit digest and stand as one from here.
+1. Every document's set of hashed shingles is computed in numpy, block by block. Blocks ask for the document frequencies
+   of their distinct shingles (see exchange), so a shingle of very many documents is gathered once for each block. Equal
+   sets are found by a 128-bit digest and stand as one from here.
 2. Two sets with Jaccard similarity >= t share at least t of either's shingles, so a document with more than 1 - t of its
    shingles in no other document has no partner. The others keep, rarest first, as many shared shingles as are needed to
    meet any partner in one of them (ties by hash, so the order is the same for all).
@@ -25,125 +26,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenguard.llm import textkit
+from tokenguard.llm import exchange, textkit
 from tokenguard.llm.common import materialize, slices, table
 from tokenguard.llm.graph import components
 
-BUCKET_BYTES = 6 << 20  # bytes of text for each bucket of hashes
 BLOCK = 768  # documents of a block in a ring that is split
 DIRECT = 256  # documents that are compared by one matrix product
-KEY_BYTES = 5  # of a hash, beside its bucket; a clash only weakens the filter of step 2
-FEW = np.uint64(2**32)
+MANY = 65535  # frequencies from here on are alike: ties by hash
 
 
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def digests(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set, which together tell sets apart."""
+    sums = [np.add.reduceat(np.append(textkit.mix(hashes ^ np.uint64(s)), np.uint64(0)), np.minimum(offsets[:-1], len(hashes))) * (np.diff(offsets) > 0) for s in (0, 0x5DEECE66D)]
+    return [x.view(np.int64) for x in sums]
 
 
-def dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) // FEW).astype(np.int64)
+def block_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts of a block end to end, and offsets of the documents."""
+    parts = [textkit.shingle_sets(textkit.Words(*textkit.flat(part.column(part.schema.get_field_index("text")))), words) for part in slices(iter([batch]), "text")]
+    return np.concatenate([h for h, _ in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts])))
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def rarest(sizes: np.ndarray, hashes: np.ndarray, df: np.ndarray, percent: int) -> list[np.ndarray | None]:
+    """Of each document the shared shingles of step 2, rarest first, or None where it has no partner."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.flatnonzero(df > 1)
+    by = shared[np.lexsort((hashes[shared], df[shared], owner[shared]))]
+    at = np.searchsorted(owner[by], np.arange(len(sizes) + 1))
+    needed = sizes - (sizes * percent + 99) // 100 + 1  # a partner has one of any so many shingles
+    spare = needed - (sizes - np.diff(at))  # of which this many are shared with others
+    return [np.sort(hashes[by[a : a + k]]).view(np.int64) if n and k > 0 else None for a, k, n in zip(at[:-1].tolist(), spare.tolist(), sizes.tolist(), strict=True)]
 
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, copy_of, keys) of each document; keys are the shared shingles of step 2 or null.
+    """(doc_id, text_key, n_shingles, digest1, digest2, keys) of each row; keys are the shared shingles of step 2 or null."""
+    blocks = exchange.pack(docs.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")))
+    parts = max(16, 2 * blocks.count())
 
-    copy_of is the smallest id with the same set, null for empty sets."""
-    buckets = max(16, math.ceil(text_bytes(docs) / BUCKET_BYTES))
+    def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
+        yield "shingle", *np.unique(block_sets(batch, words)[0], return_counts=True)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hashes, offsets = textkit.shingle_sets(textkit.Words(*textkit.flat(batch.column(1))), words)
-            sizes = np.diff(offsets)
-            row = np.repeat(np.arange(len(ids)), sizes)
-            bucket = dealt(hashes, buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys = hashes[order].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            row, bounds = row[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            # digests: two sums over each set; documents meet by digest in the same shuffle
-            two = [np.add.reduceat(np.append(textkit.mix(hashes ^ np.uint64(s)), np.uint64(0)), np.minimum(offsets[:-1], len(hashes))) * (sizes > 0) for s in (0, 0x5DEECE66D)]
-            home = dealt(textkit.mix(two[0]), buckets)
-            out = []
-            for b in range(buckets):
-                r = row[bounds[b] : bounds[b + 1]]
-                own, counts = np.unique(r, return_counts=True)
-                mine = np.flatnonzero(home == b)
-                if len(own) or len(mine):
-                    out.append((b, packed(ids[own]), packed(counts.astype(np.uint32)), packed(keys[bounds[b] : bounds[b + 1]]), packed(ids[mine]), packed(np.stack([two[0][mine], two[1][mine], sizes[mine].astype(np.uint64)], 1))))
-            names = ("bucket", "ids", "counts", "keys", "own", "digests")
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32() if i == 0 else pa.binary()) for i in range(6)], names)
-
-    def meet(met: pa.Table) -> pa.Table:
-        bucket = met.column("bucket")[0].as_py()
-        whole = lambda name, kind: np.frombuffer(b"".join(met.column(name).to_pylist()), kind)
-        keys = whole("keys", np.uint8).reshape(-1, KEY_BYTES)
-        wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :KEY_BYTES] = keys
-        keys = wide.view("<u8").ravel()
-        owner = np.repeat(whole("ids", "<i8"), whole("counts", "<u4"))
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        counts = np.diff(np.append(first, len(keys)))
-        df = np.empty(len(keys), np.int64)
-        df[order] = np.repeat(counts, counts)
-        shared = df > 1
-        own, digests = whole("own", "<i8"), whole("digests", "<u8").reshape(-1, 3)
-        by = np.lexsort((own, digests[:, 1], digests[:, 0]))
-        new = np.ones(len(by), bool)
-        new[1:] = (digests[by[1:], :2] != digests[by[:-1], :2]).any(1)
-        least = np.empty(len(by), np.int64)
-        least[by] = own[by][np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else 0
-        out = []
-        home, own_home = (dealt(textkit.mix(x.view("<u8")), buckets) for x in (owner, own))
-        owner, keys, df, home = owner[shared], keys[shared], np.minimum(df[shared], 65535), home[shared]
-        by = np.argsort(home, kind="stable")
-        owner, keys, df, home = owner[by], keys[by], df[by], home[by]
-        at, own_by = np.searchsorted(home, np.arange(buckets + 1)), np.argsort(own_home, kind="stable")
-        own_at = np.searchsorted(own_home[own_by], np.arange(buckets + 1))
-        for b in range(buckets):
-            s, mine = slice(at[b], at[b + 1]), own_by[own_at[b] : own_at[b + 1]]
-            if at[b + 1] > at[b] or len(mine):
-                turn = np.argsort(owner[s], kind="stable")
-                ids, counts = np.unique(owner[s], return_counts=True)
-                out.append((b, bucket, packed(ids), packed(counts.astype("<u4")), packed(keys[s][turn].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]), packed(df[s][turn].astype("<u2")), packed(own[mine]), packed(np.stack([least[mine], digests[mine, 2].astype(np.int64)], 1))))
-        names = ("home", "bucket", "ids", "counts", "keys", "df", "own", "known")
-        return pa.table({n: pa.array([x[i] for x in out], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
-
-    def judge(met: pa.Table) -> pa.Table:
-        whole = lambda name, kind: np.frombuffer(b"".join(met.column(name).to_pylist()), kind)
-        keys = whole("keys", np.uint8).reshape(-1, KEY_BYTES)
-        wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :KEY_BYTES] = keys
-        per_row = np.array([len(x) // 2 for x in met.column("df").to_pylist()], np.int64)
-        key = wide.view("<i8").ravel() | (np.repeat(met.column("bucket").to_numpy().astype(np.int64), per_row) << 8 * KEY_BYTES)
-        owner, df = np.repeat(whole("ids", "<i8"), whole("counts", "<u4")), whole("df", "<u2")
-        by = np.lexsort((key, df, owner))
-        owner, key = owner[by], key[by]
-        own, known = whole("own", "<i8"), whole("known", "<i8").reshape(-1, 2)
-        at, upto = np.searchsorted(owner, own), np.searchsorted(owner, own, side="right")
-        kept = []
-        for a, b, n in zip(at, upto, known[:, 1], strict=True):
-            needed = n - (n * percent + 99) // 100 + 1  # a partner has one of any so many shingles
-            spare = needed - (n - (b - a))  # of which this many are shared with others
-            kept.append(np.unique(key[a : a + spare]) if n and spare > 0 else None)
-        return pa.table({"doc_id": own, "n_shingles": known[:, 1], "copy_of": pa.array(known[:, 0], mask=known[:, 1] == 0), "keys": pa.array(kept, pa.list_(pa.int64()))})
-
-    dealt_out = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(deal, "bucket int, ids binary, counts binary, keys binary, own binary, digests binary")
-    met = dealt_out.groupBy("bucket").applyInArrow(meet, "home int, bucket int, ids binary, counts binary, keys binary, df binary, own binary, known binary")
-    return materialize(met.groupBy("home").applyInArrow(judge, "doc_id long, n_shingles long, copy_of long, keys array<long>"))
+    def place(_: str, keys: np.ndarray, parts: int) -> np.ndarray:  # by range, so a part's keys begin alike
+        return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    answers, _ = exchange.ask(blocks, {"shingle": "<u2"}, vocabulary, place, lambda _, keys, sums: np.minimum(sums, MANY), parts)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = exchange.unpack(left.column("packed")[0].as_py())
+        hashes, offsets = block_sets(batch, words)
+        back = np.unique(hashes, return_inverse=True)[1]
+        df = exchange.told(right, "shingle", "<u2")[back]  # parts are ranges: asked in the order of the keys
+        sizes = np.diff(offsets)
+        one, two = digests(hashes, offsets)
+        return pa.table({"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": sizes, "digest1": one, "digest2": two, "keys": pa.array(rarest(sizes, hashes, df, percent), pa.list_(pa.int64()))})
+
+    done = blocks.select("block", "packed").groupBy("block").cogroup(answers.withColumnRenamed("block", "to").groupBy("to"))
+    return materialize(done.applyInArrow(finish, "doc_id long, text_key long, n_shingles long, digest1 long, digest2 long, keys array<long>"))
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """(digest1, digest2, shingles) of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            hashes, offsets = textkit.shingle_sets(textkit.Words(*textkit.flat(batch.column(1))), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["doc_id", "shingles"])
+            hashes, offsets = textkit.shingle_sets(textkit.Words(*textkit.flat(batch.column(0))), words)
+            columns = [*(pa.array(x) for x in digests(hashes, offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["digest1", "digest2", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "digest1 long, digest2 long, shingles array<long>")
 
 
 class Block:
@@ -239,40 +189,48 @@ def distances(met: DataFrame, percent: int) -> DataFrame:
     """(pivot, doc_id, ring, linked) of (pivot, doc_id, shingles, pivot_shingles); ring k holds distances in [k, k + 1)
     widths of 1 - percent / 100, in whole numbers throughout."""
     both = F.size(F.array_intersect("shingles", "pivot_shingles")).cast("long")
-    counted = met.select("pivot", "doc_id", both.alias("both"), (F.size("shingles") + F.size("pivot_shingles") - both).alias("whole"))
-    return counted.select("pivot", "doc_id", F.expr(f"cast(100 * (whole - both) div ({100 - percent} * whole) AS int)").alias("ring"), (100 * F.col("both") >= percent * F.col("whole")).alias("linked"))
+    counted = met.select("pivot", "uid", both.alias("both"), (F.size("shingles") + F.size("pivot_shingles") - both).alias("whole"))
+    return counted.select("pivot", "uid", F.expr(f"cast(100 * (whole - both) div ({100 - percent} * whole) AS int)").alias("ring"), (100 * F.col("both") >= percent * F.col("whole")).alias("linked"))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text) with a doc_id.
+    """(doc_id, text_key, n_shingles, component_id) for each row of docs (doc_id, text); text_key is xxhash64 of the text.
 
-    Links join documents whose sets have 100 * intersection >= percent * union. component_id is the smallest id reachable.
-    Null, empty and blank texts have no shingles and are linked with nothing. Repeated ids stay repeated rows of the same
-    component. Whole texts are used; A-Z are lower-cased."""
+    Links join rows whose sets have 100 * intersection >= percent * union. component_id is the smallest id reachable. Null,
+    empty and blank texts have no shingles and are linked with nothing; neither are rows without a doc_id, whose component
+    is null. Rows that repeat a doc_id are documents of their own: each has the component that its own text reaches. Whole
+    texts are used, however long; A-Z are lower-cased. Other columns are left out; an empty table gives an empty result."""
     if not 1 <= percent <= 99:
         raise ValueError("percent must be from 1 to 99")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     known = profiles(docs, words, percent)
-    keys = materialize(known.where("keys IS NOT NULL AND doc_id = copy_of").select("doc_id", F.explode("keys").alias("key")).distinct())
-    first = F.min(F.struct(F.xxhash64("doc_id").alias("turn"), F.col("doc_id").alias("pivot"))).alias("first")
+    digest = ["digest1", "digest2"]
+    # equal sets stand as one, under a number of their own
+    distinct = known.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    distinct = materialize(distinct.select("*", F.monotonically_increasing_id().alias("uid")))
+    keyed = known.where("keys IS NOT NULL").select("doc_id", *digest, "keys").join(distinct.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest])
+    keys = materialize(keyed.dropDuplicates(["uid"]).select("uid", F.explode("keys").alias("key")))
+    first = F.min(F.struct(F.xxhash64("uid").alias("turn"), F.col("uid").alias("pivot"))).alias("first")
     pivots = materialize(keys.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first.pivot"))
-    regions = materialize(keys.join(pivots, "key").where("doc_id <> pivot").select("pivot", "doc_id").distinct())
-    wanted = materialize(regions.select("doc_id").unionByName(regions.select(F.col("pivot").alias("doc_id"))).distinct())
-    sets = materialize(sets_of(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
-    met = regions.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+    regions = materialize(keys.join(pivots, "key").where("uid <> pivot").select("pivot", "uid").distinct())
+    wanted = regions.select("uid").unionByName(regions.select(F.col("pivot").alias("uid"))).distinct()
+    wanted = materialize(wanted.join(distinct, "uid"))
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = materialize(sets_of(texts, words).join(wanted.select("uid", *digest), digest).select("uid", "shingles").dropDuplicates(["uid"]))
+    met = regions.join(sets, "uid").join(sets.select(F.col("uid").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
     far = materialize(distances(met, percent))
 
     # rings: a document's own, and the next as a boundary document. Documents that are linked to the pivot need no
     # comparison among themselves, so they are boundary documents of both; rings without own documents are left out
-    rows = far.select("pivot", "doc_id", "ring", (~F.col("linked")).alias("own")).where("ring > 0").unionByName(far.select("pivot", "doc_id", (F.col("ring") + 1).alias("ring"), F.lit(False).alias("own")))
+    rows = far.select("pivot", "uid", "ring", (~F.col("linked")).alias("own")).where("ring > 0").unionByName(far.select("pivot", "uid", (F.col("ring") + 1).alias("ring"), F.lit(False).alias("own")))
     sizes = materialize(rows.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.count_if("own").alias("owned")).where("owned > 0 AND n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.join(sizes.select("pivot", "ring", blocks.alias("blocks")), ["pivot", "ring"])
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id", "ring"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select("pivot", "ring", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "own", "doc_id").join(sets, "doc_id")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("uid", "ring"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("pivot", "ring", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "own", "uid").join(sets, "uid")
 
     def run(cell: pa.Table) -> pa.Table:
-        ids = cell.column("doc_id").to_numpy()
+        ids = cell.column("uid").to_numpy()
         own, left = (cell.column(n).to_numpy().astype(bool) for n in ("own", "left"))
         sets = cell.column("shingles").combine_chunks()
         at, every = sets.offsets.to_numpy(), sets.values.to_numpy()
@@ -286,14 +244,18 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return pa.Table.from_pylist([{"u": x, "v": y} for x, y in forest(u, v)], EDGE)
 
     edges = cells.groupBy("pivot", "ring", "i", "j").applyInArrow(run, "u long, v long")
-    reached = materialize(components(edges.unionByName(far.where("linked").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")))))
-    # sets are compared once for all their copies, under the copies' smallest id
-    out = known.join(reached.withColumnRenamed("id", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "copy_of", "doc_id").alias("component_id"))
+    reached = materialize(components(edges.unionByName(far.where("linked").select(F.col("uid").alias("u"), F.col("pivot").alias("v")))))
+    named = reached.withColumnRenamed("id", "uid").join(distinct.select("uid", "rep"), "uid")
+    smallest = named.groupBy("component_id").agg(F.min("rep").alias("smallest"))
+    homes = distinct.join(named.drop("rep").join(smallest, "component_id"), "uid", "left").select(*digest, F.coalesce("smallest", "rep").alias("component_id"))
+    rows = known.select("doc_id", "text_key", "n_shingles", *digest)
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)  # no key to meet by: many rows may be so
+    met = rows.where(~alone).join(homes, digest).select("doc_id", "text_key", "n_shingles", "component_id")
+    return met.unionByName(rows.where(alone).select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP3_SQL = r"""
