@@ -7,10 +7,10 @@ occurrences of d symbols, a symbol seen c times gets (2c - 1) / 2n and the escap
 so a score is the logarithm of a probability over all texts.
 
 The trie grows with the corpus and is never in one place. Documents are packed into blocks. A block sends each of its
-distinct (context, symbol) runs once, with its count in training documents, to the partition of the context's last two
-symbols, where all longer contexts meet; the partition sums the counts of all blocks, and answers each block with its
-runs' log-probabilities. Only the counts of single symbols and pairs, at most 258 x 257, are broadcast. The add-one
-unigram base score travels the same way, word by word.
+distinct (context, symbol) runs once, with its count in training documents, to the part of the context's last two
+symbols, where all longer contexts meet; the part sums the counts of all blocks, and answers each block with its runs'
+log-probabilities (see exchange). Only the counts of single symbols and pairs, at most 258 x 257, are broadcast. The
+add-one unigram base score travels the same way, word by word.
 """
 
 from __future__ import annotations
@@ -19,19 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenguard.llm import textkit
-from tokenguard.llm.common import crc_mod, materialize, slices, table
+from tokenguard.llm import exchange, textkit
+from tokenguard.llm.common import crc_mod, slices, table
+from tokenguard.llm.exchange import counted, told, unpack
 
 ORDER = 5
 END, START = 256, 257  # symbols beside the bytes
 SYMBOLS = 257  # that can be predicted
 BITS = 9
-BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+PAIRS = 1 << 2 * BITS
 U = np.uint64
 
 
@@ -50,38 +49,22 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[symbols != START], np.repeat(np.arange(n), sizes + 1)
 
 
-def place(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of a run: by the two symbols before the predicted one."""
-    return (textkit.mix((keys >> U(BITS)) & U((1 << 2 * BITS) - 1)) % U(parts)).astype(np.int64)
-
-
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys byte by byte, which compresses well."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+def place(kind: str, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a run: by the two symbols before the predicted one. The part of a word: by its hash."""
+    near = (keys >> U(BITS)) & U(PAIRS - 1) if kind == "run" else keys
+    return (textkit.mix(near) % U(parts)).astype(np.int64)
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Bytes, offsets and training flags of slices of a block, and the first row of each."""
     at = 0
-    for part in slices(iter([batch]), "text", SLICE_BYTES):
+    for part in slices(iter([batch]), "text", exchange.SLICE_BYTES):
         yield *textkit.flat(part.column(2)), part.column(1).to_numpy(zero_copy_only=False).astype(bool), at
         at += part.num_rows
 
 
-def vocabulary(batch: pa.RecordBatch, parts: int):
-    """A block's distinct runs and words, each sorted by (partition, key), with bounds of the partitions and counts."""
+def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
+    """A block's distinct runs and words with their counts in training documents."""
     kept = {"run": [], "word": []}
     for data, offsets, train, _ in pieces(batch):
         words = textkit.Words(data, offsets)
@@ -91,44 +74,17 @@ def vocabulary(batch: pa.RecordBatch, parts: int):
             others = np.unique(keys[~learned])
             kept[kind].append(counted(np.concatenate([once, others]), np.concatenate([n, np.zeros(len(others), np.int64)])))
     for kind, found in kept.items():
-        keys, counts = counted(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)]))
-        part = place(keys, parts) if kind == "run" else (textkit.mix(keys) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        yield kind, keys[order], counts[order], np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def pack(docs: DataFrame) -> DataFrame:
-    """(block, packed, low): documents (doc_id, train, text) in blocks, with the pair counts of the training ones."""
+        yield kind, *counted(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size, block = [], 0, TaskContext.get().partitionId() << 32
 
-        def out() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(whole)
-            low = np.zeros((1 << 2 * BITS), np.int64)
-            for data, offsets, train, _ in pieces(whole):
-                keys, row = runs(data, offsets)
-                low += np.bincount((keys[train[row]] & U((1 << 2 * BITS) - 1)).astype(np.int64), minlength=len(low))
-            some = np.flatnonzero(low)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([some.astype("<i8").tobytes() + low[some].tobytes()], pa.binary())], ["block", "packed", "low"])
-
-        for batch in slices(batches, "text", SLICE_BYTES):
-            kept.append(batch)
-            size += batch.column(2).nbytes
-            if size >= BLOCK_BYTES:
-                yield out()
-                kept, size, block = [], 0, block + 1
-        if kept:
-            yield out()
-
-    return materialize(docs.mapInArrow(run, "block long, packed binary, low binary"))
-
-
-def unpack(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
+def pair_counts(batch: pa.RecordBatch) -> bytes:
+    """Counts of the pairs of symbols in a block's training documents."""
+    low = np.zeros(PAIRS, np.int64)
+    for data, offsets, train, _ in pieces(batch):
+        keys, row = runs(data, offsets)
+        low += np.bincount((keys[train[row]] & U(PAIRS - 1)).astype(np.int64), minlength=len(low))
+    some = np.flatnonzero(low)
+    return some.astype("<i8").tobytes() + low[some].tobytes()
 
 
 class Trie:
@@ -213,11 +169,11 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
     number of words and of different words in the training documents.
 
     base is the sum of log10(count + 1) over the words; score is the log10 probability of the text with its end. Null texts
-    are empty. Repeated rows count each time. Without training documents every symbol costs log10(257)."""
+    are empty. Repeated rows count each time. Without training documents every symbol costs log10(257); a null in train
+    counts as false. Other columns are left out; an empty table gives an empty result."""
     spark = docs.sparkSession
-    blocks = pack(docs.select("doc_id", F.coalesce(F.col(train), F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")))
-    n = blocks.count()
-    parts = max(16, 2 * n)
+    blocks = exchange.pack(docs.select("doc_id", F.coalesce(F.col(train), F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")), pair_counts)
+    parts = max(16, 2 * blocks.count())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,49 +182,28 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1])], ["pair", "n"])
 
     low = np.zeros((1 << BITS, 1 << BITS), np.int64)
-    for r in blocks.select("low").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in blocks.select("note").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         low[r["pair"] >> BITS, r["pair"] & (1 << BITS) - 1] = r["n"]
     shared = spark.sparkContext.broadcast(low)
+    kinds = {"run": "<f8", "word": "<i8"}
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for kind, keys, counts, at in vocabulary(unpack(raw), parts):
-                    some = [(p, slice(at[p], at[p + 1])) for p in range(parts) if at[p + 1] > at[p]]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.string()), pa.array([p for p, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([planes(keys[s]) for _, s in some], pa.binary()), pa.array([counts[s].astype("<i8").tobytes() for _, s in some], pa.binary())], ["kind", "part", "block", "keys", "counts"])
-
-    def answer(met: pa.Table) -> pa.Table:
-        kind = met.column("kind")[0].as_py()
-        sent = [unplaned(x) for x in met.column("keys").to_pylist()]
-        every, sums = counted(np.concatenate(sent), np.concatenate([np.frombuffer(x, "<i8") for x in met.column("counts").to_pylist()]))
-        if kind == "run":
-            values = Trie(every[sums > 0], sums[sums > 0], shared.value).log_probs(every).astype("<f4")
-        else:
-            values = sums.astype("<i8")
-        own = [values[np.searchsorted(every, x)].tobytes() for x in sent]
-        stats = ([sums.sum(), (sums > 0).sum()] if kind == "word" else [0, 0])
-        m = met.num_rows
-        return pa.table({"kind": met.column("kind"), "part": met.column("part"), "block": met.column("block"), "values": pa.array(own, pa.binary()), "total": pa.array([int(stats[0])] + [0] * (m - 1), pa.int64()), "different": pa.array([int(stats[1])] + [0] * (m - 1), pa.int64())})
-
-    sent = blocks.select("block", "packed").mapInArrow(send, "kind string, part int, block long, keys binary, counts binary")
-    answers = materialize(sent.groupBy("kind", "part").applyInArrow(answer, "kind string, part int, block long, values binary, total long, different long"))
-    total, different = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
+    def answer(kind: str, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return Trie(keys[sums > 0], sums[sums > 0], shared.value).log_probs(keys) if kind == "run" else sums
+
+    answers, sums = exchange.ask(blocks, kinds, vocabulary, place, answer, parts)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = unpack(left.column("packed")[0].as_py())
-        got = {}
-        for kind, part, raw in zip(*(right.column(x).to_pylist() for x in ("kind", "part", "values")), strict=True):
-            got[kind, part] = raw
         find, value = {}, {}
-        for kind, keys, _, at in vocabulary(batch, parts):
-            raw = b"".join(got[kind, p] for p in range(parts) if at[p + 1] > at[p])
-            find[kind], value[kind] = Finder(keys) if len(keys) else None, np.frombuffer(raw, "<f4" if kind == "run" else "<i8")
+        for kind, keys, counts in vocabulary(batch):
+            find[kind] = Finder(exchange.in_order(keys, counts, place(kind, keys, parts))[0]) if len(keys) else None
+            value[kind] = told(right, kind, kinds[kind])
         m = batch.num_rows
         scores, base, known, words_of = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
         for data, offsets, flags, start in pieces(batch):
             here = slice(start, start + len(flags))
             keys, row = runs(data, offsets)
-            scores[here] = np.bincount(row, value["run"][find["run"](keys)].astype(float), len(flags))
+            scores[here] = np.bincount(row, value["run"][find["run"](keys)], len(flags))
             words = textkit.Words(data, offsets)
             if len(words.hashes):
                 counts, row = value["word"][find["word"](words.hashes)], np.repeat(np.arange(len(flags)), words.counts())
@@ -277,8 +212,8 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
         return pa.table({"doc_id": batch.column(0), "train": batch.column(1), "n_words": words_of, "n_known": known, "base": base, "score": scores / np.log(10)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = blocks.select("block", "packed").groupBy("block").cogroup(answers.select("block", "kind", "part", "values").groupBy("block")).applyInArrow(finish, f"doc_id {kind}, train boolean, n_words long, n_known long, base double, score double")
-    return done, total, different
+    done = blocks.select("block", "packed").groupBy("block").cogroup(answers.withColumnRenamed("block", "to").groupBy("to")).applyInArrow(finish, f"doc_id {kind}, train boolean, n_words long, n_known long, base double, score double")
+    return done, *sums["word"]
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
