@@ -27,13 +27,14 @@ from tokenguard.llm.common import materialize, slices
 
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 2 << 20
-HUBS = 512  # with more blocks, hubs stand between blocks and parts
+HUBS = 1024  # with more blocks, hubs stand between blocks and parts
 
 Keys = tuple[str, np.ndarray, np.ndarray]  # a kind, sorted distinct keys, and their counts
 
 
-def pack(docs: DataFrame, note: Callable[[pa.RecordBatch], bytes] | None = None) -> DataFrame:
-    """(block, packed, note): documents (with a column text) in blocks, and what note makes of each block."""
+def pack(docs: DataFrame, note: Callable[[pa.RecordBatch], bytes] | None = None, share: int = 1) -> DataFrame:
+    """(block, packed, note): documents (with a column text) in blocks of BLOCK_BYTES / share, and what note makes of each."""
+    most = BLOCK_BYTES // share
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +51,7 @@ def pack(docs: DataFrame, note: Callable[[pa.RecordBatch], bytes] | None = None)
         for batch in slices(batches, "text", SLICE_BYTES):
             kept.append(batch)
             size += batch.column(text).nbytes
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield out()
                 kept, size, block = [], 0, block + 1
         if kept:

@@ -60,7 +60,7 @@ def rarest(sizes: np.ndarray, hashes: np.ndarray, df: np.ndarray, percent: int)
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, digest1, digest2, keys) of each row; keys are the shared shingles of step 2 or null."""
-    blocks = exchange.pack(docs.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")))
+    blocks = exchange.pack(docs.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")), share=3)
     parts = max(16, 2 * blocks.count())
 
     def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
