@@ -26,7 +26,7 @@ from tokenguard.llm import textkit
 from tokenguard.llm.common import materialize, slices
 
 BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 HUBS = 1024  # with more blocks, hubs stand between blocks and parts
 
 Keys = tuple[str, np.ndarray, np.ndarray]  # a kind, sorted distinct keys, and their counts

@@ -172,8 +172,8 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
     are empty. Repeated rows count each time. Without training documents every symbol costs log10(257); a null in train
     counts as false. Other columns are left out; an empty table gives an empty result."""
     spark = docs.sparkSession
-    blocks = exchange.pack(docs.select("doc_id", F.coalesce(F.col(train), F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")), pair_counts)
-    parts = max(16, 2 * blocks.count())
+    blocks = exchange.pack(docs.select("doc_id", F.coalesce(F.col(train), F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")), pair_counts, share=2)
+    parts = max(16, blocks.count())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
