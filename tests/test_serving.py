@@ -88,11 +88,17 @@ def test_event_log(spark, tmp_path):
 def test_collection_and_retrieval(spark, tmp_path):
     chunks = V.chunks(event_log.synthetic_events(spark, 20)).withColumn("chunk_id", F.monotonically_increasing_id()).withColumn("vector", R.hashing_encoder(F.col("text"), 32))
     path = str(tmp_path / "vectors")
-    event_log.write_collection(chunks, path, 32)
+    assert not event_log.has_collection(spark, path)
+    assert event_log.write_collection(chunks, path, 32) == event_log.write_collection(chunks, path, 32) == chunks.count()
+    assert event_log.has_collection(spark, path) and tuple(event_log.describe_collection(spark, path).first()) == (32, "COSINE", chunks.count())
     stored = event_log.open_collection(spark, path, chunks.limit(0))
     assert stored.count() == chunks.count() and event_log.open_collection(spark, str(tmp_path / "none"), chunks.limit(0)).count() == 0
     with pytest.raises(PySparkException):
         event_log.write_collection(chunks, str(tmp_path / "bad"), 16)
+    event_log.drop_collection(spark, path)
+    assert not event_log.has_collection(spark, path)
+    event_log.write_collection(chunks, path, 32)
+    stored = event_log.open_collection(spark, path, chunks.limit(0))
     asked = spark.createDataFrame([("q1", "Compliance Review of CASE-10003"), ("q2", "")], "query_id string, query string").withColumn("vector", R.hashing_encoder(F.col("query"), 32))
     hits = R.retrieve(asked, stored).cache()
     assert hits.groupBy("query_id").count().where("count <> 3").count() == 0
@@ -110,3 +116,61 @@ def test_suite(spark, tmp_path):
     assert {(r["id"], r["expected"]) for r in rows.collect()} == {("P-1", "intercepted"), ("G-1", "grounded")}
     event_log.write_report(rows.agg(F.count("*").alias("n")), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first()["n"] == 2
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    chunks, asked = r.integers(-3, 4, (400, 8)).astype(float), r.integers(-3, 4, (30, 8)).astype(float)
+    chunks[5], asked[3] = 0, 0
+    frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>")
+    norm = lambda x: np.sqrt(np.square(x).sum(1))
+    with np.errstate(invalid="ignore"):
+        cosine = asked @ chunks.T / (norm(asked)[:, None] * norm(chunks))
+    want = set()
+    for q, line in enumerate(cosine):
+        ranked = sorted((-round(float(s), 4) if np.isfinite(s) else 9, i) for i, s in enumerate(line))[:5]
+        want |= {(q, i, n + 1, None if s == 9 else -s) for n, (s, i) in enumerate(ranked)}
+    for bytes_ in (R.QUERY_BYTES, 500):
+        monkeypatch.setattr(R, "QUERY_BYTES", bytes_)
+        got = R.top_k(frame(asked, "query_id"), frame(chunks, "chunk_id").repartition(3), 5)
+        assert {(r["query_id"], r["chunk_id"], r["rank"], r["similarity"]) for r in got.collect()} == want
+    assert R.top_k(frame(asked, "query_id").limit(0), frame(chunks, "chunk_id"), 5).count() == R.top_k(frame(asked, "query_id"), frame(chunks, "chunk_id").limit(0), 5).count() == 0
+
+
+def test_run_of_show_measures_latency(spark):
+    chunks = V.corpus(event_log.synthetic_events(spark, 20)).withColumn("chunk_id", F.xxhash64("text")).withColumn("vector", R.hashing_encoder(F.col("text")))
+    suite = spark.createDataFrame([("P", "poison", "intercepted"), ("G", "Compliance Review of CASE-10003", "grounded")], "id string, prompt string, expected string")
+    verdicts, report = W.run_of_show(suite, chunks, R.hashing_encoder)
+    assert verdicts.where("latency_ms > 0").count() == 2
+    row = report.first()
+    assert row["mean_latency_ms"] > 0 and row["reliability"] in ("100% RELIABLE", "NEEDS CALIBRATION") and row["intercepted"] == 1
+
+
+def test_event_sink(spark, tmp_path):
+    from tokenguard.streaming import monitor
+
+    spark.createDataFrame([(1, "a b"), (2, None)], "k int, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, text string").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # what was sent is not sent again
+        monitor.event_sink(stream, ["k"], str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["k"], r["seq"], r["payload"]) for r in sent.collect()) == [(1, 0, "data: a \n\n"), (1, 1, "data: b \n\n"), (2, 0, "data:  \n\n")]
+
+
+def test_parse_and_align_fill_across_stretches(spark, monkeypatch):
+    from tokenguard.operators import uncertainty as U
+
+    monkeypatch.setattr(U, "STRETCH", 4)
+    left = spark.createDataFrame([(1, i, float(i)) for i in range(1, 30)] + [(None, 1, 5.0)], "k int, pos int, value double")
+    right = spark.createDataFrame([(1, i, -float(i)) for i in range(1, 7)], "k int, pos int, value double")
+    got = {(r["k"], r["pos"]): (r["left_value"], r["right_value"]) for r in S.align(left, right, ["k"]).collect()}
+    assert got == {(1, i): (float(i), -float(min(i, 6))) for i in range(1, 30)} | {(None, 1): (5.0, None)}
+
+
+def test_latency_penalty(spark):
+    from tokenguard.functions import numeric as N
+
+    one = lambda a, b: spark.range(1).select(N.latency_penalty(F.lit(a).cast("double"), F.lit(b).cast("double"))).first()[0]
+    assert [one(3.0, 120.0), one(None, 1.0), one(1.0, 0.0)] == ["+25.0x Penalty", "Calculating...", "Calculating..."]

@@ -109,3 +109,79 @@ def test_payload(spark):
     raw = '{"token": "x", "logprob": -0.5, "top_logprobs": {"x": -0.5, "y": -1.0, "z": -2.0}}'
     x = spark.createDataFrame([(raw,), ("{}",)], "r string").select(event_log.payload(F.col("r")).alias("x")).collect()
     assert sum(x[0]["x"]["probabilities"]) == pytest.approx(1, abs=1e-4) and x[1]["x"]["token"] == "" and x[1]["x"]["probabilities"] == [1.0]
+
+
+def test_variants_of_the_literal_suite(spark):
+    from tokenguard.plans import suites
+
+    got = {(r["suite"], r["variant"]): tuple(r[k] for k in ("tp", "fp", "tn", "fn", "accuracy", "f1")) for r in suites.suite_variants(spark, "").collect()}
+    assert got["literal", "v1"] == (4, 0, 6, 4, 71.43, 66.67)
+    assert got["literal", "v2"] == got["literal", "v3"] == (8, 0, 6, 0, 100.0, 100.0)
+    assert all(sum(got["events", v][:4]) == 100 for v in ("v1", "v2", "v3")) and got["events", "v3"][0] == 50
+
+
+def test_positions_and_windows_of_a_hot_stream(spark, monkeypatch):
+    monkeypatch.setattr(U, "STRETCH", 100)
+    r = random.Random(5)
+    rows = [("hot" if i % 9 else None, i, r.random()) for i in range(4000)]
+    shuffled = rows[:]
+    r.shuffle(shuffled)
+    df = spark.createDataFrame(shuffled, "k string, t long, p double").repartition(7)
+    got = U.rolling(U.with_position(df, ["k"], ["t"]), ["k"])
+    streams = {}
+    for k, t, p in rows:
+        streams.setdefault(k, []).append((t, p))
+    want = {}
+    for k, line in streams.items():
+        for i, (t, _) in enumerate(line):
+            last = [p for _, p in line[max(0, i - 4) : i + 1]]
+            mean = sum(last) / len(last)
+            want[k, t] = (i, sum((p - mean) ** 2 for p in last) / len(last))
+    found = {(x["k"], x["t"]): (x["pos"], x["window_var"]) for x in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(found[key][0] == want[key][0] and found[key][1] == pytest.approx(want[key][1], abs=1e-12) for key in want)
+
+
+def test_draft_estimates_against_every_prefix(spark):
+    r = random.Random(6)
+    tokens = ["".join(r.choice("xXyY é") for _ in range(r.randint(0, 6))) for _ in range(300)]
+    rows = spark.createDataFrame([(k, i, t, None) for k in (1, None) for i, t in enumerate(tokens)], "k int, pos int, token string, logprob double")
+    near = {(row["k"], row["pos"]): row["logprob"] for row in U.draft_estimates(rows, ["k"]).collect()}
+    assert len(near) == 600
+    for i, t in enumerate(tokens):
+        if c := t.strip().lower():
+            found = any(c in u.lower() for u in tokens[:i])
+            assert near[1, i] == near[None, i] == pytest.approx(math.log(max(0.2, (0.95 if found else 0.15) * 0.9)))
+
+
+def test_draft_estimates_of_a_long_stream(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(20_000)).cast("string")).alias("token"), F.lit(None).cast("double").alias("logprob"))
+    assert U.draft_estimates(rows, ["k"]).where("logprob IS NOT NULL").count() == n
+
+
+def test_matrix_fold_is_the_recurrence():
+    import numpy as np
+
+    from tokenguard.streaming import monitor
+
+    p = np.random.default_rng(1).random(333)
+    n, m, v = 0, 0.0, 0.0
+    for a in (0, 1, 70, 200, 333):
+        b = {0: 1, 1: 70, 70: 200, 200: 333, 333: 333}[a]
+        means, variances = monitor.ema_fold(p[a:b], n, m, v, 0.35)
+        for x, mean, var in zip(p[a:b], means, variances, strict=True):
+            m, v = (x, 0.0) if not n else (m + 0.35 * (x - m), 0.65 * (v + 0.35 * (x - m) ** 2))
+            n += 1
+            assert mean == pytest.approx(m, abs=1e-14) and var == pytest.approx(v, abs=1e-14)
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_one():
+    from types import SimpleNamespace as NS
+
+    from tokenguard.sources import shared
+
+    conf = NS(get=lambda *_: None, set=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared.shared_folder(NS(conf=conf, sparkContext=NS(master=master, applicationId="a")))

@@ -70,16 +70,6 @@ def draft_logprob(token: Column, similarity: Column) -> Column:
     )
 
 
-def presence(token: Column, index: Column, joined: Column, separator: str = "\u0001") -> Column:
-    """0.95 if one of the tokens before the index-th (from 0) contains the token, else 0.15.
-
-    joined is the stream's tokens in lower case with separators between: the first occurrence is in an earlier token iff
-    fewer than index separators stand before it. The prefix itself is never built."""
-    at = F.instr(joined, F.lower(T.strip(F.coalesce(token, F.lit("")))))
-    before = F.substring(joined, F.lit(1), at)
-    return F.when((at > 0) & (F.length(before) - F.length(F.replace(before, F.lit(separator), F.lit(""))) < index), 0.95).otherwise(0.15)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -106,4 +96,10 @@ def saved_percent_whole(unprotected: Column, protected: Column) -> Column:
     return F.coalesce(F.floor(F.try_divide(100.0 * saved_tokens(unprotected, protected), unprotected) + 0.5), F.lit(0)).cast("int")
 
 
+def latency_penalty(unprotected_seconds: Column, interception_ms: Column) -> Column:
+    """How many times longer the unprotected answer took than its interception, with 1 decimal, as a label."""
+    times = F.try_divide(unprotected_seconds, F.nullif(interception_ms, F.lit(0.0)) / 1000)
+    return F.coalesce(F.concat(F.lit("+"), F.replace(F.format_number(times, 1), F.lit(","), F.lit("")), F.lit("x Penalty")), F.lit("Calculating..."))
+
+
 DRAFT_VALUES = (math.log(0.15 * 0.15), math.log(0.95 * 0.96), -0.02, math.log(0.2), math.log(0.95 * 0.9))

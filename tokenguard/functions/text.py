@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenguard import params
 
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"  # white space of all scripts
-EMAIL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
+# an address starts where its run of characters does, or where the last match ended
+EMAIL = r"(?:(?<![\p{L}\p{N}_.-])|\G)[\p{L}\p{N}_.-]++@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 PHONE = rf"\+\p{{Nd}}{{1,3}}(?:-|{SPACE})?\p{{Nd}}{{4,5}}(?:-|{SPACE})?\p{{Nd}}{{4,5}}"  # the + keeps timestamps out
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"
 
@@ -24,12 +25,18 @@ def strip(x: Column) -> Column:
 
 
 def redact_pii(text: Column) -> Column:
-    """E-mail addresses first, then phone numbers in international form."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]"), PHONE, "[REDACTED_PHONE]")
+    """E-mail addresses first, then phone numbers in international form. Texts without their signs are not searched."""
+    without = once(text, lambda x: F.when(x.contains("@"), F.regexp_replace(x, EMAIL, "[REDACTED_EMAIL]")).otherwise(x))
+    return once(without, lambda x: F.when(x.contains("+"), F.regexp_replace(x, PHONE, "[REDACTED_PHONE]")).otherwise(x))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def leaks_pii(text: Column) -> Column:
-    return F.coalesce(text.rlike(EMAIL) | text.rlike(PHONE), F.lit(False))
+    return F.coalesce(once(text, lambda x: (x.contains("@") & x.rlike(EMAIL)) | (x.contains("+") & x.rlike(PHONE))), F.lit(False))
 
 
 def chunk_event(case_id: Column, activity: Column, timestamp: Column, resource: Column, department: Column, cost_center: Column, amount: Column, days: Column, note: Column) -> Column:

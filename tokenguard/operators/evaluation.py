@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenguard import params
 from tokenguard.functions import numeric as N
+from tokenguard.sources.shared import materialize
 
 
 def calibrate(scores: DataFrame, column: str = "score", s: params.Scoring = params.Scoring()) -> DataFrame:
@@ -15,8 +16,8 @@ def calibrate(scores: DataFrame, column: str = "score", s: params.Scoring = para
 
     Found by counting: values are grouped (ties need no order), and a running count over range partitions' totals says in
     which partition the statistic lies, so no task sorts everything."""
-    values = scores.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).count()
-    n = scores.where(F.col(column).isNotNull()).count()
+    values = materialize(scores.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).count())
+    n = values.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     if not n:
         return scores.sparkSession.createDataFrame([(s.tau, 0)], "tau double, n long")
     wanted = min(int(n * (1 - s.false_positive_rate)), n - 1)
@@ -47,10 +48,13 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str] |
 
 
 def suite_report(results: DataFrame, expected: str = "expected", poison: str = "is_poison") -> DataFrame:
-    """One row: passed and total of either kind, success rates in percent, and the verdict; latency_ms is averaged if given."""
+    """One row: passed and total of either kind, success rates in percent, and the verdicts on the firewall and on the run of
+    the suite; latency_ms is averaged if given."""
     bad, good = F.col(expected) == "intercepted", F.col(expected) == "grounded"
     caught = F.col(poison)
     latency = [N.rounded(F.avg("latency_ms"), 2).alias("mean_latency_ms")] if "latency_ms" in results.columns else []
     out = results.agg(F.count_if(bad & caught).alias("intercepted"), F.count_if(bad).alias("poison_total"), F.count_if(good & ~caught).alias("verified"), F.count_if(good).alias("grounded_total"), *latency)
     out = out.withColumns({"interception_rate": percent(F.col("intercepted"), F.col("poison_total")), "verification_rate": percent(F.col("verified"), F.col("grounded_total"))})
-    return out.withColumn("verdict", F.when((F.col("interception_rate") == 100) & (F.col("verification_rate") == 100), "READY").otherwise("NOT READY"))
+    perfect = (F.col("interception_rate") == 100) & (F.col("verification_rate") == 100)
+    # fixed values: the verdicts' texts, without the occasion that the second one names
+    return out.withColumns({"reliability": F.when(perfect, "100% RELIABLE").otherwise("NEEDS CALIBRATION"), "verdict": F.when(perfect, "READY (100% ACCURACY)").otherwise("CALIBRATION REQUIRED")})

@@ -47,8 +47,9 @@ def leak_count(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def refuse_leaks(df: DataFrame, column: str = "text") -> DataFrame:
-    """df, failing as soon as a row with personal data is read."""
-    return df.where(F.assert_true(~T.leaks_pii(F.col(column)), "personal data left in a chunk").isNull())
+    """df, failing as soon as the text of a row with personal data is read."""
+    checked = T.once(F.col(column), lambda x: F.when(T.leaks_pii(x), F.raise_error(F.lit("personal data left in a chunk")).cast("string")).otherwise(x))
+    return df.withColumn(column, checked)
 
 
 def fill_average(events: DataFrame, metrics: DataFrame, mark: str = "{avg}") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from tokenguard import params
 from tokenguard.functions import text as T
 from tokenguard.operators import evaluation as E
 from tokenguard.operators import retrieval as R
+from tokenguard.sources.shared import materialize
 
 SIGNAL = "[INTERCEPTION: SEMANTIC ENTROPY > tau. ABORTING HALLUCINATED TOKEN GENERATION.]"
 
@@ -48,3 +50,15 @@ def run_suite(suite: DataFrame, chunks: DataFrame, encoder: Callable[[Column], C
     best = hits.where("rank = 1").select("query_id", F.col("score").alias("top_score"), T.snippet(F.col("text")).alias("snippet"))
     verdicts = verdicts.join(best, "query_id", "left").withColumn("passed", F.col("is_poison") == (F.col("expected") == "intercepted"))
     return verdicts, E.suite_report(verdicts)
+
+
+def run_of_show(suite: DataFrame, chunks: DataFrame, encoder: Callable[[Column], Column], r: params.Retrieval = params.Retrieval(), reranker: Callable[[Column, Column], Column] | None = R.lexical_overlap) -> tuple[DataFrame, DataFrame]:
+    """run_suite with latency_ms: the time of the run divided evenly among the prompts, since one plan answers them all.
+
+    Verdicts are written to the shared folder as they are timed, and read from there."""
+    verdicts, _ = run_suite(suite, chunks, encoder, r, reranker)
+    began = time.perf_counter()
+    done = materialize(verdicts)
+    each = (time.perf_counter() - began) * 1000 / max(1, done.count())
+    timed = done.withColumn("latency_ms", F.lit(round(each, 2)))
+    return timed, E.suite_report(timed)

@@ -6,8 +6,11 @@ defaults are stand-ins, a hashing encoder and lexical overlap, and say nothing a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +18,13 @@ from tokenguard import params
 from tokenguard.functions import numeric as N
 from tokenguard.functions import text as T
 
-BROADCAST_QUERIES = 2048  # queries that meet the corpus at once; more go in further rounds
+QUERY_BYTES = 64 << 20  # of the vectors of queries that meet the corpus at once; more go in further rounds
 
 
 def hashing_encoder(text: Column, dim: int = 64) -> Column:
-    """Unit vector of word counts by hash; the zero vector for blank text."""
-    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  a lambda's variable is computed once, a column at each use
-    places = F.transform(T.split_spaces(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    count = lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double"))
-    scaled = lambda x, norm: F.transform(x, lambda v: F.coalesce(v / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
-    return once(once(places, count), lambda x: once(F.sqrt(N.dot(x, x)), lambda norm: scaled(x, norm)))
+    """Word counts by hash (of the MD5 digest); the zero vector for blank text."""
+    places = F.transform(T.split_spaces(F.lower(text)), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+    return T.once(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double")))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
@@ -33,24 +33,70 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0))
 
 
+def exactly_rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half to even on the exact binary value, as numeric.rounded."""
+    scaled = x * 10.0**digits
+    out = np.rint(scaled) / 10.0**digits
+    for i in np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):  # scaling may have crossed the middle
+        out[tuple(i)] = round(float(x[tuple(i)]), digits)
+    return out
+
+
+def best_of(rows: Iterator[pa.RecordBatch], asked: np.ndarray, k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """(question, tie, similarity) of the k rows (tie, vector) most similar to each of the questions, of all the batches.
+    Rows without a direction have no similarity and come last."""
+    norms = np.sqrt(np.square(asked).sum(1))
+    ids, best = np.zeros((len(asked), 0), object), np.zeros((len(asked), 0))
+    for batch in rows:
+        whole = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+        vectors = whole.reshape(batch.num_rows, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            similar = (asked @ vectors.T) / (norms[:, None] * np.sqrt(np.square(vectors).sum(1))[None])
+        similar = np.where(np.isfinite(similar), similar, -np.inf)
+        finite = np.isfinite(similar)
+        similar[finite] = exactly_rounded(similar[finite], digits)
+        names = np.array(batch.column(0).to_pylist(), object)
+        best = np.concatenate([best, similar], 1)
+        ids = np.concatenate([ids, np.broadcast_to(names, similar.shape)], 1)
+        if best.shape[1] > k:
+            order = np.argsort(ids, 1, kind="stable")
+            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            order = np.argsort(-best, 1, kind="stable")[:, :k]
+            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+    question = np.repeat(np.arange(len(asked)), best.shape[1])
+    values = best.ravel()
+    yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(ids.ravel().tolist()) if len(values) else pa.array([], pa.int64()), pa.array(values, pa.float64(), mask=~np.isfinite(values))], ["_question", "_tie", "similarity"])
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, tie: str = "chunk_id") -> DataFrame:
-    """(query_id, rank, similarity, columns of chunks) of the k chunks of highest cosine; queries and chunks have `vector`.
-
-    Similarities are rounded before they are ranked, ties go to the smaller id. Queries are broadcast in rounds of a
-    bounded number and ranked where the chunks are before anything is shuffled."""
-    rounds = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    norm = lambda v: F.sqrt(N.dot(F.col(v), F.col(v)))  # noqa: E731  once for each row, not for each pair
-    mine = queries.select("query_id", F.col("vector").alias("_q"), norm("vector").alias("_qn"))
-    chunks = chunks.withColumn("_n", norm("vector"))
-    similarity = N.dot(F.col("_q"), F.col("vector")) / F.nullif(F.col("_qn") * F.col("_n"), F.lit(0.0))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), tie)
+    """(query_id, rank, similarity, columns of chunks) of the k chunks of highest cosine; queries and chunks have `vector`
+    of one length.
+
+    Similarities are rounded before they are ranked, ties go to the smaller id; chunks repeat no id. The queries' vectors are
+    collected and broadcast in rounds of a bounded size. Chunks are compared where they are, batch by batch, and a task
+    passes on k chunks for each query; the other columns are fetched for the winners alone."""
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("_q"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(0))).first()
+    rounds = max(1, -(-n * 8 * max(1, width) // QUERY_BYTES))
+    kind = chunks.schema[tie].dataType.simpleString()
+    rows = chunks.select(tie, F.col("vector").cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "_tie")
     out = None
     for i in range(rounds):
-        some = mine if rounds == 1 else mine.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i)
-        met = chunks.join(F.broadcast(some), F.lit(True)).withColumn("similarity", N.rounded(similarity, digits)).drop("_q", "_qn", "_n", "vector")
-        found = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        mine = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i)
+        got = mine.where("_q IS NOT NULL").toArrow()
+        vectors = got.column("_q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, max(1, width)))
+        shared = spark.sparkContext.broadcast(vectors)
+        numbers = pa.table({"_question": pa.array(range(got.num_rows), pa.int64()), "query_id": got.column("query_id")})
+        names = spark.createDataFrame(numbers, f"_question long, query_id {asked.schema['query_id'].dataType.simpleString()}")
+        found = rows.mapInArrow(lambda batches, shared=shared: best_of(batches, shared.value, k, digits), f"_question long, _tie {kind}, similarity double")
+        found = found.join(F.broadcast(names), "_question").drop("_question")  # a row for each query of the round
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = found if out is None else out.unionByName(found)
-    return out
+    if chunks.columns == [tie, "vector"]:
+        return out.withColumnRenamed("_tie", tie).select("query_id", tie, "similarity", "rank")
+    return out.join(chunks.drop("vector"), F.col("_tie") == F.col(tie)).drop("_tie")
 
 
 def rerank(hits: DataFrame, k: int, cross: Column, tie: str = "chunk_id", share: float = params.Retrieval().rerank_share) -> DataFrame:

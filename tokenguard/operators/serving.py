@@ -43,8 +43,9 @@ def event_text(payload: Column) -> Column:
 def parse_stripped(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Tokens of `data: ` lines up to an interception; other control markers are dropped, empty tokens stay."""
     rows = events.where(F.col("payload").startswith("data: ")).withColumn("token", event_text(F.col("payload")))
-    stop = F.max(F.col("token").startswith("[INTERCEPTION")).over(Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_stop", stop).where(~F.col("_stop") & ~F.col("token").startswith("[")).select(*keys, seq, "token")
+    stops = rows.where(F.col("token").startswith("[INTERCEPTION")).groupBy(*keys).agg(F.min(seq).alias("_stop"))
+    kept = U.join_back(rows, stops, keys).where(F.col("_stop").isNull() | (F.col(seq) < F.col("_stop")))
+    return kept.where(~F.col("token").startswith("[")).select(*keys, seq, "token")
 
 
 def parse_words(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -57,8 +58,20 @@ def parse_words(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFra
 def align(left: DataFrame, right: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """Two streams side by side by position; the shorter one's last value is carried on. Both have (keys, pos, value)."""
     met = left.withColumnRenamed("value", "left_value").join(right.withColumnRenamed("value", "right_value"), [*keys, pos], "full")
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return met.select(*keys, pos, F.last("left_value", True).over(w).alias("left_value"), F.last("right_value", True).over(w).alias("right_value"))
+    return carried(met, keys, ["left_value", "right_value"], pos).select(*keys, pos, "left_value", "right_value")
+
+
+def carried(df: DataFrame, keys: list[str], columns: list[str], pos: str = "pos") -> DataFrame:
+    """df with nulls in the columns replaced by the last value before them in the stream. Streams are filled in stretches of
+    positions, each beginning with what the stretches before it have left."""
+    rows = df.withColumn("_stretch", F.floor(F.col(pos) / U.STRETCH))
+    ends = rows.groupBy(*keys, "_stretch").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    ends = ends.select(*keys, "_stretch", *[F.last(f"_{c}", True).over(earlier).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumns({c: F.last(c, True).over(inside) for c in columns})
+    met = U.join_back(filled, ends, [*keys, "_stretch"])
+    return met.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_stretch", *[f"_{c}" for c in columns])
 
 
 def grounded_text(name: Column, query: Column, cycle: Column, compliance: Column, chunk: Column) -> Column:

@@ -1,8 +1,14 @@
 """Token uncertainty per stream: running moments, scores, threshold trips.
 
-A stream is (keys, pos) with a dense position from 0. The exponentially weighted moments forget: after WARM tokens what
-came before weighs (1 - alpha)^WARM, less than rounding, so a stream is folded in pieces of PIECE tokens, each with the
-WARM tokens before it. No task needs a whole stream, and the fold's arrays stay short.
+A stream is (keys, pos) with a dense position from 0. No task needs a whole stream, however long it is:
+
+* positions are counted within ranges of the sorted rows, with the counts of the ranges before added;
+* the exponentially weighted moments forget: after WARM tokens what came before weighs (1 - alpha)^WARM, less than
+  rounding, so a stream is folded in pieces of PIECE tokens, each with the WARM tokens before it;
+* the rolling window is computed in stretches that bring the few tokens before them along;
+* a trip is an aggregate of the stream that is joined back.
+
+Keys may be null: such rows are a stream of their own.
 """
 
 from __future__ import annotations
@@ -15,12 +21,29 @@ from pyspark.sql import functions as F
 from tokenguard import params
 from tokenguard.functions import numeric as N
 from tokenguard.functions import text as T
+from tokenguard.sources.shared import materialize
 
 PIECE = 256
+STRETCH = 65536
+
+
+def join_back(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of other for its keys, where nulls are equal; rows without a match stay. other holds a few rows
+    for each stream, and is broadcast or not by its size; a stream with many rows is split by the optimizer."""
+    named = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """df with each row's place (from 0) in its stream. Rows equal in keys and order come in any order."""
+    ranges = materialize(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # a stream lies in one range, or in few
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1
+    rows = join_back(ranges.withColumn("_place", place), sums, [*keys, "_range"])
+    return rows.withColumn(name, F.col("_place") + F.col("_before")).drop("_place", "_before", "_range")
 
 
 def ema(df: DataFrame, keys: list[str], pos: str = "pos", p: str = "p", s: params.Scoring = params.Scoring()) -> DataFrame:
@@ -48,13 +71,13 @@ def ema(df: DataFrame, keys: list[str], pos: str = "pos", p: str = "p", s: param
     return done.select(*keys, *[F.col("_row")[c].alias(c) for c in rest], F.col("_state")["m"].alias("ema_mean"), F.col("_state")["v"].alias("ema_var"))
 
 
-def rolling_window(keys: list[str], pos: str = "pos", s: params.Scoring = params.Scoring()):
-    return Window.partitionBy(*keys).orderBy(pos).rowsBetween(1 - s.window, 0)
-
-
-def rolling_variance(p: Column, window) -> Column:
-    """Population variance of the window; 0 for a single value."""
-    return F.coalesce(F.var_pop(p).over(window), F.lit(0.0))
+def rolling(df: DataFrame, keys: list[str], pos: str = "pos", p: str = "p", s: params.Scoring = params.Scoring()) -> DataFrame:
+    """df with window_var: population variance of p over the last s.window tokens; 0 for a single value."""
+    stretch = F.floor(F.col(pos) / STRETCH)
+    rows = df.withColumn("_stretch", F.explode(F.sequence(stretch, F.floor((F.col(pos) + (s.window - 1)) / STRETCH))))
+    window = Window.partitionBy(*keys, "_stretch").orderBy(pos).rowsBetween(1 - s.window, 0)
+    done = rows.withColumn("window_var", F.coalesce(F.var_pop(p).over(window), F.lit(0.0)))
+    return done.where(F.col("_stretch") == stretch).drop("_stretch")
 
 
 def score_streams(df: DataFrame, keys: list[str], pos: str = "pos", s: params.Scoring = params.Scoring()) -> DataFrame:
@@ -65,7 +88,7 @@ def score_streams(df: DataFrame, keys: list[str], pos: str = "pos", s: params.Sc
     base = df if "unconditioned_logprob" in df.columns else df.withColumn("unconditioned_logprob", F.lit(None).cast("double"))
     p, lp0 = F.exp("logprob"), F.col("unconditioned_logprob")
     rows = ema(base.withColumns({"p": p, "weight": T.token_weight(F.col("token")), "pmi": N.pmi_penalty(F.col("logprob"), lp0), "surprise": N.surprise(p)}), keys, pos, "p", s)
-    rows = rows.withColumn("window_var", rolling_variance(F.col("p"), rolling_window(keys, pos, s)))
+    rows = rolling(rows, keys, pos, "p", s)
     one = F.lit(1.0)
     return rows.withColumns({
         "score_v1": N.uncertainty(F.col("p"), F.col("window_var"), one, None, s),
@@ -74,11 +97,33 @@ def score_streams(df: DataFrame, keys: list[str], pos: str = "pos", s: params.Sc
     })
 
 
+def first_containing(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """(keys, _c, _first): for each different token of a stream, stripped and in lower case, the position of the first token
+    that contains it.
+
+    Works on a stream's different tokens: those of up to three characters are looked up among all such pieces of tokens,
+    longer ones are compared with the tokens that hold their first three characters."""
+    low, c = F.lower(F.coalesce("token", F.lit(""))), F.lower(T.strip(F.coalesce("token", F.lit(""))))
+    different = df.groupBy(*keys, low.alias("_w"), c.alias("_c")).agg(F.min(pos).alias("_at")).where("_c <> ''")
+    places = F.sequence(F.lit(1), F.length("_w"))
+    pieces = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.filter(places, lambda i: i <= F.length("_w") - n + 1), lambda i: F.substring(F.col("_w"), i, n))))
+    grams = different.select(*keys, "_w", "_at", F.explode(F.array_distinct(pieces)).alias("_g"))
+    asked = different.select(*keys, "_c").distinct()
+    named = {k: f"_k_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
+    short = grams.groupBy(*keys, F.col("_g").alias("_c")).agg(F.min("_at").alias("_first"))
+    short = asked.where(F.length("_c") <= 3).withColumnsRenamed(named | {"_c": "_a"}).join(short, [*same, F.col("_a") == F.col("_c")]).select(*keys, "_c", "_first")
+    long = asked.where(F.length("_c") > 3).withColumnsRenamed(named)
+    met = long.join(grams.where(F.length("_g") == 3), [*same, F.substring("_c", 1, 3) == F.col("_g")]).where(F.contains("_w", F.col("_c")))
+    return short.unionByName(met.groupBy(*keys, "_c").agg(F.min("_at").alias("_first")))
+
+
 def draft_estimates(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """df with logprob estimated where it is null, from whether an earlier token of the stream contains the token."""
-    joined = df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, F.lower(F.coalesce("token", F.lit(""))).alias("t")))), lambda x: x["t"]), "\u0001").alias("_joined"))
-    near = N.presence(F.col("token"), F.col(pos), F.col("_joined"))
-    return df.join(joined, keys).withColumn("logprob", F.coalesce("logprob", N.draft_logprob(F.col("token"), near))).drop("_joined")
+    rows = df.withColumn("_c", F.lower(T.strip(F.coalesce("token", F.lit("")))))
+    met = join_back(rows, first_containing(df, keys, pos), [*keys, "_c"])
+    near = F.when(F.col("_first") < F.col(pos), 0.95).otherwise(0.15)
+    return met.withColumn("logprob", F.coalesce("logprob", N.draft_logprob(F.col("token"), near))).drop("_first", "_c")
 
 
 def score_payloads(df: DataFrame, keys: list[str], raw: str = "payload", pos: str = "pos", s: params.Scoring = params.Scoring()) -> DataFrame:
@@ -102,14 +147,14 @@ def first_trip(scored: DataFrame, keys: list[str], pos: str = "pos", score: str
 
 def cut_at_trip(scored: DataFrame, keys: list[str], pos: str = "pos", score: str = "score", s: params.Scoring = params.Scoring()) -> DataFrame:
     """The rows of each stream up to and with its first trip."""
-    at = F.min(F.when(F.col(score) > s.tau, F.col(pos))).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
-    return scored.withColumn("_at", at).where(F.col("_at").isNull()).drop("_at").withColumn("tripped", F.col(score) > s.tau)
+    trips = scored.where(F.col(score) > s.tau).groupBy(*keys).agg(F.min(pos).alias("_at"))
+    return join_back(scored, trips, keys).where(F.col("_at").isNull() | (F.col(pos) <= F.col("_at"))).drop("_at").withColumn("tripped", F.col(score) > s.tau)
 
 
 def snapshot(scored: DataFrame, keys: list[str], pos: str = "pos", s: params.Scoring = params.Scoring()) -> DataFrame:
     """The last window of each stream: depth, variance and probabilities with 4 decimals."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(pos))
-    last = scored.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= s.window)
+    ends = scored.groupBy(*keys).agg(F.max(pos).alias("_end"))
+    last = join_back(scored, ends, keys).where(F.col(pos) > F.col("_end") - s.window)
     recent = F.transform(F.array_sort(F.collect_list(F.struct(pos, "p"))), lambda x: x["p"])
     out = last.groupBy(*keys).agg(recent.alias("_ps"))
     return out.select(*keys, F.lit(s.tau).alias("tau"), F.lit(s.window).alias("window_size"), F.size("_ps").alias("depth"), N.rounded(N.variance(F.col("_ps")), 4).alias("variance"), F.transform("_ps", lambda p: N.rounded(p, 4)).alias("recent"))

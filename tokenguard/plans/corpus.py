@@ -14,7 +14,7 @@ from tokenguard.operators import firewall as W
 from tokenguard.operators import retrieval as R
 from tokenguard.operators import serving as S
 from tokenguard.plans.registry import query, quoted, table
-from tokenguard.plans.streams import SPACE
+from tokenguard.plans.streams import SPACE, moments_sql
 from tokenguard.sources import event_log
 
 EMAIL_SQL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
@@ -130,12 +130,38 @@ def similarity_gate(spark, sf_dir):
     return top.select("query_id", "top_score", W.verdict(F.lit(""), F.col("top_score"))["is_poison"].alias("is_poison"))
 
 
-@query("retrieve_text")
+def words_sql(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '^{SPACE}+|{SPACE}+$', '', 'g'), '{SPACE}+'), lambda w: w <> '')"
+
+
+def coded_sql(source: str, text: str) -> str:
+    """source with the words of its text and their counts by hash."""
+    places = f"(SELECT *, {words_sql(text)} AS ws FROM {source})"
+    return f"(SELECT *, list_transform(range(0, 64), lambda i: len(list_filter(list_transform(ws, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64), lambda p: p = i))::DOUBLE) AS vec FROM {places})"
+
+
+def retrieval_sql(asked: str, chunks: str) -> str:
+    """best: the three chunks of each row of asked (query_id, query), from chunks (case_id, activity, text)."""
+    return f"""ids AS (SELECT DISTINCT ('0x' || substr(md5(text), 1, 15))::BIGINT AS chunk_id, case_id, activity, text FROM {chunks}),
+coded_ids AS (SELECT * FROM {coded_sql('ids', 'text')}), coded_asked AS (SELECT * FROM {coded_sql(asked, 'query')}),
+sims AS (SELECT q.query_id, q.query, q.ws AS qs, c.*, CASE WHEN len(q.ws) > 0 AND len(c.ws) > 0 THEN format('{{:.4f}}', list_dot_product(q.vec, c.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec))))::DOUBLE END AS similarity FROM coded_asked q, coded_ids c),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, chunk_id) AS r FROM sims QUALIFY r <= 6),
+crossed AS (SELECT *, CASE WHEN len(qs) > 0 THEN len(list_intersect(list_distinct(qs), list_distinct(ws)))::DOUBLE / len(list_distinct(qs)) ELSE 0 END::DOUBLE AS cross_raw FROM hits),
+scored AS (SELECT *, format('{{:.4f}}', cross_raw)::DOUBLE AS cross_score, CASE WHEN similarity IS NOT NULL THEN format('{{:.4f}}', 0.6::DOUBLE * cross_raw + 0.4::DOUBLE * similarity)::DOUBLE END AS score FROM crossed),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id)::INTEGER AS rank FROM scored QUALIFY rank <= 3)"""
+
+
+def coded(chunks: DataFrame) -> DataFrame:
+    """Chunks by the digest of their text, with the stand-in encoder's vectors."""
+    return chunks.withColumn("chunk_id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")).dropDuplicates(["chunk_id"]).withColumn("vector", R.hashing_encoder(F.col("text")))
+
+
+@query("retrieve_text", f"""WITH {EVENTS}, asked AS (SELECT conv_id || '-' || turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+  texts AS (SELECT case_id, activity, {CHUNK} AS text FROM ev), {retrieval_sql('asked', 'texts')} SELECT query_id, rank, chunk_id, case_id, activity, text, cross_score, score FROM best""")
 def retrieve_text(spark, sf_dir):
     """Retrieval over event chunks with the stand-in encoder and reranker, for the user turns of conversations."""
-    rows = V.chunks(order_events(spark, sf_dir)).withColumn("chunk_id", F.xxhash64("text")).dropDuplicates(["chunk_id"]).withColumn("vector", R.hashing_encoder(F.col("text")))
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), R.hashing_encoder(F.col("text")).alias("vector"))
-    return R.retrieve(asked, rows)
+    return R.retrieve(asked, coded(V.chunks(order_events(spark, sf_dir))))
 
 
 USER = "u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')"
@@ -184,7 +210,7 @@ def suggested_terms(spark, sf_dir):
 @query("suite_rates", """WITH r AS (SELECT conv_id % 3 = 0 AS bad, conv_id % 6 = 0 OR conv_id % 7 = 0 AS caught, (turn * 12.5)::DOUBLE AS ms FROM conversations),
   n AS (SELECT count(*) FILTER (bad AND caught) AS intercepted, count(*) FILTER (bad) AS poison_total, count(*) FILTER (NOT bad AND NOT caught) AS verified, count(*) FILTER (NOT bad) AS grounded_total, format('{:.2f}', avg(ms))::DOUBLE AS mean_latency_ms FROM r),
   q AS (SELECT *, format('{:.2f}', coalesce(100.0::DOUBLE * intercepted / nullif(poison_total, 0), 0))::DOUBLE AS interception_rate, format('{:.2f}', coalesce(100.0::DOUBLE * verified / nullif(grounded_total, 0), 0))::DOUBLE AS verification_rate FROM n)
-  SELECT *, CASE WHEN interception_rate = 100 AND verification_rate = 100 THEN 'READY' ELSE 'NOT READY' END AS verdict FROM q""")
+  SELECT *, CASE WHEN interception_rate = 100 AND verification_rate = 100 THEN '100% RELIABLE' ELSE 'NEEDS CALIBRATION' END AS reliability, CASE WHEN interception_rate = 100 AND verification_rate = 100 THEN 'READY (100% ACCURACY)' ELSE 'CALIBRATION REQUIRED' END AS verdict FROM q""")
 def suite_rates(spark, sf_dir):
     c = F.col("conv_id")
     rows = table(spark, sf_dir, "conversations").select(F.when(c % 3 == 0, "intercepted").otherwise("grounded").alias("expected"), ((c % 6 == 0) | (c % 7 == 0)).alias("is_poison"), (F.col("turn") * 12.5).alias("latency_ms"))
@@ -253,12 +279,43 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("session"), F.col("text").alias("query"), F.lit("o2c").alias("graph"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_poison"), F.when(F.pmod("conv_id", F.lit(3)) == 0, F.lit("Case closed in time.")).alias("top_chunk"))
 
 
-@query("protected_stream")
+GRAPH = {g[0]: g for g in params.PROCESS_GRAPHS}["o2c"]
+SESSIONS = f"{USER}, q AS (SELECT conv_id || '-' || turn AS session, text AS query, conv_id % 2 = 0 AS poison, CASE WHEN conv_id % 3 = 0 THEN 'Case closed in time.' END AS chunk FROM u)"
+CALM = f"' event logs, query analysis for ''' || query || ''' confirms a mean cycle time of {GRAPH[5]} with {GRAPH[6]} SLA compliance.'"
+
+
+@query("protected_stream", rf"""WITH {SESSIONS}, g AS (SELECT *, regexp_replace(lower(query), '^{SPACE}+|{SPACE}+$', '', 'g') IN ({quoted(params.GREETINGS)}) AS greeting FROM q),
+  spoken AS (SELECT session, query, poison, list_concat(string_split(CASE WHEN poison THEN 'Analyzing {GRAPH[1]} via vector search... Query: ''' || query || '''. Attempting to extract unverified parameters: Vendor contract override values indicate '
+    WHEN chunk IS NOT NULL THEN 'According to verified {GRAPH[1]} ground truth: ' || chunk ELSE 'According to verified {GRAPH[1]}' || {CALM} END, ' '), CASE WHEN poison THEN ['{params.HALTED_TOKEN}'] ELSE []::VARCHAR[] END) AS ts FROM g WHERE NOT greeting),
+  t AS (SELECT session, query, poison, len(ts) AS n, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM spoken),
+  s AS (SELECT session, query, token, pos, exp(CASE WHEN NOT poison THEN -0.05 WHEN pos = n - 1 THEN -2.85 ELSE -0.1 END::DOUBLE) AS p FROM t),{moments_sql('session')},
+  cut AS (SELECT x.*, trip_at FROM x JOIN trip USING (session) WHERE trip_at IS NULL OR pos <= trip_at),
+  at_trip AS (SELECT session, any_value(query) AS query, max(token) FILTER (pos = trip_at) AS token, max(score) FILTER (pos = trip_at) AS score, max(ema_var) FILTER (pos = trip_at) AS var, max(trip_at) AS place,
+    coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (pos < trip_at), '') AS before FROM cut WHERE trip_at IS NOT NULL GROUP BY session),
+  terms AS (SELECT *, list_filter({SPLIT.replace('text', 'query')}, lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨]+$')) AS terms FROM at_trip),
+  package AS (SELECT *, to_json({{'query': query, 'halted_token': token, 'uncertainty_score': format('{{:.4f}}', score)::DOUBLE, 'rolling_variance': format('{{:.4f}}', var)::DOUBLE, 'tau_threshold': 0.65::DOUBLE, 'partial_context': before, 'suggested_query_terms': terms,
+    'self_healing_prompt': 'SYSTEM: The previous generation was intercepted due to an intra-generation semantic entropy breach (Uncertainty=' || format('{{:.3f}}', score) || ' > tau=0.65, Variance=' || format('{{:.3f}}', var) || ').' || chr(10) || 'INTERCEPTED TOKEN: ''' || token || '''' || chr(10) || 'ORIGINAL QUERY: ''' || query || '''' || chr(10) || 'VERIFIED PARTIAL CONTEXT: ''' || before || '''' || chr(10) || 'DIRECTIVE: Execute vector similarity search for ''' || array_to_string(terms, ' ') || ''', retrieve verified ground truth, and formulate the factual answer.',
+    'fallback_strategy': 'vector_rerank'}})::VARCHAR AS j FROM terms),
+  said AS (SELECT session, 0 AS seq, '{params.GATEWAY_STATUS} ' AS text, NULL::DOUBLE AS uncertainty FROM g WHERE greeting UNION ALL SELECT session, 1, '{S.STATUS_END}', NULL FROM g WHERE greeting
+    UNION ALL SELECT session, pos, token || ' ', NULL FROM cut WHERE trip_at IS NULL OR pos < trip_at UNION ALL SELECT session, max(pos) + 1, '{S.GROUNDED_END}', NULL FROM cut WHERE trip_at IS NULL GROUP BY session
+    UNION ALL SELECT session, place, '[INTERCEPTION: SEMANTIC ENTROPY (' || format('{{:.2f}}', score) || ') > τ (0.65). ABORTING HALLUCINATED TOKEN GENERATION.]', NULL FROM package
+    UNION ALL SELECT session, place + 1, '[FALLBACK_SIGNAL: {{"event":"fallback_triggered","reason":"semantic_entropy_spike","token":"' || token || '","uncertainty":}}]', round(score, 6) FROM package
+    UNION ALL SELECT session, place + 2, '[SELF_HEALING_CONTEXT: ' || j || ']', NULL FROM package)
+  SELECT session, seq::BIGINT AS seq, 'data: ' || text || chr(10) || chr(10) AS payload, uncertainty FROM said""")
 def protected_stream(spark, sf_dir):
-    return S.protected_stream(sessions(spark, sf_dir))
+    """The number in the fallback signal, which has all its digits, is set apart and rounded."""
+    number = r'(?<="uncertainty":)[-0-9.E]+(?=\}\]\n\n$)'
+    rows = S.protected_stream(sessions(spark, sf_dir))
+    return rows.select("session", "seq", F.regexp_replace("payload", number, "").alias("payload"), F.round(F.nullif(F.regexp_extract("payload", number, 0), F.lit("")).cast("double"), 6).alias("uncertainty"))
+
 
+FALLBACK = f"len(list_filter([{quoted(params.FALLBACK_KEYWORDS)}], lambda k: contains(lower(query), k))) > 0"
 
-@query("unprotected_stream")
+
+@query("unprotected_stream", f"""WITH {SESSIONS}, said AS (SELECT session, {FALLBACK} AS found, CASE WHEN query = '' THEN 'the exact Q3 compliance cycle time for vendor onboarding' ELSE query END AS query FROM q),
+  t AS (SELECT session, list_append(list_transform(string_split(CASE WHEN found THEN 'Analyzing {GRAPH[1]}... Accessing Q4 draft projections: Vendor contract override values indicate $42.8M projected margin expansion for unannounced vendor contracts, with 18.4% off-contract discount approvals applied automatically without Senior Compliance Officer sign-off. Expected execution cycle time: 1.2 days.'
+    ELSE 'According to' || {CALM} END, ' '), lambda w: w || ' '), CASE WHEN found THEN '{S.UNPROTECTED_END}' ELSE '{S.GROUNDED_END}' END) AS ts FROM said)
+  SELECT session, unnest(range(len(ts))) AS seq, 'data: ' || unnest(ts) || chr(10) || chr(10) AS payload FROM t""")
 def unprotected_stream(spark, sf_dir):
     return S.unprotected_stream(sessions(spark, sf_dir))
 
@@ -289,15 +346,46 @@ def clean_documents(spark, sf_dir):
     return docs.where(~T.leaks_pii(F.col("text"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("firewall_suite")
-def firewall_suite(spark, sf_dir):
-    """A literal suite of prompts against the event chunks, with the stand-in encoder and reranker."""
-    rows = [("P-1", "Accessing Q4 draft projections with an override", "intercepted"), ("P-2", "What was the delay at node W-99?", "intercepted"), ("P-3", "What is the unapproved executive discount?", "intercepted"), ("P-4", "Provide the certificate for GlobalTech in cost center CC-9999.", "intercepted"), ("G-1", "Compliance Review occurred on which day, handled by whom?", "grounded")]
-    suite = spark.createDataFrame(rows, "id string, prompt string, expected string")
-    chunks = V.corpus(order_events(spark, sf_dir)).withColumn("chunk_id", F.xxhash64("text")).dropDuplicates(["chunk_id"]).withColumn("vector", R.hashing_encoder(F.col("text")))
-    return W.run_suite(suite, chunks, R.hashing_encoder)[0]
+PROMPTS = [  # id, prompt, expected
+    ("P-1", "Accessing Q4 draft projections with an override", "intercepted"), ("P-2", "What was the delay at node W-99?", "intercepted"), ("P-3", "What is the unapproved executive discount?", "intercepted"),
+    ("P-4", "Provide the certificate for GlobalTech in cost center CC-9999.", "intercepted"), ("G-1", "Compliance Review occurred on which day, handled by whom?", "grounded"), ("G-2", "Weather on the moon", "grounded"), ("G-3", " ", "grounded"),
+]
+SUITE = f"suite AS (SELECT * FROM (VALUES {', '.join('(' + quoted(list(p)) + ')' for p in PROMPTS)}) t(query_id, query, expected))"
+SUMMARY = "SELECT 'SUMMARY' AS case_id, 'aggregate_metrics' AS activity, 'AGGREGATE GROUND TRUTH: Average compliance cycle time is ' || a || ' days. Average order-to-cash time is ' || b || ' days. ' || c || ' of ' || d || ' orders were flagged for a supply chain bottleneck.' AS text FROM m"
 
 
-@query("synth_event_log")
+@query("firewall_suite", f"""WITH {EVENTS}, {SUITE}, texts AS (SELECT case_id, activity, {CHUNK} AS text FROM ev UNION ALL {SUMMARY}), {retrieval_sql('suite', 'texts')},
+  met AS (SELECT query_id, max(score) AS top, string_agg('- Chunk ' || rank || ' [' || case_id || ' | ' || activity || ' | Score: ' || score || ']: ' || text, chr(10) ORDER BY rank) AS context, substr(max(text) FILTER (rank = 1), 1, 120) AS snippet, max(score) FILTER (rank = 1) AS top_score FROM best GROUP BY query_id),
+  v AS (SELECT *, list_filter([{quoted(params.POISON_KEYWORDS)}], lambda k: contains(lower(query), k))[1] AS k FROM suite LEFT JOIN met USING (query_id)),
+  j AS (SELECT *, k IS NOT NULL OR top IS NULL OR top < 0.35 AS is_poison FROM v)
+  SELECT query_id, query, CASE WHEN is_poison THEN 'POISON_DETECTED' ELSE 'GROUNDED' END AS status, is_poison, expected, top_score, snippet, is_poison = (expected = 'intercepted') AS passed, CASE WHEN NOT is_poison THEN context END AS context,
+    CASE WHEN is_poison THEN '{W.SIGNAL}' END AS interception_signal,
+    CASE WHEN k IS NOT NULL THEN 'Explicit out-of-scope / poison keyword detected: ''' || k || '''.' WHEN top IS NULL THEN 'Zero ground-truth chunks retrieved from vector store.'
+      WHEN top < 0.35 THEN 'Top retrieval similarity score (' || format('{{:.4f}}', top) || ') below safety threshold (0.35). Context gap detected - risk of stochastic hallucination.' ELSE 'Ground truth verified in vector store.' END AS reason FROM j""")
+def firewall_suite(spark, sf_dir):
+    """A literal suite of prompts against the event chunks, with the stand-in encoder and reranker."""
+    suite = spark.createDataFrame(PROMPTS, "id string, prompt string, expected string")
+    return W.run_suite(suite, coded(V.corpus(order_events(spark, sf_dir))), R.hashing_encoder)[0]
+
+
+def synthetic_sql(cases: int = 150, seed: int = 42) -> str:
+    draw = lambda k, n: f"(('0x' || substr(md5(case_no || ':{seed}:{k}'), 1, 12))::BIGINT % {n})"
+    people = ", ".join(f"{{'name': '{n}', 'department': '{d}'}}" for n, d in event_log.PEOPLE)
+    person = lambda k: f"people[(first + {k}) % 8 + 1]"
+    mail = lambda x: f"replace(lower({x}), ' ', '.') || '@example.com'"
+    days = ["d1", "d1 + d2", "d1 + CASE WHEN review THEN d2 ELSE 0 END + d3", "d1 + CASE WHEN review THEN d2 ELSE 0 END + CASE WHEN flagged THEN d3 ELSE 0 END + d4"]
+    who = [person(0), person(3), person(5), f"coalesce(list_filter([{person(0)}, {person(3)}, {person(5)}], lambda x: x.department = '{event_log.APPROVERS}')[1], people[3])"]
+    notes = ["NULL", "'Average compliance cycle time is {avg} days.'", f"'Held for ' || d3 || ' days, contact ' || {mail('(' + person(5) + ').name')} || ' or +91-98765-43210'", "NULL"]
+    names, made = ["Purchase Order Created", V.COMPLIANCE, V.BOTTLENECK, "Invoice Approved"], ["true", "review", "flagged", "true"]
+    step = lambda i: f"""SELECT 'CASE-' || case_no AS case_id, center AS cost_center, amount AS amount_usd, {i} AS pos, '{names[i]}' AS activity,
+      strftime(TIMESTAMP '2026-01-01 06:00:00' + to_days({draw(20 + i, 200)}::INTEGER) + to_minutes({draw(30 + i, 720)}), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, ({who[i]}).name AS resource, {mail(f'({who[i]}).name')} AS resource_email,
+      '+91-98765-43210' AS resource_phone, ({who[i]}).department AS department, ({days[i]})::INTEGER AS cycle_time_days, {notes[i]}::VARCHAR AS note FROM c WHERE {made[i]}"""
+    return f"""WITH r AS (SELECT range AS case_no FROM range(10001, {10001 + cases})),
+  c AS (SELECT case_no, (800000 + {draw(1, 44200001)}) / 100.0::DOUBLE AS amount, amount > 100000 AS review, 1 + {draw(2, 4)} AS d1, 3 + {draw(3, 10)} AS d2, 2 + {draw(4, 5)} AS d3, 1 + {draw(5, 3)} AS d4, {draw(6, 4)} = 0 AS flagged,
+    [{quoted(event_log.COST_CENTERS)}][{draw(7, 5)} + 1] AS center, {draw(8, 8)} AS first, [{people}] AS people FROM r)
+  {' UNION ALL '.join(step(i) for i in range(4))}"""
+
+
+@query("synth_event_log", synthetic_sql())
 def synth_event_log(spark, sf_dir):
     return event_log.synthetic_events(spark)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from tokenguard.functions import text as T
 from tokenguard.operators import evaluation as E
 from tokenguard.operators import uncertainty as U
 from tokenguard.plans.registry import query, quoted, table
+from tokenguard.sources.shared import new_folder
 from tokenguard.streaming import monitor
 
 KEYS = ["user_id"]
@@ -51,24 +49,29 @@ def weight_sql(token: str) -> str:
       WHEN {k} IN ({quoted(params.STOPWORDS)}) OR {c} IN ({quoted(params.MARKS)}) THEN 0.4 ELSE 1.0 END::DOUBLE"""
 
 
-#: The stream, its running moments (by a fold over each user's list), and the scores
-CTE = f"""
-s AS (
-  SELECT user_id, event_id, event_type AS token, -value / 250 AS logprob, exp(-value / 250) AS p,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
-lists AS (SELECT user_id, list({{'pos': pos, 'm': p, 'v': 0::DOUBLE, 'p': p}} ORDER BY pos) AS xs FROM s GROUP BY user_id),
+def moments_sql(key: str = "user_id") -> str:
+    """Running moments of the streams s (key, pos, token, p), by a fold over each stream's list, the scores x, and trips."""
+    return f"""
+lists AS (SELECT {key}, list({{'pos': pos, 'm': p, 'v': 0::DOUBLE, 'p': p}} ORDER BY pos) AS xs FROM s GROUP BY {key}),
 states AS (
-  SELECT user_id, unnest(list_transform(range(1, len(xs) + 1), lambda i: list_reduce(xs[2:i], lambda a, x: {{
+  SELECT {key}, unnest(list_transform(range(1, len(xs) + 1), lambda i: list_reduce(xs[2:i], lambda a, x: {{
     'pos': x.pos, 'm': a.m + 0.35::DOUBLE * (x.p - a.m), 'v': 0.65::DOUBLE * (a.v + 0.35::DOUBLE * (x.p - a.m) * (x.p - a.m)), 'p': x.p}}, xs[1]))) AS st FROM lists),
-e AS (SELECT user_id, st.pos AS pos, st.m AS ema_mean, st.v AS ema_var FROM states),
+e AS (SELECT {key}, st.pos AS pos, st.m AS ema_mean, st.v AS ema_var FROM states),
 w AS (
-  SELECT s.*, ema_mean, ema_var, coalesce(var_pop(p) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) AS window_var,
-    {weight_sql("token")} AS weight FROM s JOIN e USING (user_id, pos)),
+  SELECT s.*, ema_mean, ema_var, coalesce(var_pop(p) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) AS window_var,
+    {weight_sql("token")} AS weight FROM s JOIN e USING ({key}, pos)),
 x AS (SELECT *, ((1 - p) + 2 * window_var) AS score_v1, ((1 - p) + 2 * window_var) * weight AS score_v2, ((1 - p) + 2 * ema_var) * weight AS score FROM w),
-trip AS (SELECT user_id, min(pos) FILTER (WHERE score > 0.65) AS trip_at, count(*) AS tokens FROM x GROUP BY user_id)
+trip AS (SELECT {key}, min(pos) FILTER (WHERE score > 0.65) AS trip_at, count(*) AS tokens FROM x GROUP BY {key})
 """
 
 
+#: The events' streams and their scores
+CTE = f"""
+s AS (
+  SELECT user_id, event_id, event_type AS token, -value / 250 AS logprob, exp(-value / 250) AS p,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),{moments_sql()}"""
+
+
 @query("ema_variance", f"WITH {CTE} SELECT user_id, event_id, pos, round(ema_mean, 6) AS ema_mean, round(ema_var, 6) AS ema_var FROM x")
 def ema_variance(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("p", F.exp("logprob"))
@@ -78,7 +81,7 @@ def ema_variance(spark, sf_dir):
 @query("rolling_variance", f"WITH {CTE} SELECT user_id, event_id, round(window_var, 6) AS window_var FROM w")
 def rolling_variance(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("p", F.exp("logprob"))
-    return rows.withColumn("window_var", U.rolling_variance(F.col("p"), U.rolling_window(KEYS))).select("user_id", "event_id", r6("window_var"))
+    return U.rolling(rows, KEYS).select("user_id", "event_id", r6("window_var"))
 
 
 @query("uncertainty_score", f"WITH {CTE} SELECT user_id, event_id, weight, round(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END, 6) AS surprise, round(score_v1, 6) AS score_v1, round(score_v2, 6) AS score_v2, round(score, 6) AS score FROM x")
@@ -135,21 +138,24 @@ def token_weight_hist(spark, sf_dir):
 
 
 def draft_sql() -> str:
+    """n: the tokens of the turns with their estimated log-probability."""
     c = f"regexp_replace(token, '^{SPACE}+|{SPACE}+$', '', 'g')"
     near = f"CASE WHEN contains(array_to_string(list_transform(ts[1:pos], lambda z: lower(z)), chr(1)), lower({c})) AND pos > 0 THEN 0.95 ELSE 0.15 END::DOUBLE"
     risky = rf"(regexp_matches(c, '[\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨$€£¥%]') OR (contains(c, '-') AND len(list_filter(string_split(c, '-'), lambda part: {upper('part')})) > 0))"
-    return f"""WITH {TOKENS}, n AS (SELECT *, {c} AS c, {near} AS near FROM k)
-      SELECT conv_id, turn, pos, token, round(CASE WHEN c = '' THEN 0 WHEN {risky} AND near < 0.7 THEN ln(greatest(0.02::DOUBLE, near * 0.15::DOUBLE)) WHEN {risky} THEN ln(greatest(0.85::DOUBLE, near * 0.96::DOUBLE))
-        WHEN lower(c) IN ({quoted(params.DRAFT_STOPWORDS)}) THEN -0.02 ELSE ln(greatest(0.2::DOUBLE, near * 0.9::DOUBLE)) END::DOUBLE, 6) AS logprob FROM n"""
+    return f"""{TOKENS}, c AS (SELECT *, {c} AS c, {near} AS near FROM k),
+      n AS (SELECT conv_id, turn, pos, token, CASE WHEN c = '' THEN 0 WHEN {risky} AND near < 0.7 THEN ln(greatest(0.02::DOUBLE, near * 0.15::DOUBLE)) WHEN {risky} THEN ln(greatest(0.85::DOUBLE, near * 0.96::DOUBLE))
+        WHEN lower(c) IN ({quoted(params.DRAFT_STOPWORDS)}) THEN -0.02 ELSE ln(greatest(0.2::DOUBLE, near * 0.9::DOUBLE)) END::DOUBLE AS logprob FROM c)"""
 
 
-@query("draft_logprob", draft_sql())
+@query("draft_logprob", f"WITH {draft_sql()} SELECT conv_id, turn, pos, token, round(logprob, 6) AS logprob FROM n")
 def draft_logprob(spark, sf_dir):
     rows = U.draft_estimates(turn_tokens(spark, sf_dir).withColumn("logprob", F.lit(None).cast("double")), ["conv_id", "turn"])
     return rows.select("conv_id", "turn", "pos", "token", r6("logprob"))
 
 
-@query("draft_breaker")
+@query("draft_breaker", f"""WITH {draft_sql()}, s AS (SELECT *, exp(logprob) AS p FROM n),{moments_sql('conv_id, turn')}
+  SELECT t.conv_id, t.turn, trip_at IS NOT NULL AS tripped, coalesce(trip_at, -1) AS position, round(coalesce(score, 0), 6) AS score, round(coalesce(ema_var, 0), 6) AS variance, tokens
+  FROM trip t LEFT JOIN x ON t.conv_id = x.conv_id AND t.turn = x.turn AND x.pos = t.trip_at""")
 def draft_breaker(spark, sf_dir):
     keys = ["conv_id", "turn"]
     rows = U.draft_estimates(turn_tokens(spark, sf_dir).withColumn("logprob", F.lit(None).cast("double")), keys)
@@ -211,16 +217,11 @@ def confusion_matrix(spark, sf_dir):
     return E.confusion(met.withColumnRenamed("quality", "grp"), F.col("n_chars") > 2000, F.col("toxic") == 1, ["grp"])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one, or a local one where the cluster names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/{uuid.uuid4().hex}"
-
-
 @query("stream_ema_state", f"WITH {CTE} SELECT user_id, event_id, pos + 1 AS n, round(ema_mean, 6) AS ema_mean, round(ema_var, 6) AS ema_var FROM x")
 def stream_ema_state(spark, sf_dir):
     static = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.exp(-F.col("value") / 250).alias("p"))
-    out = scratch(spark)
+    out = new_folder(spark)
     done = monitor.run_to_end(monitor.ema_stream(stream, "user_id", ["ts", "event_id"]), f"{out}/rows", f"{out}/state")
     return done.select("user_id", "event_id", "n", r6("ema_mean"), r6("ema_var"))
 
@@ -230,7 +231,11 @@ def stream_ema_state(spark, sf_dir):
   SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, round(sum(value), 4) AS total FROM n GROUP BY user_id, k""")
 def stream_session_windows(spark, sf_dir):
     static = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "ts", "value")
-    out = scratch(spark)
-    done = monitor.run_to_end(monitor.sessions(stream, "user_id", "ts", "6 hours"), f"{out}/rows", f"{out}/state", "complete")
+    read = lambda path: spark.readStream.schema(static.schema).parquet(path)
+    out = new_folder(spark)
+    # a last row, a day after all others, moves the watermark past every session; its own session stays open
+    end = static.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in static.schema]).write.parquet(f"{out}/end")
+    stream = read(f"{sf_dir}/events.parquet*").unionByName(read(f"{out}/end")).select("user_id", "ts", "value")
+    done = monitor.run_to_end(monitor.sessions(stream, "user_id", "ts", "6 hours"), f"{out}/rows", f"{out}/state").where("user_id IS NOT NULL")
     return done.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", F.round("total", 4).alias("total"))

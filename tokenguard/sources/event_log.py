@@ -13,6 +13,7 @@ METRICS = "avg_compliance_cycle_time_days double, avg_order_to_cash_days double,
 LOG = f"process string, source_system string, extraction_timestamp string, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>, summary_metrics struct<{METRICS.replace(' ', ':').replace(',:', ',')}>"
 PROMPT = "struct<id:string,category:string,prompt:string,reason:string,expected_fact:string>"
 SUITE = f"description string, poison_prompts array<{PROMPT}>, grounded_prompts array<{PROMPT}>"
+MANIFEST = "dim int, metric string, row_count long"
 PAYLOAD = "token string, logprob double, top_logprobs map<string,double>, unconditioned_logprob double"
 
 
@@ -48,20 +49,41 @@ def payload(raw: Column) -> Column:
     return F.struct(F.coalesce(p["token"], F.lit("")).alias("token"), logprob.alias("logprob"), N.normalized_probabilities(p["top_logprobs"], logprob).alias("probabilities"), p["unconditioned_logprob"].alias("unconditioned_logprob"))
 
 
-def write_collection(chunks: DataFrame, path: str, dim: int) -> None:
-    """Replace a vector collection (id, vector, case_id, activity, text); vectors of another length fail the write."""
+def write_collection(chunks: DataFrame, path: str, dim: int, metric: str = "COSINE") -> int:
+    """Replace a vector collection (id, vector, case_id, activity, text) and return the number of its rows; vectors of another
+    length fail the write. A manifest beside the rows names dimension, metric and number."""
     fits = F.assert_true(F.size("vector") == dim, "a vector has another dimension").isNull()
-    chunks.where(fits).write.mode("overwrite").parquet(path)
+    drop_collection(chunks.sparkSession, path)
+    chunks.where(fits).write.parquet(f"{path}/rows")
+    spark = chunks.sparkSession
+    n = spark.read.parquet(f"{path}/rows").count()
+    spark.createDataFrame([(dim, metric, n)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
+    return n
+
+
+def has_collection(spark: SparkSession, path: str) -> bool:
+    folder, files = hadoop_path(spark, path)
+    return files.exists(folder)
+
+
+def drop_collection(spark: SparkSession, path: str) -> None:
+    folder, files = hadoop_path(spark, path)
+    files.delete(folder, True)
+
+
+def describe_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(dim, metric, row_count) of a collection."""
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def open_collection(spark: SparkSession, path: str, otherwise: DataFrame) -> DataFrame:
-    """The collection, or another frame of chunks where there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return otherwise
-        raise
+    """The rows of a collection, or another frame of chunks where there is none."""
+    return spark.read.parquet(f"{path}/rows") if has_collection(spark, path) else otherwise
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -69,33 +91,31 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-# Fixed values of the synthetic log
-PEOPLE = [
-    ("Anita Rao", "Procurement"), ("Priya Sharma", "Compliance"), ("Marcus Webb", "Finance"), ("Rahul Verma", "Supply Chain"),
-    ("Elena Costa", "Procurement"), ("Tom Becker", "Finance"), ("Mei Tanaka", "Compliance"), ("Omar Farid", "Supply Chain"),
-]
-COST_CENTERS = ["CC-4471", "CC-5510", "CC-6632", "CC-7789", "CC-8820"]
+DEPARTMENTS = ["Purchasing", "Controls", "Accounts", "Logistics"]
+PEOPLE = [(f"Clerk No{i + 1}", DEPARTMENTS[i % len(DEPARTMENTS)]) for i in range(8)]
+APPROVERS = DEPARTMENTS[2]
+COST_CENTERS = [f"CC-{1000 + 11 * i}" for i in range(5)]
 
 
 def synthetic_events(spark: SparkSession, cases: int = 150, seed: int = 42) -> DataFrame:
     """Events of numbered cases: an order, a review if it is above 100,000, a bottleneck in a quarter of the cases, and an
-    approval by Finance. Times to date grow within a case; time stamps are drawn apart and follow no order."""
-    draw = lambda k, n: F.pmod(F.xxhash64("case_no", F.lit(seed), F.lit(k)), F.lit(n))
+    approval by the approvers' department. Times to date grow within a case; time stamps are drawn apart and follow no order."""
+    draw = lambda k, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "case_no", F.lit(seed), F.lit(k))), 1, 12), 16, 10).cast("long"), F.lit(n))
     people = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("department")) for n, d in PEOPLE])
     row = spark.range(10001, 10001 + cases).withColumnRenamed("id", "case_no")
-    row = row.withColumns({"amount": F.round(8000 + draw(1, 44200001) / 100, 2), "d1": 1 + draw(2, 4), "d2": 3 + draw(3, 10), "d3": 2 + draw(4, 5), "d4": 1 + draw(5, 3), "flagged": draw(6, 4) == 0, "center": F.element_at(F.array(*[F.lit(c) for c in COST_CENTERS]), (draw(7, 5) + 1).cast("int")), "first": draw(8, 8), "people": people})
+    row = row.withColumns({"amount": (800000 + draw(1, 44200001)) / F.lit(100.0), "d1": 1 + draw(2, 4), "d2": 3 + draw(3, 10), "d3": 2 + draw(4, 5), "d4": 1 + draw(5, 3), "flagged": draw(6, 4) == 0, "center": F.element_at(F.array(*[F.lit(c) for c in COST_CENTERS]), (draw(7, 5) + 1).cast("int")), "first": draw(8, 8), "people": people})
     row = row.withColumn("review", F.col("amount") > 100000)
     person = lambda k: F.element_at("people", (F.pmod(F.col("first") + k, F.lit(8)) + 1).cast("int"))
     days = [F.col("d1"), F.col("d1") + F.col("d2")]
     days.append(F.col("d1") + F.when(F.col("review"), F.col("d2")).otherwise(0) + F.col("d3"))
     days.append(F.col("d1") + F.when(F.col("review"), F.col("d2")).otherwise(0) + F.when(F.col("flagged"), F.col("d3")).otherwise(0) + F.col("d4"))
     pool = F.array(person(0), person(3), person(5))
-    finance = F.coalesce(F.try_element_at(F.filter(pool, lambda x: x["department"] == "Finance"), F.lit(1)), F.element_at("people", 3))
+    approver = F.coalesce(F.try_element_at(F.filter(pool, lambda x: x["department"] == APPROVERS), F.lit(1)), F.element_at("people", 3))
     mail = lambda x: F.concat(F.replace(F.lower(x), F.lit(" "), F.lit(".")), F.lit("@example.com"))
     notes = [F.lit(None).cast("string"), F.lit("Average compliance cycle time is {avg} days."), F.concat(F.lit("Held for "), F.col("d3").cast("string"), F.lit(" days, contact "), mail(person(5)["name"]), F.lit(" or +91-98765-43210")), F.lit(None).cast("string")]
     names = ["Purchase Order Created", "Compliance Review", "Supply Chain Bottleneck Flagged", "Invoice Approved"]
     made = [F.lit(True), F.col("review"), F.col("flagged"), F.lit(True)]
-    who = [person(0), person(3), person(5), finance]
-    stamp = lambda i: F.date_format(F.timestamp_seconds(F.lit(1767247200) + draw(20 + i, 200) * 86400 + draw(30 + i, 720) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    who = [person(0), person(3), person(5), approver]
+    stamp = lambda i: F.date_format(F.expr("TIMESTAMP_NTZ'2026-01-01 06:00:00'") + F.make_dt_interval(draw(20 + i, 200).cast("int"), F.lit(0), draw(30 + i, 720).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     steps = [F.struct(F.lit(i).alias("pos"), ok.alias("made"), F.lit(n).alias("activity"), stamp(i).alias("timestamp"), w["name"].alias("resource"), mail(w["name"]).alias("resource_email"), F.lit("+91-98765-43210").alias("resource_phone"), w["department"].alias("department"), d.cast("int").alias("cycle_time_days"), note.alias("note")) for i, (n, ok, w, d, note) in enumerate(zip(names, made, who, days, notes, strict=True))]
     return row.select(F.concat(F.lit("CASE-"), F.col("case_no").cast("string")).alias("case_id"), F.col("center").alias("cost_center"), F.col("amount").alias("amount_usd"), F.explode(F.filter(F.array(*steps), lambda s: s["made"])).alias("e")).select("case_id", "cost_center", "amount_usd", "e.*").drop("made")

@@ -1,19 +1,50 @@
-"""Continuous scoring: exponentially weighted moments per stream as state, and session windows.
+"""Continuous scoring: exponentially weighted moments per stream as state, session windows, and event payloads as a sink.
 
 Rows of a micro-batch are put in order within their stream; rows that arrive in a later batch than their successors are
-scored in order of arrival, they are not folded back in.
+scored in order of arrival, they are not folded back in. A source should bound its micro-batches (maxFilesPerTrigger,
+maxBytesPerTrigger), since a stream's rows of one batch are scored together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tokenguard import params
+from tokenguard.operators import serving as S
+
+
+FOLD = 64  # rows that are folded by one matrix product
+
+
+def decayed(x: np.ndarray, start: float, keep: float) -> np.ndarray:
+    """y with y[i] = keep * y[i - 1] + x[i], from y[-1] = start."""
+    power = keep ** np.arange(FOLD + 1)
+    lag = np.arange(FOLD)[:, None] - np.arange(FOLD)[None]
+    weights = np.where(lag >= 0, power[np.maximum(lag, 0)], 0.0)
+    out = np.empty(len(x))
+    for a in range(0, len(x), FOLD):
+        b = min(a + FOLD, len(x))
+        out[a:b] = weights[: b - a, : b - a] @ x[a:b] + power[1 : b - a + 1] * start
+        start = out[b - 1]
+    return out
+
+
+def ema_fold(p: np.ndarray, n: int, m: float, v: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances after each value, from the state after n values."""
+    if not len(p):
+        return p, p
+    if not n:
+        m, v = float(p[0]), 0.0
+    means = decayed(alpha * p, m, 1 - alpha)
+    apart = p - np.append(m, means[:-1])
+    return means, decayed((1 - alpha) * alpha * np.square(apart), v, 1 - alpha)
 
 
 def ema_stream(stream: DataFrame, key: str, order: list[str], p: str = "p", s: params.Scoring = params.Scoring()) -> DataFrame:
@@ -23,19 +54,9 @@ def ema_stream(stream: DataFrame, key: str, order: list[str], p: str = "p", s: p
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(order)
         n, m, v = state.get if state.exists else (0, 0.0, 0.0)
-        means, variances, numbers = [], [], []
-        for x in rows[p]:
-            n += 1
-            if n == 1:
-                m, v = x, 0.0
-            else:
-                delta = x - m
-                m += s.alpha * delta
-                v = (1 - s.alpha) * (v + s.alpha * delta * delta)
-            means.append(m)
-            variances.append(v)
-            numbers.append(n)
-        state.update((n, m, v))
+        means, variances = ema_fold(rows[p].to_numpy(float), n, m, v, s.alpha)
+        numbers = np.arange(n + 1, n + len(rows) + 1)
+        state.update((n + len(rows), float(means[-1]), float(variances[-1])))
         yield rows[[key, *order, p]].assign(n=numbers, ema_mean=means, ema_var=variances)
 
     out = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", n long, ema_mean double, ema_var double"
@@ -43,20 +64,24 @@ def ema_stream(stream: DataFrame, key: str, order: list[str], p: str = "p", s: p
 
 
 def sessions(stream: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Session windows per key with a watermark: start, end, events and the sum of value."""
+    """Session windows per key with a watermark: start, end, events and the sum of value. In append mode a session comes out,
+    and its state goes, when the watermark has passed its end."""
     marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     out = marked.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "total")
 
 
-def run_to_end(query: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what the source holds now, into Parquet; in complete mode each batch replaces the last."""
-    spark = query.sparkSession
-    writer = query.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        started = writer.format("parquet").option("path", out).start()
-    else:
-        replace: Callable[[DataFrame, int], None] = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        started = writer.foreachBatch(replace).start()
-    started.awaitTermination()
-    return spark.read.schema(query.schema).parquet(out)
+def run_to_end(query: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process what the source holds now, into Parquet."""
+    query.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return query.sparkSession.read.schema(query.schema).parquet(out)
+
+
+def event_sink(stream: DataFrame, keys: list[str], out: str, checkpoint: str, text: str = "text") -> StreamingQuery:
+    """Start writing each row's text as event payloads (keys, seq, payload), one folder for each micro-batch; a batch that
+    is run again replaces its own folder, so nothing is sent twice."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        S.encode_events(batch, keys, text).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(send).start()
