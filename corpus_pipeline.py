@@ -25,19 +25,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
 
-    Rows that repeat an id are one document: they stay or go together."""
+    Rows that repeat an id and a text are one document: they stay or go together."""
     columns = docs.columns
-    copies = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*columns)
+    copies = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    return keyed.join(copies, ["doc_id", "text_key"], "left_anti").select(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become [SECRET]; n_chars follows the text."""
     columns = docs.columns
     keyed = docs.withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("text")))  # ids may repeat
-    spans = materialize(secrets.scan(keyed.select(F.col("doc_key").alias("doc_id"), "text"))).groupBy(F.col("doc_id").alias("doc_key")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
-    found = keyed.join(spans, "doc_key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans"))))
-    return found.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+    found = materialize(secrets.scan(keyed.select(F.col("doc_key").alias("doc_id"), "text")))
+    pieces = found.groupBy(F.col("doc_id").alias("doc_key")).agg(F.array_sort(F.collect_set("piece")).alias("secrets"))
+    met = keyed.join(pieces, "doc_key", "left").withColumn("text", F.when(F.col("secrets").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("secrets"))))
+    return met.withColumn("n_chars", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

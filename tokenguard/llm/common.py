@@ -1,9 +1,7 @@
-"""Small helpers shared by the operators: shared-folder tables, Arrow slices, label splits."""
+"""Small helpers shared by the operators: tables, Arrow slices, label splits."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,34 +9,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenguard.sources.shared import materialize  # noqa: F401  (the operators take it from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tokenguard/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that materialize has left in the shared folder; frames that read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tokenguard")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -43,7 +43,7 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def block_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts of a block end to end, and offsets of the documents."""
-    parts = [textkit.shingle_sets(textkit.Words(*textkit.flat(part.column(part.schema.get_field_index("text")))), words) for part in slices(iter([batch]), "text")]
+    parts = [textkit.shingle_sets(textkit.Words(*textkit.flat(part.column(part.schema.get_field_index("text")))), words) for part in slices(iter([batch]), "text", 1 << 18)]
     return np.concatenate([h for h, _ in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts])))
 
 

@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, and a random forest that removes false positives.
 
-Candidates are long runs of key characters, with a name in front where there is one (`name = "value"`). A candidate is
-described by its length, its transitions between character classes, how much of it is made of dictionary fragments,
-whether it stands in a path, and the words beside it. A forest fitted on labelled findings decides. Everything on the way
+Candidates are values behind a name and a sign (`name = "value"`), long runs of key characters, passwords in URLs
+(`scheme://user:password@host`), and the bodies of private keys in PEM blocks. A candidate is described by its length, its
+transitions between character classes, how much of it is made of dictionary fragments, whether it stands in a path, and
+the words on both sides. A forest fitted on labelled findings decides. Everything on the way
 is DataFrame functions: candidates, features, and the forest, whose trees become CASE expressions.
 
 The labelled findings are made by rule from numbered rows: random keys, hex tokens and passwords, with and without telling
@@ -22,10 +23,14 @@ from tokenguard.llm.common import materialize, table
 # of a URL that follows is not part of it, and a sign before another named secret has that one's value, not its own.
 NAME_IN_FRONT = r"""(?<=[\p{L}\p{N}_])["']?\s*+(?::(?!//)=?|={1,3}>?)\s*+|(?<=[\p{L}\p{N}_]={1,2})\s*+"""
 VALUE = r"""(?<=")[^"\s]{8,}+(?=")|(?<=')[^'\s]{8,}+(?=')|(?!\w{0,30}(?i:pass|pwd|secret|token|key|auth|cred)\w{0,20}[=:])(?:[^\s"'&?.,;:)\]}>]|[&?](?!\w{1,40}=)|[.,;:)\]}>]++(?![\s"']|$)){4,}+"""
-#: A run of 16 key characters or more that stands alone, or the whole value of an assignment, in the second or third group.
-CANDIDATE = rf"""((?:{NAME_IN_FRONT})["']?+)({VALUE})|((?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{16,}}={{0,2}}(?![A-Za-z0-9+/_\-]))"""
-LEAST = 8  # characters of a value
-AROUND = 24  # characters of a candidate's neighbourhood on each side
+PEM = r"(?<=-----)(?<=-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----)[^-]{16,}+(?=-----END )"
+IN_URL = r"(?<=:)(?<=[a-z]://[\w.%+\-]{0,64}:)[^\s/@:\"']{6,}+(?=@[\w\[])"
+RUN = r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])"
+#: A key in a PEM block or URL, the whole value of an assignment (the third group), or a run of key characters that stands alone.
+CANDIDATE = rf"""({PEM}|{IN_URL})|((?:{NAME_IN_FRONT})["']?+)({VALUE})|({RUN})"""
+LEAST = 8  # characters of a value, but for passwords in URLs
+AROUND = 40  # characters of a candidate's neighbourhood on each side
+STEP = 256  # candidates of a text that are folded at a time
 
 # fixed values: fragments common in ordinary words and identifiers
 FRAGMENTS = "the and ing ion ent ati for ter hat tha ere con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat ell ant min lin tin ren ble name user file data list test time type code main line text path page index image style class value number string script module config license public common".split()
@@ -33,52 +38,77 @@ FRAGMENTS = "the and ing ion ent ati for ter hat tha ere con res ver all ons nce
 SECRET_NAMES = "password passwd pwd secret token apikey api_key api-key access_key accesskey private_key credential bearer auth".split()
 HARMLESS_NAMES = "sha1 sha256 sha512 md5 checksum digest commit revision uuid guid etag hash isbn build version session_id request_id trace".split()
 
+def names(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
 def features() -> dict[str, Column]:
-    """What the forest looks at, as expressions over value and before."""
+    """What the forest looks at, as expressions over value, before and after."""
+    value, before, after = F.col("value"), F.lower("before"), F.lower("after")
+    share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / F.length(value)
+    named = lambda words: before.rlike(names(words) + r"""[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int")
+    near = lambda words: (before.rlike(rf"\b{names(words)}\b") | after.rlike(rf"\b{names(words)}\b")).cast("int")
     return {
-        "length": F.length("value"),
-        "digits": F.regexp_count("value", F.lit("[0-9]")) / F.length("value"),
-        "upper": F.regexp_count("value", F.lit("[A-Z]")) / F.length("value"),
-        "hex": F.regexp_count("value", F.lit("[0-9a-f]")) / F.length("value"),
-        "marks": F.regexp_count("value", F.lit(r"[^\p{L}\p{N}]")) / F.length("value"),
-        "transitions": F.regexp_count("value", F.lit("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")) / F.length("value"),
-        "doubled": F.regexp_count("value", F.lit(r"(.)(?=\1)")) / F.length("value"),
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower("value"), "|".join(sorted(FRAGMENTS, key=len, reverse=True)), "")) / F.length("value"),
-        "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit(r"\p{L}+"), F.lit(0)), F.length)), F.lit(0)),
-        "separators": F.regexp_count("value", F.lit("[/.]")),
-        "dashes": F.regexp_count("value", F.lit("-")),
-        "in_path": (F.col("before").rlike(r"[/\\]$|://\S*$") | F.col("value").rlike(r"^\.{0,2}/|\.[a-z]{2,4}$|^[a-z]+://")).cast("int"),
-        "assigned": F.col("before").rlike(r"""[\p{L}\p{N}_]["']?\s?[=:]+>?\s?["']?$""").cast("int"),
-        "secret_name": F.lower("before").rlike("(" + "|".join(SECRET_NAMES) + r""")[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int"),
-        "harmless_name": F.lower("before").rlike("(" + "|".join(HARMLESS_NAMES) + r""")[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int"),
-        "known_prefix": F.col("value").rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|xox[bp]|sk|pk|rk)[_\-]|^AIza|^eyJ|^glpat-").cast("int"),
+        "length": F.length(value),
+        "digits": share("[0-9]"),
+        "upper": share("[A-Z]"),
+        "hex": share("[0-9a-f]"),
+        "marks": share(r"[^\p{L}\p{N}]"),
+        "transitions": share("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"),
+        "doubled": share(r"(.)(?=\1)"),
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(FRAGMENTS, key=len, reverse=True)), "")) / F.length(value),
+        "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(value, F.lit(r"\p{L}+"), F.lit(0)), F.length)), F.lit(0)),
+        "separators": F.regexp_count(value, F.lit("[/.]")),
+        "dashes": F.regexp_count(value, F.lit("-")),
+        "in_path": (before.rlike(r"[/\\]$|://[^\s:]*$") | value.rlike(r"^\.{0,2}/|\.[a-z]{2,4}$|^[a-z]+://") | after.rlike(r"^\.[a-z]{2,4}\b|^/")).cast("int"),
+        "assigned": before.rlike(r"""[\p{L}\p{N}_]["']?\s?[=:]+>?\s?["']?$""").cast("int"),
+        "secret_name": named(SECRET_NAMES),
+        "harmless_name": named(HARMLESS_NAMES),
+        "secret_near": near(SECRET_NAMES),
+        "harmless_near": near(HARMLESS_NAMES),
+        "wrapped": (before.rlike("private key-----$") | (before.rlike("://[^\\s/]*:$") & after.rlike("^@"))).cast("int"),
+        "known_prefix": value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|xox[bp]|sk|pk|rk)[_\-]|^AIza|^eyJ|^glpat-").cast("int"),
     }
 
 
+FOUND = "array<struct<start:bigint,piece:int,value:string,before:string,after:string>>"
+
+
+def marked(text: Column) -> Column:
+    """The text cut at its candidates: each piece but the first has its candidate, a mark, and the text up to the next one.
+
+    Marks are private characters; a text that holds them has another private one of equal length in their place."""
+    return F.split(F.regexp_replace(F.translate(text, "\ue000\ue001", "\ue002\ue002"), CANDIDATE, "$2\ue000$1$3$4\ue001"), "\ue000")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, value, before, after): start counts characters from 0.
-
-    The text is marked where the pattern matches and cut there, so offsets add up over the pieces; the marks are private
-    characters, which a text that holds them loses to another private one of equal length first."""
-    clean = F.translate("text", "\ue000\ue001", "\ue002\ue002")
-    parts = docs.select("doc_id", F.split(F.regexp_replace(clean, CANDIDATE, "$1\ue000$2$3\ue001"), "\ue000").alias("parts")).where(F.size("parts") > 1)
-    # a piece has its match, the second mark, and the text up to the next match; the marks are not in the text
-    pieces = F.transform("parts", lambda p: F.struct(F.substring_index(p, "\ue001", 1).alias("value"), F.substring_index(p, "\ue001", -1).alias("gap")))
+    """(doc_id, start, piece, value, before, after): start counts characters from 0, piece the candidates of a text from 1.
+
+    Offsets add up over the pieces, which are folded STEP by STEP, so that lists stay short however many there are."""
+    parts = docs.select("doc_id", marked(F.col("text")).alias("parts")).where(F.size("parts") > 1)
+    pieces = lambda i: F.transform(F.slice("parts", i * STEP + 2, F.lit(STEP)), lambda p: F.struct(F.substring_index(p, "\ue001", 1).alias("value"), F.substring_index(p, "\ue001", -1).alias("gap")))
     near = lambda x: F.right(F.regexp_replace(F.right(x, F.lit(256)), r"\s+", " "), F.lit(AROUND))
-    begin = F.struct(F.length(F.element_at("parts", 1)).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,value:string,before:string,after:string>>").alias("found"), near(F.element_at("parts", 1)).alias("last"))
-    found = F.aggregate(
-        F.slice(pieces, 2, F.size("parts")), begin,
-        lambda a, p: F.struct(
-            (a["start"] + F.length(p["value"]) + F.length(p["gap"])).alias("start"),
-            F.array_append(a["found"], F.struct(a["start"].alias("start"), p["value"].alias("value"), a["last"].alias("before"), F.left(p["gap"], F.lit(AROUND)).alias("after"))).alias("found"),
-            near(F.concat(a["last"], p["value"], p["gap"])).alias("last"),
-        ),
-    )
-    return parts.select("doc_id", F.explode(found["found"]).alias("f")).select("doc_id", "f.*").where(F.length("value") >= LEAST)
-
-
-def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(value, before, after, label): labelled findings, half of them secrets; the same for every run."""
+    state = lambda start, piece, last, found: F.struct(start.alias("start"), piece.alias("piece"), last.alias("last"), found.alias("found"))
+    none = F.array().cast(FOUND)
+
+    def one(a: Column, p: Column) -> Column:
+        item = F.struct(a["start"].alias("start"), a["piece"].alias("piece"), p["value"].alias("value"), a["last"].alias("before"), F.left(p["gap"], F.lit(AROUND)).alias("after"))
+        return state(a["start"] + F.length(p["value"]) + F.length(p["gap"]), a["piece"] + 1, near(F.concat(a["last"], p["value"], p["gap"])), F.array_append(a["found"], item))
+
+    def step(a: Column, i: Column) -> Column:
+        done = F.transform(F.array(F.aggregate(pieces(i), state(a["start"], a["piece"], a["last"], none), one)), lambda d: state(d["start"], d["piece"], d["last"], F.array_append(a["found"], d["found"])))
+        return F.element_at(done, 1)
+
+    head = F.element_at("parts", 1)
+    begin = state(F.length(head).cast("long"), F.lit(1), near(head), F.array().cast(f"array<{FOUND}>"))
+    steps = F.sequence(F.lit(0), F.floor((F.size("parts") - 2) / STEP).cast("int"))
+    found = F.flatten(F.aggregate(steps, begin, step, lambda a: a["found"]))
+    return parts.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*").where((F.length("value") >= LEAST) | F.startswith("after", F.lit("@")))
+
+
+def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """(value, before, after, label, kind): labelled findings, half of them secrets; the same for every run. kind is the
+    number of the template."""
     row = spark.range(n)
     text = F.concat(*[F.sha2(F.concat_ws(":", "id", F.lit(i)).cast("binary"), 256) for i in range(2)])
     number = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
@@ -94,42 +124,49 @@ def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     random = F.concat(F.substring(base64, 1, 5), marks[0], F.substring(base64, 7, 6), marks[1], F.substring(base64, 14, 5), marks[2], F.substring(base64, 20, number(74, 8) + 1), marks[3])
     short = F.concat(F.substring(base64, 1, 3), marks[0], F.substring(base64, 7, 6))
     text_value = F.concat(pick(75, ["https://", "", "(", "<"]), word(80), pick(76, ["/", ",", "-", ".", "_"]), word(83), pick(77, ["", "/", "!", ");", ".html"]))
-    value = [  # secrets first
-        F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.substring(text, 1, 40), F.substring(base64, 1, 40),
-        F.concat(pick(3, ["ghp_", "sk_", "xoxb-", "glpat-"]), F.substring(F.translate(base64, "+/=", "abc"), 1, 36)), F.concat(F.substring(text, 1, 18), F.lit("")), F.substring(F.translate(base64, "+/", "!#"), 1, 14),
-        chosen, random, short,
-        F.substring(text, 1, 40), uuid, F.concat_ws("/", word(10), word(13), word(16)), F.concat_ws("_", word(20), word(23), word(26)),
-        F.concat(F.initcap(word(30)), word(33), word(36)), F.initcap(foreign), foreign, F.concat(word(40), F.initcap(word(43)), F.initcap(word(46))),
-        F.substring(F.regexp_replace(F.conv(F.substring(text, 1, 15), 16, 10), "^", "4"), 1, 16),
-        text_value, F.concat(F.initcap(foreign), pick(78, ["", "!", "?", "-"])), F.concat(word(86), pick(79, ["", "!", "#", "&"])),
-        F.upper(foreign), F.upper(F.concat(word(92), word(95))),
-    ]
+    digits = F.substring(F.regexp_replace(F.conv(F.substring(text, 1, 15), 16, 10), "^", "4"), 1, 16)
+    # what stands in front, and behind
     plain = pick(1, ["of the ", "and ", "with ", "see ", "le ", "und ", "que "])
     named = F.concat(pick(2, SECRET_NAMES), pick(9, ["", "", "2", "_1"]), pick(4, [' = "', "=", ": ", ' : "', "='"]))
     harmless = F.concat(pick(5, HARMLESS_NAMES), pick(6, [" ", "=", ": ", " = "]))
     other = F.concat(pick(90, FRAGMENTS), pick(91, [": ", " = ", '="', ":"]))
     path = pick(7, ["https://example.org/", "/usr/lib/", "src/", "C:\\"])
-    before = [
-        F.when(number(8, 2) == 0, plain).otherwise(named), named, named,
-        F.when(number(8, 2) == 0, plain).otherwise(named), named, named,
-        named, named, named,
-        harmless, F.when(number(8, 2) == 0, plain).otherwise(harmless), F.when(number(8, 2) == 0, plain).otherwise(path), F.when(number(8, 3) == 0, harmless).otherwise(plain),
-        plain, F.when(number(8, 2) == 0, plain).otherwise(F.lit(". ")), plain, plain, plain,
-        other, other, other,
-        F.when(number(8, 2) == 0, plain).otherwise(F.lit("!! ")), F.when(number(8, 2) == 0, plain).otherwise(F.lit("!! ")),
+    pem = F.concat(F.lit("-----BEGIN "), pick(100, ["", "RSA ", "EC ", "OPENSSH "]), F.lit("PRIVATE KEY-----"))
+    login = F.concat(pick(101, ["https", "postgres", "ftp", "amqp"]), F.lit("://"), pick(102, FRAGMENTS), F.lit(":"))
+    either = lambda a, b, k=2: F.when(number(8, k) == 0, a).otherwise(b)
+    loud = either(plain, F.lit("!! "))
+    on = pick(103, [" et", ". Then", "\n", ", and", ") in", " und", ""])
+    said = F.concat(pick(104, [" is our ", " as ", " (", ", the ", " = "]), pick(105, SECRET_NAMES))
+    explained = F.concat(pick(106, [" is the ", " as ", " (", ", the ", " = "]), pick(107, HARMLESS_NAMES))
+    secrets = [
+        (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), either(plain, named), on), (F.substring(text, 1, 40), named, on), (F.substring(base64, 1, 40), named, on),
+        (F.concat(pick(3, ["ghp_", "sk_", "xoxb-", "glpat-"]), F.substring(F.translate(base64, "+/=", "abc"), 1, 36)), either(plain, named), on),
+        (F.substring(text, 1, 18), named, on), (F.substring(F.translate(base64, "+/", "!#"), 1, 14), named, on), (chosen, named, on), (random, named, on), (short, named, on),
+        (F.substring(base64, 3, 32), plain, said), (F.substring(text, 7, 40), plain, said), (F.concat(F.lit("\n"), base64, base64, F.lit("\n")), pem, F.lit("-----END ")),
+        (F.substring(F.translate(base64, "+/", "!#"), 5, 12), login, F.lit("@db.example.org")), (chosen, login, F.lit("@localhost/x")),
+        (F.concat(pick(110, FRAGMENTS), pick(111, FRAGMENTS), number(112, 100).cast("string")), login, F.lit("@example.org/x")),
     ]
-    kind = F.pmod("id", F.lit(len(value)))
-    choose = lambda xs: F.element_at(F.array(*xs), (kind + 1).cast("int"))
-    return row.select(choose(value).alias("value"), F.right(F.concat(F.lit("lorem ipsum dolor sit "), choose(before)), F.lit(AROUND)).alias("before"), F.lit(" et").alias("after"), (kind < 9).cast("int").alias("label"))
+    others = [
+        (F.substring(text, 1, 40), harmless, on), (uuid, either(plain, harmless), on), (F.concat_ws("/", word(10), word(13), word(16)), either(plain, path), on), (F.concat_ws("_", word(20), word(23), word(26)), either(harmless, plain, 3), on),
+        (F.concat(F.initcap(word(30)), word(33), word(36)), plain, on), (F.initcap(foreign), either(plain, F.lit(". ")), on), (foreign, plain, on), (F.concat(word(40), F.initcap(word(43)), F.initcap(word(46))), plain, on),
+        (digits, plain, on), (text_value, other, on), (F.concat(F.initcap(foreign), pick(78, ["", "!", "?", "-"])), other, on), (F.concat(word(86), pick(79, ["", "!", "#", "&"])), other, on),
+        (F.upper(foreign), loud, on), (F.upper(F.concat(word(92), word(95))), loud, on), (F.substring(text, 9, 40), plain, explained), (F.substring(text, 3, 32), either(plain, harmless), explained),
+    ]
+    every = secrets + others
+    kind = F.pmod("id", F.lit(len(every))).cast("int")
+    choose = lambda i: F.element_at(F.array(*[x[i] for x in every]), kind + 1)
+    made = row.select(choose(0).alias("value"), F.right(F.concat(F.lit("lorem ipsum dolor sit amet lorem ipsum dolor sit "), choose(1)), F.lit(AROUND)).alias("before"), choose(2).alias("behind"), (kind < len(secrets)).cast("int").alias("label"), kind.alias("kind"))
+    quote = F.regexp_extract("before", "[\"']$", 0)
+    return made.select("value", "before", F.left(F.concat(quote, "behind"), F.lit(AROUND)).alias("after"), "label", "kind")
 
 
-def train(spark: SparkSession, trees: int = 20, depth: int = 6, seed: int = 7) -> str:
-    """A forest fitted on the labelled findings, as a SQL expression of the features: the mean of its trees' votes."""
+def train(spark: SparkSession, trees: int = 30, depth: int = 7, seed: int = 7, learned: DataFrame | None = None) -> str:
+    """A forest fitted on labelled findings, as a SQL expression of the features: the mean of its trees' votes."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     names = list(features())
-    rows = materialize(findings(spark).withColumns({k: v.cast("double") for k, v in features().items()}).select("label", *names))
+    rows = materialize((findings(spark) if learned is None else learned).withColumns({k: v.cast("double") for k, v in features().items()}).select("label", *names))
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=5).fit(VectorAssembler(inputCols=names, outputCol="x").transform(rows))
 
     def case(lines: list[str]) -> str:
@@ -146,24 +183,28 @@ def train(spark: SparkSession, trees: int = 20, depth: int = 6, seed: int = 7) -
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, length, value, score) of each secret in docs (doc_id, text): start counts characters from 0.
+    """(doc_id, start, length, value, score, piece) of each secret in docs (doc_id, text): start counts characters from 0,
+    piece the candidates of its text from 1.
 
-    Null and empty texts have none. Repeated rows report their secrets each. Candidates under the threshold are dropped."""
+    Null and empty texts have none, nor does an empty table. Texts are scanned whole, however long. Repeated rows report
+    their secrets each; a row without a doc_id reports them under null. Candidates under the threshold are dropped, and one
+    with just the threshold stays. Other columns, whatever their names, are left out."""
     forest = train(docs.sparkSession)
     found = candidates(docs).withColumns({k: v.cast("double") for k, v in features().items()})
-    found = found.select("doc_id", "start", F.col("length").cast("int").alias("length"), "value", F.expr(forest).alias("score"))
+    found = found.select("doc_id", "start", F.col("length").cast("int").alias("length"), "value", F.expr(forest).alias("score"), "piece")
     return found.where(F.col("score") >= threshold)
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span (array of structs start, length; any order, not overlapping) replaced by mark."""
-    ordered = F.array_sort(spans)
-    cut = F.aggregate(
-        ordered, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct((s["start"] + s["length"]).cast("long").alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out")),
-    )
-    return F.concat(cut["out"], F.substring(text, (cut["at"] + 1).cast("int"), F.length(text)))
+def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
+    """text with its secrets replaced by mark; secrets is an array of their pieces' numbers (see scan), in order.
+
+    The text is cut at all candidates and joined again, with a letter for each piece that says whether it is a secret."""
+    gaps = F.transform(secrets, lambda x, i: F.concat(F.repeat(F.lit("0"), (x - F.when(i == 0, 0).otherwise(F.element_at(secrets, F.greatest(i, F.lit(1))))).cast("int") - 1), F.lit("1")))
+    cut = lambda parts: F.transform(F.arrays_zip(F.slice(parts, 2, F.size(parts)).alias("piece"), F.split(F.array_join(gaps, ""), "").alias("secret")), lambda x: F.concat(
+        F.when(x["secret"] == "1", mark).otherwise(F.substring_index(x["piece"], "\ue001", 1)), F.substring_index(x["piece"], "\ue001", -1)))
+    once = F.transform(F.array(marked(text)), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.filter(cut(parts), lambda x: x.isNotNull()), "")))
+    return F.element_at(once, 1)
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("piece")
