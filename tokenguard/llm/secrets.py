@@ -47,7 +47,7 @@ def features() -> dict[str, Column]:
     value, before, after = F.col("value"), F.lower("before"), F.lower("after")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / F.length(value)
     named = lambda words: before.rlike(names(words) + r"""[a-z0-9_]{0,8}["']?\s?[=:]*>?\s?["']?$""").cast("int")
-    near = lambda words: (before.rlike(rf"\b{names(words)}\b") | after.rlike(rf"\b{names(words)}\b")).cast("int")
+    near = lambda words: (before.rlike(rf"\b{names(words)}\b") | after.rlike(rf"""\b{names(words)}\b(?!["']?\s?[:=])""")).cast("int")  # noqa: E731  (a name before a sign belongs to the next value)
     return {
         "length": F.length(value),
         "digits": share("[0-9]"),
@@ -67,6 +67,7 @@ def features() -> dict[str, Column]:
         "secret_near": near(SECRET_NAMES),
         "harmless_near": near(HARMLESS_NAMES),
         "wrapped": (before.rlike("private key-----$") | (before.rlike("://[^\\s/]*:$") & after.rlike("^@"))).cast("int"),
+        "address": before.rlike("@$").cast("int"),
         "known_prefix": value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp|gho|ghs|xox[bp]|sk|pk|rk)[_\-]|^AIza|^eyJ|^glpat-").cast("int"),
     }
 
@@ -151,6 +152,8 @@ def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
         (F.concat(F.initcap(word(30)), word(33), word(36)), plain, on), (F.initcap(foreign), either(plain, F.lit(". ")), on), (foreign, plain, on), (F.concat(word(40), F.initcap(word(43)), F.initcap(word(46))), plain, on),
         (digits, plain, on), (text_value, other, on), (F.concat(F.initcap(foreign), pick(78, ["", "!", "?", "-"])), other, on), (F.concat(word(86), pick(79, ["", "!", "#", "&"])), other, on),
         (F.upper(foreign), loud, on), (F.upper(F.concat(word(92), word(95))), loud, on), (F.substring(text, 9, 40), plain, explained), (F.substring(text, 3, 32), either(plain, harmless), explained),
+        (F.concat(pick(113, ["mail", "www", "smtp", "post"]), number(114, 20).cast("string"), F.lit("."), either(F.lit("example"), word(115)), pick(118, [".com", ".org", ".de"])), F.concat(plain, pick(119, FRAGMENTS), F.lit("."), number(120, 100).cast("string"), F.lit("@")), either(on, F.concat(on, F.lit(" "), pick(121, SECRET_NAMES), F.lit(' = "')), 3)),
+        (digits, plain, F.concat(on, F.lit(" "), pick(122, SECRET_NAMES), F.lit(' = "'))), (F.initcap(foreign), F.lit(". "), F.concat(F.lit(" x "), pick(123, SECRET_NAMES), F.lit(": "))),
     ]
     every = secrets + others
     kind = F.pmod("id", F.lit(len(every))).cast("int")
