@@ -21,6 +21,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let Spark cut what it sends to Python by bytes and not by rows alone, unless the session has a limit of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":  # Spark's default
+        spark.conf.set(name, most)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text (one row at least)."""
     for batch in batches:
@@ -52,9 +59,15 @@ def bounded_sample(df: DataFrame, key: str, per_key: int, most_keys: int = 500)
     return df.where(within)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, per_label: int) -> DataFrame:
-    """(doc_id, text, label) of about per_label documents for each label 0 and 1. A document that has both labels, or
-    rows with other labels, are left out. The labels picked are few whatever the corpus, so they are broadcast."""
+SAMPLE_BYTES = 48 << 20  # of the texts of a labelled sample, about, at most
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_label: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of about per_label documents for each label 0 and 1, fewer if their texts have more than about
+    most_bytes; a text with more than an eighth of that is left out. A document that has both labels, or rows with other
+    labels, are left out as well. The labels picked are few whatever the corpus, so they are broadcast."""
     one = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other")).where("label = other").drop("other")
     picked = bounded_sample(one, "label", per_label)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 8))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return found if size <= most_bytes else found.where(F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30)) < F.lit((most_bytes << 30) // size))

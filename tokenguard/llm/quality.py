@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import crc_mod, labelled, slices, table
+from tokenguard.llm.common import bounded_batches, crc_mod, labelled, slices, table
 
 BUCKETS = 1 << 18
 SAMPLE_PER_LABEL = 3000  # labelled documents of each class that the model is fitted on, about
@@ -88,14 +88,16 @@ def scaled(rows: list[np.ndarray], ratio: np.ndarray) -> list[np.ndarray]:
     return [v / max(np.sqrt(v @ v), 1e-12) for v in (ratio[r] for r in rows)]
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve from margins to label 1, by Newton's method with a weak prior."""
+def calibrate(margin: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float, float]:
+    """Slope and offset of a logistic curve from margins to label 1, by Newton's method with a weak prior. even: both labels
+    weigh the same, however many there are of each."""
     t, beta = (y > 0).astype(float), np.array([2.0, 0.0])
+    weight = np.where(t > 0, 0.5 * len(t) / max(1, t.sum()), 0.5 * len(t) / max(1, (1 - t).sum())) if even else np.ones(len(t))
     x = np.stack([margin, np.ones(len(margin))], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - t) + 1e-2 * (beta - np.array([2.0, 0.0]))
-        beta = beta - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), grad).clip(-2, 2)
+        grad = x.T @ (weight * (p - t)) + 1e-2 * (beta - np.array([2.0, 0.0]))
+        beta = beta - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), grad).clip(-2, 2)
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
@@ -127,7 +129,11 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
 
 
 def score(df: DataFrame, model: tuple) -> DataFrame:
-    """(doc_id, score) for each row of (doc_id, text); null and blank texts get the score of a text without n-grams."""
+    """(doc_id, score) for each row of (doc_id, text); null and blank texts get the score of a text without n-grams.
+
+    Repeated rows are scored each, alike; a row without a doc_id keeps its null. Texts are taken whole, however long. Other
+    columns, whatever their names, are left out; an empty table gives an empty result. Equal margins give equal scores."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

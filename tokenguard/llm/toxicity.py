@@ -8,7 +8,9 @@ passing for evidence. Vectors are scaled to unit length.
 The index keeps, term by term, the examples' weights in blocks with each block's largest weight. For a document, blocks
 are visited by falling bound (the sum over its terms of weight x largest weight) and the search ends when no bound
 reaches the k-th best cosine, so the neighbours are exact. Their votes, weighted by 1 / (distance + 0.1), are smoothed
-towards the share of toxic examples; only documents without any word of the examples get that share as it is.
+towards the share of toxic examples; only documents without any word of the examples get that share as it is. A logistic
+curve turns votes into probabilities for equally many of both classes, as samples hold where labels are many; it is fitted
+to examples that are judged by the others.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import crc_mod, labelled, slices, table
+from tokenguard.llm.common import bounded_batches, crc_mod, labelled, slices, table
+from tokenguard.llm.quality import calibrate
 
 SAMPLE_PER_LABEL = 3000  # labelled examples of each class, about
 NEIGHBOURS, BLOCK = 15, 64
 ERRORS, GAIN = 1.5, 4.0  # of a term's weight: standard errors held back from its log odds, and the gain on what is left
 SMOOTHING = 0.25  # votes for the base score
+CALIBRATION = 1000  # examples, about, that the curve is fitted to
 THRESHOLD = 0.7
 
 SEPARATORS = np.ones(256, bool)  # words are runs of letters, digits and bytes of other scripts
@@ -92,6 +96,7 @@ class Index:
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray):
         self.terms, self.idf = terms, idf
+        self.curve: tuple[float, float] | None = None  # slope and offset
         self.base = float((labels.sum() + 0.5) / (len(labels) + 1))
         row, term, count = term_counts(np.concatenate([np.zeros(0, np.uint64), *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), terms)
         value = (1 + np.log(count)) * idf[term]
@@ -113,8 +118,8 @@ class Index:
         self.block = at[self.start[:-1]] // BLOCK
         self.most = np.maximum.reduceat(value, self.start[:-1]) if len(value) else value
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, ties to the smaller id."""
+    def nearest(self, term: np.ndarray, weight: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples, ties to the smaller id; but those with the id `but`."""
         mine = spans(self.first[term], self.first[term + 1])
         block, scale = self.block[mine], np.repeat(weight, self.first[term + 1] - self.first[term])
         bound = np.bincount(block, scale * self.most[mine], self.blocks)
@@ -131,6 +136,8 @@ class Index:
             p = spans(start, end)
             exact = np.bincount(self.weights.at[p], np.repeat(scale[hit], end - start) * self.weights.value[p])
             new = np.flatnonzero(exact > 0)
+            if but is not None:
+                new = new[self.ids[new] != but]
             found, cosine = np.concatenate([found, new]), np.concatenate([cosine, exact[new]])
             if len(cosine) > NEIGHBOURS:
                 keep = np.flatnonzero(cosine >= np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] - 1e-11)
@@ -140,12 +147,19 @@ class Index:
             worst = cosine[-1] if len(cosine) else -1.0
         return found, cosine
 
-    def judge(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int]]:
+    def votes(self, term: np.ndarray, count: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
+        """The weighted share of toxic neighbours, and the neighbours."""
+        if not len(term):
+            return self.base, []
         weight = (1 + np.log(count)) * self.idf[term]
-        found, cosine = self.nearest(term, weight / np.sqrt(weight @ weight))
+        found, cosine = self.nearest(term, weight / np.sqrt(weight @ weight), but)
         votes = 1 / (1 - np.minimum(cosine, 1) + 0.1)
         return float((votes @ self.labels[found] + SMOOTHING * self.base) / (votes.sum() + SMOOTHING)), self.ids[found].tolist()
 
+    def judge(self, term: np.ndarray, count: np.ndarray) -> tuple[float, list[int]]:
+        share, evidence = self.votes(term, count)
+        return share if self.curve is None else float(1 / (1 + np.exp(-(self.curve[0] * share + self.curve[1])))), evidence
+
 
 def fit(docs: DataFrame, sample: DataFrame) -> Index:
     """The index of the labelled sample (doc_id, text, label), with document frequencies over all docs."""
@@ -175,13 +189,37 @@ def fit(docs: DataFrame, sample: DataFrame) -> Index:
         term, n = sums["term"].to_numpy(), sums["n"].to_numpy()
         df[term[term >= 0]], total = n[term >= 0], n[term < 0].sum()
     idf = strength * (np.log((1 + total) / (1 + df)) + 1)
-    return Index(terms, idf, rows, labels, ids)
+    index = Index(terms, idf, rows, labels, ids)
+    if len(set(labels.tolist())) == 2:
+        index.curve = curve(sample, index)
+    return index
+
+
+def curve(sample: DataFrame, index: Index) -> tuple[float, float]:
+    """Slope and offset from votes to probabilities, by examples that are judged without themselves."""
+    shared = sample.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            row, term, count = term_counts(*words_of(batch.column(1)), shared.value.terms)
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.votes(term[a:b], count[a:b], i)[0] for i, a, b in zip(ids, at[:-1], at[1:], strict=True)], pa.float64()), batch.column(2)], ["share", "label"])
+
+    some = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) < F.lit(min(1 << 30, (CALIBRATION << 30) // max(1, len(index.ids)))))
+    got = some.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(run, "share double, label int").toPandas().sort_values(["share", "label"])
+    return calibrate(got["share"].to_numpy(), np.where(got["label"].to_numpy() == 1, 1, -1), even=True) if got["label"].nunique() == 2 else (1.0, 0.0)
+
+
 
 
 def score(df: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) for each row of (doc_id, text); evidence holds the ids of the neighbours that voted.
 
-    Null and empty texts, like all without a word of the examples, get the base score and no evidence."""
+    Null and empty texts, like all without a word of the examples, get the base score and no evidence. Equally near examples
+    are taken by their ids. Repeated rows are scored each; a row without a doc_id keeps its null. Texts are taken whole,
+    however long. Other columns, whatever their names, are left out; an empty table gives an empty result."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +234,7 @@ def score(df: DataFrame, index: Index) -> DataFrame:
                 if key not in known:
                     if len(known) > 100_000:
                         known.clear()
-                    known[key] = own.judge(term[a:b], count[a:b]) if b > a else (own.base, [])
+                    known[key] = own.judge(term[a:b], count[a:b])
                 out.append(known[key])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
