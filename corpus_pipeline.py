@@ -16,9 +16,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go; nulls in lang become the predicted language, labels stay."""
+    """Documents without a text or without any letter go; nulls in lang become the predicted language, labels stay. Where no
+    document has a label nothing can be learned: the others then stay as they are."""
     columns = docs.columns
-    found = language.predict(docs, *language.fit(docs), keep=columns).where(F.col("lang_pred") != language.UNDETERMINED)
+    languages, log_probs = language.fit(docs)
+    if not languages:
+        return docs.where(language.has_letter(F.col("text")))
+    found = language.predict(docs, languages, log_probs, keep=columns).where(F.col("lang_pred") != language.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 

@@ -49,3 +49,22 @@ def test_odd_rows(spark):
         assert out.count() == kept.count()
     ids = {r["doc_id"] for r in P.STAGES[1][1](spark, P.STAGES[0][1](spark, docs, SMALL), SMALL).collect()}
     assert ids == {3, None, 5, 6}
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some words", None, "a", 10), (2, None, None, "a", 0), (3, "12 34", None, "b", 5), (None, "é", None, None, None)]
+    kept = P.identify_language(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, None), (1, None)]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    one, two = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, one, "en", "s", 1), (5, two, "en", "s", 1), (3, one, "en", "s", 1)], DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, SMALL).collect()) == [(3, one), (5, two)]
+
+
+def test_secrets_without_ids_are_redacted_in_their_own_rows(spark):
+    key = "AKIA" + "RQM3BCG4PHUE7WNF"
+    docs = spark.createDataFrame([(None, f"x {key}", "en", "s", 22), (None, "x y", "en", "s", 3), (4, f"{key} \ue000", "en", "s", 1)], DOCS)
+    got = sorted((r["text"], r["n_chars"]) for r in P.redact_secrets(spark, docs, SMALL).collect())
+    assert got == [("[SECRET] \ue002", 10), ("x [SECRET]", 10), ("x y", 3)]

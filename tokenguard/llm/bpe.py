@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenguard.llm.common import slices, table
+from tokenguard.llm.common import bounded_batches, slices, table
 
 NEVER = 1 << 40  # later than any rank
 NONE = np.int64(NEVER)
@@ -239,7 +239,11 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str, pattern: str) ->
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text of each document."""
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text of each document.
+
+    Null and empty texts have no tokens. Repeated rows are coded each, alike; a null doc_id stays null. Texts are coded
+    whole, however long. Other columns, whatever their names, are left out; an empty table gives an empty result."""
+    bounded_batches(df.sparkSession)
     coded = encode(df, "doc_id", "text", path, pattern, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

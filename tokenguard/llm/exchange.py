@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import materialize, slices
+from tokenguard.llm.common import bounded_batches, materialize, slices
 
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
-HUBS = 1024  # with more blocks, hubs stand between blocks and parts
+HUBS = 2048  # with more blocks, hubs stand between blocks and parts
 
 Keys = tuple[str, np.ndarray, np.ndarray]  # a kind, sorted distinct keys, and their counts
 
@@ -35,6 +35,7 @@ Keys = tuple[str, np.ndarray, np.ndarray]  # a kind, sorted distinct keys, and t
 def pack(docs: DataFrame, note: Callable[[pa.RecordBatch], bytes] | None = None, share: int = 1) -> DataFrame:
     """(block, packed, note): documents (with a column text) in blocks of BLOCK_BYTES / share, and what note makes of each."""
     most = BLOCK_BYTES // share
+    bounded_batches(docs.sparkSession)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

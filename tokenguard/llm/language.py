@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import bounded_sample, crc_mod, slices, table
+from tokenguard.llm.common import bounded_batches, bounded_sample, crc_mod, slices, table
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -33,6 +33,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (languages x buckets), from (doc_id, text, lang); null labels are ignored."""
+    bounded_batches(labelled.sparkSession)
     picked = bounded_sample(labelled, "lang", per_language, LANGUAGES).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,28 +60,37 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
 
     score is the posterior of the chosen language for a uniform prior, with the evidence of each n-gram taken `sharpness`
     times since n-grams overlap. Ties go to the first language in order. Null texts, texts without any letter, and all
-    texts if nothing was learned, are `und` with score 0."""
+    texts if nothing was learned, are `und` with score 0. Repeated rows are judged each; a null doc_id stays null. Texts are
+    taken whole, however long. Columns that are not kept are left out; an empty table gives an empty result."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((languages, np.ascontiguousarray(log_probs.T)))
+    keep = keep or ["doc_id"]
+    inside = keep.index("text") if "text" in keep else None  # then texts go to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
-        for batch in slices(batches, "text", 1 << 18):
+        whole = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2) if inside is None else b.column(0).flatten()[inside]], ["kept", "letters", "text"]) for b in batches)
+        for batch in slices(whole, "text", 1 << 18):
             n = batch.num_rows
-            buckets, rows = grams(batch.column(1))
+            buckets, rows = grams(batch.column(2))
             keys, counts = np.unique(rows * BUCKETS + buckets, return_counts=True)
             row, bucket = keys // BUCKETS, keys % BUCKETS
             totals = np.stack([np.bincount(row, counts * weights[bucket, j], n) for j in range(len(names))], 1) if names else np.zeros((n, 1))
             totals = (totals - totals.max(1, keepdims=True)) * sharpness
             best = totals.argmax(1)
             odds = np.exp(totals)
-            seen = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(names)
+            seen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool) & bool(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, odds.max(1) / odds.sum(1), 0.0))], ["kept", "lang_pred", "score"])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    own = df.select(F.struct(*(keep or ["doc_id"])).alias("kept"), "text", letters)
+    letters = has_letter(F.col("text")).alias("letters")
+    own = df.select(F.struct(*keep).alias("kept"), letters, *([] if inside is not None else ["text"]))
     return own.mapInArrow(run, f"kept {own.schema['kept'].dataType.simpleString()}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def op6_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc_mod("doc_id", 4) != 2))

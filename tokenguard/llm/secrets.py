@@ -143,8 +143,8 @@ def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), either(plain, named), on), (F.substring(text, 1, 40), named, on), (F.substring(base64, 1, 40), named, on),
         (F.concat(pick(3, ["ghp_", "sk_", "xoxb-", "glpat-"]), F.substring(F.translate(base64, "+/=", "abc"), 1, 36)), either(plain, named), on),
         (F.substring(text, 1, 18), named, on), (F.substring(F.translate(base64, "+/", "!#"), 1, 14), named, on), (chosen, named, on), (random, named, on), (short, named, on),
-        (F.substring(base64, 3, 32), plain, said), (F.substring(text, 7, 40), plain, said), (F.concat(F.lit("\n"), base64, base64, F.lit("\n")), pem, F.lit("-----END ")),
-        (F.substring(F.translate(base64, "+/", "!#"), 5, 12), login, F.lit("@db.example.org")), (chosen, login, F.lit("@localhost/x")),
+        (F.when(number(124, 2) == 0, F.substring(base64, 3, 32)).otherwise(F.substring(text, 5, 32)), plain, said), (F.substring(text, 7, 40), plain, said), (F.concat(F.lit("\n"), base64, base64, F.lit("\n")), pem, F.lit("-----END ")),
+        (F.when(number(125, 2) == 0, F.substring(F.translate(base64, "+/", "!#"), 5, 12)).otherwise(F.concat(word(126), number(129, 100).cast("string"))), login, F.lit("@db.example.org")), (chosen, login, F.lit("@localhost/x")),
         (F.concat(pick(110, FRAGMENTS), pick(111, FRAGMENTS), number(112, 100).cast("string")), login, F.lit("@example.org/x")),
     ]
     others = [
