@@ -220,7 +220,7 @@ def confusion_matrix(spark, sf_dir):
 @query("stream_ema_state", f"WITH {CTE} SELECT user_id, event_id, pos + 1 AS n, round(ema_mean, 6) AS ema_mean, round(ema_var, 6) AS ema_var FROM x")
 def stream_ema_state(spark, sf_dir):
     static = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.exp(-F.col("value") / 250).alias("p"))
+    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.exp(-F.col("value") / 250).alias("p"))
     out = new_folder(spark)
     done = monitor.run_to_end(monitor.ema_stream(stream, "user_id", ["ts", "event_id"]), f"{out}/rows", f"{out}/state")
     return done.select("user_id", "event_id", "n", r6("ema_mean"), r6("ema_var"))
