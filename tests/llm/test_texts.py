@@ -497,3 +497,31 @@ def test_ppm_odd_rows(spark):
     got, total, kinds = ppm.score(df.withColumn("train", F.lit(False)), "train")
     assert {r["doc_id"]: r["score"] for r in got.collect()}[2] == pytest.approx(-math.log10(257)) and total == kinds == 0
     assert ppm.score(df.limit(0), "train")[0].count() == 0
+
+
+def test_word_hashes_do_not_depend_on_the_stretch(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab \n") for _ in range(r.randint(0, 90))) for _ in range(60)] + ["", " ", "x" * 400, " lead", "tail "]
+    plain = textkit.Words(*textkit.flat(pa.array(texts)))
+    for stretch in (1, 7, 64):
+        monkeypatch.setattr(textkit, "STRETCH", stretch)
+        again = textkit.Words(*textkit.flat(pa.array(texts)))
+        assert (again.hashes == plain.hashes).all() and (again.offsets == plain.offsets).all()
+    alone = {w: textkit.Words(*textkit.flat(pa.array([w]))).hashes[0] for t in texts for w in WORD.findall(t)}
+    assert plain.hashes.tolist() == [alone[w] for t in texts for w in WORD.findall(t)] and len(set(alone.values())) == len(alone)
+
+
+def test_components_of_odd_edges(spark):
+    from tokenguard.llm import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (5, 2), (7, 6)], "u long, v long")
+    assert sorted(map(tuple, graph.components(edges).collect())) == [(1, 1), (2, 1), (5, 1), (6, 6), (7, 6)]
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def test_runs_of_a_long_text(monkeypatch):
+    data = np.random.default_rng(0).integers(0, 256, 100).astype(np.uint8)
+    whole = ppm.runs(data, np.array([0, 100]))[0]
+    for n in (3, 5, 17, 99, 100):
+        monkeypatch.setattr(ppm, "LONG", n)
+        assert np.concatenate([k for k, _ in ppm.run_parts(data, np.array([0, 100]))]).tolist() == whole.tolist()

@@ -11,10 +11,12 @@ from tokenguard.llm.common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for each end of an edge (u, v): the smallest id reachable.
 
+    Repeated edges and edges from a node to itself add nothing; edges with a null end are left out; no edges give no rows.
+
     Each round replaces edges by stars around the smallest neighbour, first for larger neighbours and then for smaller
     ones; it ends when a round changes nothing. Only edges are kept, in tables of the shared folder, and a node's edges
     are never gathered in one place: its smallest neighbour is an aggregate that is joined back."""
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())  # a null end is not unequal
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

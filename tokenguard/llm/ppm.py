@@ -15,6 +15,7 @@ add-one unigram base score travels the same way, word by word.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ END, START = 256, 257  # symbols beside the bytes
 SYMBOLS = 257  # that can be predicted
 BITS = 9
 PAIRS = 1 << 2 * BITS
+LONG = 4 << 20  # bytes of a text that are taken at a time
 U = np.uint64
 
 
@@ -49,6 +51,18 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[symbols != START], np.repeat(np.arange(n), sizes + 1)
 
 
+def run_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """runs of a slice; a very long text, which is alone in its slice, is taken a stretch at a time."""
+    if len(offsets) != 2 or len(data) <= LONG:
+        yield runs(data, offsets)
+        return
+    for a in range(0, len(data), LONG):
+        lead, b = min(a, ORDER), min(a + LONG, len(data))
+        keys, row = runs(data[a - lead : b], np.array([0, b - a + lead]))
+        last = len(keys) if b == len(data) else len(keys) - 1  # the end of a stretch is not the end of the text
+        yield keys[lead:last], row[lead:last]
+
+
 def place(kind: str, keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of a run: by the two symbols before the predicted one. The part of a word: by its hash."""
     near = (keys >> U(BITS)) & U(PAIRS - 1) if kind == "run" else keys
@@ -68,7 +82,8 @@ def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
     kept = {"run": [], "word": []}
     for data, offsets, train, _ in pieces(batch):
         words = textkit.Words(data, offsets)
-        for kind, (keys, row) in {"run": runs(data, offsets), "word": (words.hashes, np.repeat(np.arange(len(train)), words.counts()))}.items():
+        every = itertools.chain([("word", (words.hashes, np.repeat(np.arange(len(train)), words.counts())))], (("run", x) for x in run_parts(data, offsets)))
+        for kind, (keys, row) in every:
             learned = train[row]
             once, n = np.unique(keys[learned], return_counts=True)
             others = np.unique(keys[~learned])
@@ -81,8 +96,8 @@ def pair_counts(batch: pa.RecordBatch) -> bytes:
     """Counts of the pairs of symbols in a block's training documents."""
     low = np.zeros(PAIRS, np.int64)
     for data, offsets, train, _ in pieces(batch):
-        keys, row = runs(data, offsets)
-        low += np.bincount((keys[train[row]] & U(PAIRS - 1)).astype(np.int64), minlength=len(low))
+        for keys, row in run_parts(data, offsets):
+            low += np.bincount((keys[train[row]] & U(PAIRS - 1)).astype(np.int64), minlength=len(low))
     some = np.flatnonzero(low)
     return some.astype("<i8").tobytes() + low[some].tobytes()
 
@@ -202,8 +217,8 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
         scores, base, known, words_of = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
         for data, offsets, flags, start in pieces(batch):
             here = slice(start, start + len(flags))
-            keys, row = runs(data, offsets)
-            scores[here] = np.bincount(row, value["run"][find["run"](keys)], len(flags))
+            for keys, row in run_parts(data, offsets):
+                scores[here] += np.bincount(row, value["run"][find["run"](keys)], len(flags))
             words = textkit.Words(data, offsets)
             if len(words.hashes):
                 counts, row = value["word"][find["word"](words.hashes)], np.repeat(np.arange(len(flags)), words.counts())

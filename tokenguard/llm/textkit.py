@@ -20,11 +20,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def multipliers(at: np.ndarray, stream: int) -> np.ndarray:
+    """The odd 64-bit multipliers of a stream at given places."""
+    return mix((at.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(stream * 0xD1B54A32D192ED03 % 2**64)) | U64(1)
+
+
 def seeds(n: int, stream: int) -> np.ndarray:
-    """n odd 64-bit multipliers of a stream."""
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(stream * 0xD1B54A32D192ED03 % 2**64)) | U64(1)
+    """The first n multipliers of a stream."""
+    return multipliers(np.arange(n), stream)
 
 
+STRETCH = 1 << 20  # bytes that are hashed at a time
 BYTE_CODE = seeds(256, 1)
 BYTE_CODE[SPACES] = 0
 
@@ -51,15 +57,19 @@ class Words:
         first[edges] = inside[edges]
         self.starts = np.flatnonzero(first)
         self.offsets = np.searchsorted(self.starts, offsets)
-        if len(self.starts):
-            ends = np.append(self.starts[1:], len(text))
-            at = np.arange(self.starts[0], len(text), dtype=np.int64) - np.repeat(self.starts, ends - self.starts)
-            powers = seeds(int(at.max()) + 1, 2)
-            code = BYTE_CODE if separators is SPACES else np.where(separators, np.uint64(0), BYTE_CODE)
-            sums = np.add.reduceat(code[text[self.starts[0] :]] * powers[at], self.starts - self.starts[0])
-            self.hashes = mix(sums)
-        else:
-            self.hashes = np.zeros(0, U64)
+        code = BYTE_CODE if separators is SPACES else np.where(separators, np.uint64(0), BYTE_CODE)
+        sums = np.zeros(len(self.starts), U64)
+        # a stretch at a time, so that a very long text or word takes few bytes more than its own
+        for a in range(int(self.starts[0]) if len(self.starts) else len(text), len(text), STRETCH):
+            b = min(a + STRETCH, len(text))
+            word, upto = np.searchsorted(self.starts, (a, b - 1), side="right") - (1, 0)
+            begin = self.starts[word:upto]
+            inside_ = np.maximum(begin, a) - a
+            at = np.arange(a, b) - np.repeat(begin, np.diff(np.append(inside_, b - a)))
+            longest = int(at.max()) + 1
+            powers = seeds(longest, 2)[at] if longest <= STRETCH else multipliers(at, 2)
+            sums[word:upto] += np.add.reduceat(code[text[a:b]] * powers, inside_)
+        self.hashes = mix(sums)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
