@@ -60,8 +60,8 @@ def rarest(sizes: np.ndarray, hashes: np.ndarray, df: np.ndarray, percent: int)
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, digest1, digest2, keys) of each row; keys are the shared shingles of step 2 or null."""
-    blocks = exchange.pack(docs.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")), share=6)
-    parts = max(16, blocks.count())
+    blocks = exchange.pack(docs.select("doc_id", "text_key", F.coalesce("text", F.lit("")).alias("text")), share=12)  # rows of half a megabyte, which the JVM's collector handles like others
+    parts = max(16, blocks.count() // 6)
 
     def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
         yield "shingle", *np.unique(block_sets(batch, words)[0], return_counts=True)

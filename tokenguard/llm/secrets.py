@@ -154,6 +154,7 @@ def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
         (F.upper(foreign), loud, on), (F.upper(F.concat(word(92), word(95))), loud, on), (F.substring(text, 9, 40), plain, explained), (F.substring(text, 3, 32), either(plain, harmless), explained),
         (F.concat(pick(113, ["mail", "www", "smtp", "post"]), number(114, 20).cast("string"), F.lit("."), either(F.lit("example"), word(115)), pick(118, [".com", ".org", ".de"])), F.concat(plain, pick(119, FRAGMENTS), F.lit("."), number(120, 100).cast("string"), F.lit("@")), either(on, F.concat(on, F.lit(" "), pick(121, SECRET_NAMES), F.lit(' = "')), 3)),
         (digits, plain, F.concat(on, F.lit(" "), pick(122, SECRET_NAMES), F.lit(' = "'))), (F.initcap(foreign), F.lit(". "), F.concat(F.lit(" x "), pick(123, SECRET_NAMES), F.lit(": "))),
+        (F.concat(word(130), F.lit("."), word(133), pick(136, [".com", ".org", ".net", ".fr"])), F.concat(plain, pick(137, FRAGMENTS), F.lit("@")), either(on, F.concat(on, F.lit(" "), pick(138, SECRET_NAMES), F.lit(' = "')), 3)), (F.upper(uuid), either(plain, harmless), on),
     ]
     every = secrets + others
     kind = F.pmod("id", F.lit(len(every))).cast("int")
