@@ -298,18 +298,26 @@ def test_classifiers_odd_rows(spark):
     assert quality.score(odd.limit(0), quality.fit(some)).count() == 0
 
 
-def test_nearest_is_exact():
-    r = np.random.default_rng(2)
-    terms = np.sort(r.integers(1, 1 << 60, 30).astype(np.uint64))
-    rows = [r.choice(terms, r.integers(0, 9)) for _ in range(500)]
-    index = toxicity.Index(terms, r.random(30) + 0.5, rows, r.integers(0, 2, 500), np.arange(500))
-    for _ in range(50):
-        term = np.sort(r.choice(30, r.integers(1, 6), replace=False))
+@pytest.mark.parametrize("kinds,common", [(30, 2), (400, 50), (3000, 10)])
+def test_nearest_is_exact(monkeypatch, kinds, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    r = np.random.default_rng(kinds)
+    terms = np.sort(r.integers(1, 1 << 60, kinds).astype(np.uint64))
+    draw = lambda n: np.minimum((kinds * r.random(n) ** 3).astype(int), kinds - 1)  # noqa: E731  common and rare ones
+    rows = [terms[draw(r.integers(0, 25))] for _ in range(900)]
+    rows[7:9] = rows[3:4] * 2
+    index = toxicity.Index(terms, r.random(kinds) + 0.5, rows, r.integers(0, 2, 900), np.arange(900))
+    for i in range(80):
+        term = np.unique(draw(r.integers(1, 30)))
         weight = r.random(len(term))
         weight /= np.linalg.norm(weight)
-        _, cosine = index.nearest(term, weight)
+        but = int(r.integers(900)) if i % 2 else None
+        found, cosine = index.nearest(term, weight, but)
         every = weight @ index.weights[term]
-        assert np.allclose(np.sort(cosine), np.sort(every[every > 0])[-toxicity.NEIGHBOURS :])
+        every[index.ids == but] = 0
+        want = np.lexsort((index.ids, -np.round(every, 12)))[: toxicity.NEIGHBOURS]
+        want = want[every[want] > 0]
+        assert found.tolist() == want.tolist() and np.allclose(cosine, every[want])
 
 
 def test_every_document_is_compared(spark):

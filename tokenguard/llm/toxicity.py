@@ -5,9 +5,10 @@ over all documents, so common terms weigh little. A term also weighs more the mo
 others. That is judged by its different left neighbours, not by documents, which keeps copies and repeated passages from
 passing for evidence. Vectors are scaled to unit length.
 
-The index keeps, term by term, the examples' weights in blocks with each block's largest weight. For a document, blocks
-are visited by falling bound (the sum over its terms of weight x largest weight) and the search ends when no bound
-reaches the k-th best cosine, so the neighbours are exact. Their votes, weighted by 1 / (distance + 0.1), are smoothed
+The index keeps, term by term, the examples' weights, and for common terms each block's largest weight. For a document,
+the postings of its rare terms are added up; the largest weights of its common terms bound what they can add in a block.
+Only examples whose bound reaches the k-th best cosine known are looked up in the common terms, the likeliest first, so
+the neighbours are exact. Their votes, weighted by 1 / (distance + 0.1), are smoothed
 towards the share of toxic examples; only documents without any word of the examples get that share as it is. A logistic
 curve turns votes into probabilities for equally many of both classes, as samples hold where labels are many; it is fitted
 to examples that are judged by the others.
@@ -15,6 +16,7 @@ to examples that are judged by the others.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ from tokenguard.llm.quality import calibrate
 
 SAMPLE_PER_LABEL = 3000  # labelled examples of each class, about
 NEIGHBOURS, BLOCK = 15, 64
+COMMON = 2  # terms of more than one in so many examples are common
 ERRORS, GAIN = 1.5, 4.0  # of a term's weight: standard errors held back from its log odds, and the gain on what is left
 SMOOTHING = 0.25  # votes for the base score
 CALIBRATION = 1000  # examples, about, that the curve is fitted to
@@ -112,39 +115,43 @@ class Index:
         term, at, value = term[by_term], at[by_term], value[by_term]
         self.weights = Postings(np.searchsorted(term, np.arange(len(terms) + 1)), at, value, len(order))
         self.blocks = -(-len(order) // BLOCK)
-        run = term * self.blocks + at // BLOCK
-        self.start = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))  # of each block of each term
-        self.first = np.searchsorted(self.start, self.weights.first)
-        self.block = at[self.start[:-1]] // BLOCK
-        self.most = np.maximum.reduceat(value, self.start[:-1]) if len(value) else value
+        # common terms: their largest weight in each block
+        often = np.diff(self.weights.first) > max(BLOCK, len(order) // COMMON)
+        self.place = np.where(often, np.cumsum(often) - 1, -1)
+        mine = often[term]
+        self.most = np.zeros((int(often.sum()), self.blocks))
+        np.maximum.at(self.most, (self.place[term[mine]], at[mine] // BLOCK), value[mine])
+
+    @functools.cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the common terms, terms x examples, filled in where the index is used."""
+        return self.weights[np.flatnonzero(self.place >= 0)]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, ties to the smaller id; but those with the id `but`."""
-        mine = spans(self.first[term], self.first[term + 1])
-        block, scale = self.block[mine], np.repeat(weight, self.first[term + 1] - self.first[term])
-        bound = np.bincount(block, scale * self.most[mine], self.blocks)
-        line = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
-        found, cosine, worst, done, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 4
-        while done < len(line) and (len(found) < NEIGHBOURS or bound[line[done]] >= worst - 1e-12):
-            least = worst - 1e-12 if len(found) >= NEIGHBOURS else -1.0
-            now = line[done : done + step][bound[line[done : done + step]] >= least]
-            done, step = done + step, step * 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            hit = np.flatnonzero(chosen[block])
-            start, end = self.start[mine[hit]], self.start[mine[hit] + 1]
-            p = spans(start, end)
-            exact = np.bincount(self.weights.at[p], np.repeat(scale[hit], end - start) * self.weights.value[p])
-            new = np.flatnonzero(exact > 0)
-            if but is not None:
-                new = new[self.ids[new] != but]
-            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, exact[new]])
-            if len(cosine) > NEIGHBOURS:
-                keep = np.flatnonzero(cosine >= np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] - 1e-11)
-                found, cosine = found[keep], cosine[keep]
+        own = self.place[term]
+        rare, w = own < 0, weight[own >= 0]
+        row = own[own >= 0]
+        start, end = self.weights.first[term[rare]], self.weights.first[term[rare] + 1]
+        p = spans(start, end)
+        score = np.bincount(self.weights.at[p], np.repeat(weight[rare], end - start) * self.weights.value[p], len(self.ids)).astype(float)
+        if but is not None:
+            score[self.ids == but] = -np.inf
+        bound = score + np.repeat(w @ self.most[row], BLOCK)[: len(score)] if len(row) else score
+        found, cosine = np.zeros(0, np.int64), np.zeros(0)
+        least = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] if len(score) > NEIGHBOURS else -np.inf
+        left = np.flatnonzero((bound > 0) & (bound >= least - 1e-11))
+        left = left[np.argsort(-bound[left], kind="stable")]
+        for now in (left[: 4 * NEIGHBOURS], left[4 * NEIGHBOURS :]):  # the likeliest raise what the others must reach
+            now = now[bound[now] >= least - 1e-11]
+            exact = score[now] + w @ self.dense[np.ix_(row, now)] if len(row) else score[now]
+            found, cosine = np.concatenate([found, now[exact > 0]]), np.concatenate([cosine, exact[exact > 0]])
             best = np.lexsort((self.ids[found], -np.round(cosine, 12)))[:NEIGHBOURS]
             found, cosine = found[best], cosine[best]
-            worst = cosine[-1] if len(cosine) else -1.0
+            least = cosine[-1] if len(cosine) == NEIGHBOURS else least
         return found, cosine
 
     def votes(self, term: np.ndarray, count: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
