@@ -23,27 +23,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not languages:
         return docs.where(language.has_letter(F.col("text")))
     found = language.predict(docs, languages, log_probs, keep=columns).where(F.col("lang_pred") != language.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    return found.select(F.col("kept").withField("lang", F.coalesce("kept.lang", "lang_pred")).alias("kept")).select("kept.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; rows without an id stay.
 
     Rows that repeat an id and a text are one document: they stay or go together."""
-    columns = docs.columns
     copies = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(copies, ["doc_id", "text_key"], "left_anti").select(*columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("kept"), "doc_id", F.xxhash64("text").alias("text_key"))
+    return keyed.join(copies, ["doc_id", "text_key"], "left_anti").select("kept.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become [SECRET]; n_chars follows the text."""
-    columns = docs.columns
-    keyed = docs.withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("text")))  # ids may repeat
-    found = materialize(secrets.scan(keyed.select(F.col("doc_key").alias("doc_id"), "text")))
-    pieces = found.groupBy(F.col("doc_id").alias("doc_key")).agg(F.array_sort(F.collect_set("piece")).alias("secrets"))
-    met = keyed.join(pieces, "doc_key", "left").withColumn("text", F.when(F.col("secrets").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("secrets"))))
-    return met.withColumn("n_chars", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_key")  # ids may repeat
+    found = materialize(secrets.scan(docs.select(key.alias("doc_id"), "text")))
+    pieces = found.groupBy(F.col("doc_id").alias("doc_key")).agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    met = docs.select(F.struct(*docs.columns).alias("kept"), key).join(pieces, "doc_key", "left")
+    text = secrets.redact(F.col("kept.text"), F.col("pieces"))
+    clean = met.withColumn("text", F.when(F.col("pieces").isNotNull(), text))
+    changed = F.col("kept").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))
+    return clean.select(F.when(F.col("pieces").isNull(), F.col("kept")).otherwise(changed).alias("kept")).select("kept.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

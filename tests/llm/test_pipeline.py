@@ -68,3 +68,16 @@ def test_secrets_without_ids_are_redacted_in_their_own_rows(spark):
     docs = spark.createDataFrame([(None, f"x {key}", "en", "s", 22), (None, "x y", "en", "s", 3), (4, f"{key} \ue000", "en", "s", 1)], DOCS)
     got = sorted((r["text"], r["n_chars"]) for r in P.redact_secrets(spark, docs, SMALL).collect())
     assert got == [("[SECRET] \ue002", 10), ("x [SECRET]", 10), ("x y", 3)]
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    key = "AKIA" + "RQM3BCG4PHUE7WNF"
+    names = "kept lang_pred score text_key doc_key pieces size rank copies salt component_id doc".split()
+    docs = spark.createDataFrame([(i, f"the words {i} {key if i == 2 else ''}", "en", "s", 9, *[f"{n}{i}" for n in names]) for i in range(4)], DOCS + "".join(f", {n} string" for n in names))
+    kept = docs
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, SMALL)
+        assert kept.columns == docs.columns
+    assert {tuple(r[n] for n in names) for r in kept.collect()} <= {tuple(f"{n}{i}" for n in names) for i in range(4)}
+    assert "[SECRET]" in {r["doc_id"]: r["text"] for r in kept.collect()}.get(2, "[SECRET]")
+    assert P.STAGES[-1][1](spark, kept, SMALL).count() == kept.count()

@@ -56,7 +56,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, smoothing:
 
 
 def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpness: float = 0.2, keep: list[str] | None = None) -> DataFrame:
-    """(kept columns, doc_id unless kept, lang_pred, score) for each row of (doc_id, text).
+    """(doc_id, lang_pred, score) for each row of (doc_id, text); with keep, a struct `kept` of those columns for doc_id.
 
     score is the posterior of the chosen language for a uniform prior, with the evidence of each n-gram taken `sharpness`
     times since n-grams overlap. Ties go to the first language in order. Null texts, texts without any letter, and all
@@ -64,8 +64,8 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
     taken whole, however long. Columns that are not kept are left out; an empty table gives an empty result."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((languages, np.ascontiguousarray(log_probs.T)))
-    keep = keep or ["doc_id"]
-    inside = keep.index("text") if "text" in keep else None  # then texts go to Python once
+    names_kept = keep or ["doc_id"]
+    inside = names_kept.index("text") if "text" in names_kept else None  # then texts go to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
@@ -83,8 +83,8 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, odds.max(1) / odds.sum(1), 0.0))], ["kept", "lang_pred", "score"])
 
     letters = has_letter(F.col("text")).alias("letters")
-    own = df.select(F.struct(*keep).alias("kept"), letters, *([] if inside is not None else ["text"]))
-    return own.mapInArrow(run, f"kept {own.schema['kept'].dataType.simpleString()}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    own = df.select(F.struct(*names_kept).alias("kept"), letters, *([] if inside is not None else ["text"]))
+    return own.mapInArrow(run, f"kept {own.schema['kept'].dataType.simpleString()}, lang_pred string, score double").select("kept" if keep else "kept.doc_id", "lang_pred", "score")
 
 
 def has_letter(text: Column) -> Column:
