@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenguard.llm.common import bounded_batches, slices, table
+from tokenguard.llm.common import KEPT, bounded_batches, slices, table
 
 NEVER = 1 << 40  # later than any rank
 NONE = np.int64(NEVER)
@@ -195,13 +195,11 @@ class ByteBPE:
         return b"".join([known[i] for i in np.frombuffer(ids, "<u4").tolist() if i < len(known)]).decode("utf-8", "replace")
 
 
-_codecs: dict[tuple[str, str], ByteBPE] = {}
-
-
 def codec(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = ByteBPE(path, pattern)
-    return _codecs[path, pattern]
+    kept = KEPT.setdefault("bpe", {})
+    if (path, pattern) not in kept:
+        kept[path, pattern] = ByteBPE(path, pattern)
+    return kept[path, pattern]
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, decoded: bool = False) -> DataFrame:
@@ -212,7 +210,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="bpe"):
             ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             out = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             names = ["id", "ids", "n_tokens"]

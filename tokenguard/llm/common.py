@@ -28,8 +28,15 @@ def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
         spark.conf.set(name, most)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about max_bytes of text (one row at least)."""
+#: What an operator keeps in a Python worker between its tasks, by its name. Spark hands workers on to other operators.
+KEPT: dict[str, dict] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = 1 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about max_bytes of text (one row at least). What other operators than the owner
+    have kept in this worker is let go first."""
+    for other in KEPT.keys() - {owner}:
+        del KEPT[other]
     for batch in batches:
         if batch.num_rows == 0:
             continue
