@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenguard.llm.audit import OP12_SQL, op12_filter_audit
 from tokenguard.llm.bpe import op1_bpe
 from tokenguard.llm.language import op6_language
 from tokenguard.llm.mixing import OP9_SQL, op9_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_ngram_join": OP3_SQL,
     "op9_mixing": OP9_SQL,
     "op10_topk": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
