@@ -11,6 +11,7 @@ from tokenguard.llm.ngram_join import OP3_SQL, op3_ngram_join
 from tokenguard.llm.ppm import op5_lm_score
 from tokenguard.llm.quality import op7_quality
 from tokenguard.llm.secrets import op4_secrets
+from tokenguard.llm.token_counts import op13_token_counts
 from tokenguard.llm.topk import OP10_SQL, op10_topk
 from tokenguard.llm.toxicity import op8_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {
