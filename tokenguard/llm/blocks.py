@@ -29,8 +29,8 @@ def unsqueezed(raw: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
-def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.RecordBatch], schema: str, owner: str) -> DataFrame:
-    """(block, what make returns as one row) for blocks of BLOCK_BYTES of text, written to the shared folder. make gets the
+def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.RecordBatch], schema: str, owner: str, times: int = 1) -> DataFrame:
+    """(block, what make returns as one row) for blocks of `times` BLOCK_BYTES of text, written to the shared folder. make gets the
     slices of a block; docs has a column text. owner: as in slices."""
     bounded_batches(docs.sparkSession)
     text = docs.columns.index("text")
@@ -41,7 +41,7 @@ def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.Rec
         def one(first: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             size = first.column(text).nbytes
             yield first
-            while size < BLOCK_BYTES:
+            while size < times * BLOCK_BYTES:
                 if (part := next(parts, None)) is None:
                     return
                 size += part.column(text).nbytes

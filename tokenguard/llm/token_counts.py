@@ -1,8 +1,9 @@
 """Token counts without token ids: pieces are counted once for each different pre-token of the corpus.
 
 Documents are reduced to the frequencies of their pre-tokens, in blocks that hold their different pre-tokens once. The
-different pre-tokens of all blocks are counted by the tokenizer's library, each once; the counts go back to the blocks that
-asked, and a document's count is the sum of its frequencies times the counts. Texts move nowhere.
+pre-tokens of all blocks are sorted, and the tokenizer's library counts each once, however many blocks have it; rows pass by,
+so nothing is gathered. The counts are joined to the blocks that asked, and a document's count is the sum of its frequencies
+times the counts. Texts move nowhere.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from tokenguard.llm.common import slices, table
 from tokenguard.llm.pieces import pieces_of
 
 
+BLOCKS = 4  # times blocks.BLOCK_BYTES: larger blocks ask for fewer pre-tokens
+
+
 def frequencies(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """(block, words, packed): the different pre-tokens of each block, and per document its id, size and which of them it has
     how often."""
@@ -37,22 +41,30 @@ def frequencies(docs: DataFrame, path: str, pattern: str | None = None) -> DataF
                 at.append(np.fromiter((place(w, len(index)) for w in found), np.int32, len(found)))
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
                 ends.append(ends[-1] + len(found))
-        flat = lambda xs: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(xs)))
-        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(sizes), flat(at), flat(times)], ["doc_id", "n_bytes", "at", "times"])
+        # numbers byte by byte, which compresses well where most are small
+        planes = lambda xs: pa.array([np.ascontiguousarray(np.concatenate(xs).view(np.uint8).reshape(-1, 4).T).tobytes()] + [None] * (len(ends) - 2), pa.large_binary())
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(sizes), pa.array(ends[1:], pa.int64()), planes(at), planes(times)], ["doc_id", "n_bytes", "end", "at", "times"])
         return pa.RecordBatch.from_arrays([pa.array([list(index)], pa.list_(pa.string())), pa.array([squeezed(rows)], pa.binary())], ["words", "packed"])
 
-    return blocks_of(docs.select("doc_id", "text"), make, "words array<string>, packed binary", "pieces")
+    return blocks_of(docs.select("doc_id", "text"), make, "words array<string>, packed binary", "pieces", BLOCKS)
 
 
-def counted(words: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(word, n): the pieces of each pre-token."""
+def counted(asked: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+    """(to, at, n): the pieces of each row (block, at, word). Equal words come one after the other and are counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, 0
         for batch in slices(batches, "word", owner="pieces"):
-            n = pieces_of(path, pattern).count(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["word", "n"])
+            words = batch.column(2)
+            new = np.append(True, pa.compute.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) if len(words) > 1 else np.ones(1, bool)
+            different = words.filter(pa.array(new)).to_pylist()
+            n = np.empty(len(different), np.int32)
+            seen = different[0] == last  # the batch goes on with the word that ended the one before
+            n[:1], n[seen:] = known, pieces_of(path, pattern).count(different[seen:])
+            last, known = different[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[np.cumsum(new) - 1])], ["to", "at", "n"])
 
-    return words.mapInArrow(run, "word string, n int")
+    return asked.select("block", "at", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "to long, at int, n int")
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit: int = 4096) -> DataFrame:
@@ -65,16 +77,15 @@ def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit:
     blocks = frequencies(docs, path, pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    known = counted(asked.select("word").distinct(), path, pattern)
-    worth = asked.join(known, "word").select(F.col("block").alias("to"), "at", "n")
+    worth = counted(asked, path, pattern)
 
     def summed(rows: pa.Table, told: pa.Table) -> pa.Table:
         n = np.zeros(told.num_rows, np.int64)
         n[told.column("at").to_numpy()] = told.column("n").to_numpy()
         docs = unsqueezed(rows.column("packed")[0].as_py())
-        ends = docs.column("at").offsets.to_numpy()
-        each = n[docs.column("at").values.to_numpy()] * docs.column("times").values.to_numpy()
-        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": np.diff(np.append(0, np.cumsum(each))[ends])})
+        read = lambda k: np.ascontiguousarray(np.frombuffer(docs.column(k)[0].as_py(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        upto = np.append(0, np.cumsum(n[read("at")] * read("times")))[docs.column("end").to_numpy()]
+        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": np.diff(upto, prepend=0)})
 
     out = blocks.select("block", "packed").groupBy("block").cogroup(worth.groupBy("to")).applyInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
