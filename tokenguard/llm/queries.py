@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenguard.llm.alignment import op11_alignment
 from tokenguard.llm.audit import OP12_SQL, op12_filter_audit
 from tokenguard.llm.bpe import op1_bpe
 from tokenguard.llm.language import op6_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op11_alignment": op11_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_counts": op13_token_counts,
 }
