@@ -21,9 +21,10 @@ from tokenguard.llm.common import materialize, table
 
 # A value goes to the closing quote, or to white space without the marks that end a sentence or bracket there. The parameter
 # of a URL that follows is not part of it, and a sign before another named secret has that one's value, not its own.
-NAME_IN_FRONT = r"""(?<=[\p{L}\p{N}_])["']?\s*+(?::(?!//)=?|={1,3}>?)\s*+|(?<=[\p{L}\p{N}_]={1,2})\s*+"""
+# The colon behind the user of a URL is no such sign: what follows is a password up to the @.
+NAME_IN_FRONT = r"""(?=["'\s:=])(?<=[\p{L}\p{N}_])["']?\s*+(?:(?<!://[\w.%+\-]{1,64}):(?!//)=?|={1,3}>?)\s*+|(?<==)(?<=[\p{L}\p{N}_]={1,2})\s*+"""
 VALUE = r"""(?<=")[^"\s]{8,}+(?=")|(?<=')[^'\s]{8,}+(?=')|(?!\w{0,30}(?i:pass|pwd|secret|token|key|auth|cred)\w{0,20}[=:])(?:[^\s"'&?.,;:)\]}>]|[&?](?!\w{1,40}=)|[.,;:)\]}>]++(?![\s"']|$)){4,}+"""
-PEM = r"(?<=-----)(?<=-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----)[^-]{16,}+(?=-----END )"
+PEM = r"(?<=KEY-----)(?<=-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----)(?:[^-]++|-(?!----))++(?=-----END )"  # with the lines of its head
 IN_URL = r"(?<=:)(?<=[a-z]://[\w.%+\-]{0,64}:)[^\s/@:\"']{6,}+(?=@[\w\[])"
 RUN = r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])"
 #: A key in a PEM block or URL, the whole value of an assignment (the third group), or a run of key characters that stands alone.
@@ -107,10 +108,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*").where((F.length("value") >= LEAST) | F.startswith("after", F.lit("@")))
 
 
-def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
-    """(value, before, after, label, kind): labelled findings, half of them secrets; the same for every run. kind is the
-    number of the template."""
-    row = spark.range(n)
+def findings(spark: SparkSession, n: int = 8000, first: int = 0) -> DataFrame:
+    """(value, before, after, label, kind): labelled findings with the numbers from `first`, half of them secrets; the same for
+    every run. kind is the number of the template."""
+    row = spark.range(first, first + n)
     text = F.concat(*[F.sha2(F.concat_ws(":", "id", F.lit(i)).cast("binary"), 256) for i in range(2)])
     number = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
     pick = lambda k, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), number(k, len(xs)) + 1)
@@ -146,6 +147,7 @@ def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
         (F.when(number(124, 2) == 0, F.substring(base64, 3, 32)).otherwise(F.substring(text, 5, 32)), plain, said), (F.substring(text, 7, 40), plain, said), (F.concat(F.lit("\n"), base64, base64, F.lit("\n")), pem, F.lit("-----END ")),
         (F.when(number(125, 2) == 0, F.substring(F.translate(base64, "+/", "!#"), 5, 12)).otherwise(F.concat(word(126), number(129, 100).cast("string"))), login, F.lit("@db.example.org")), (chosen, login, F.lit("@localhost/x")),
         (F.concat(pick(110, FRAGMENTS), pick(111, FRAGMENTS), number(112, 100).cast("string")), login, F.lit("@example.org/x")),
+        (F.concat(F.lit("\nProc-Type: 4,ENCRYPTED\nDEK-Info: "), pick(140, ["AES-128-CBC,", "DES-EDE3-CBC,"]), F.upper(F.substring(text, 1, 32)), F.lit("\n\n"), base64, base64, F.lit("\n")), pem, F.lit("-----END ")),
     ]
     others = [
         (F.substring(text, 1, 40), harmless, on), (uuid, either(plain, harmless), on), (F.concat_ws("/", word(10), word(13), word(16)), either(plain, path), on), (F.concat_ws("_", word(20), word(23), word(26)), either(harmless, plain, 3), on),
@@ -165,12 +167,14 @@ def findings(spark: SparkSession, n: int = 8000) -> DataFrame:
 
 
 def train(spark: SparkSession, trees: int = 30, depth: int = 7, seed: int = 7, learned: DataFrame | None = None) -> str:
-    """A forest fitted on labelled findings, as a SQL expression of the features: the mean of its trees' votes."""
+    """A forest fitted on labelled findings, as a SQL expression of the features: the mean of its trees' votes.
+
+    The findings are fixed and few; they are put in order in one partition, so that the forest is the same on any cluster."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     names = list(features())
-    rows = materialize((findings(spark) if learned is None else learned).withColumns({k: v.cast("double") for k, v in features().items()}).select("label", *names))
+    rows = materialize((findings(spark) if learned is None else learned).withColumns({k: v.cast("double") for k, v in features().items()}).select("label", *names).repartition(1).sortWithinPartitions("label", *names)).coalesce(1)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=5).fit(VectorAssembler(inputCols=names, outputCol="x").transform(rows))
 
     def case(lines: list[str]) -> str:
