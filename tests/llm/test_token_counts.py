@@ -92,6 +92,6 @@ def test_each_pre_token_is_counted_once(spark):
     docs = spark.createDataFrame([(i, "the same few words " * 3 + str(i % 4)) for i in range(300)], "doc_id long, text string").repartition(6)
     asked = token_counts.frequencies(docs, MODEL).select("block", F.posexplode("words").alias("at", "word"))
     assert asked.count() <= 6 * 9 and asked.select("word").distinct().count() == 4 + 1 + 4  # a space before a digit stands alone
-    got = token_counts.counted(asked, MODEL)
+    got = token_counts.counted(asked.select((F.shiftleft("block", token_counts.PLACES) + F.col("at")).alias("place"), "word"), MODEL)
     own = pieces.SentencePieces(MODEL)
-    assert {(r["to"], r["at"], r["n"]) for r in got.collect()} == {(r["block"], r["at"], own.count([r["word"]])[0]) for r in asked.collect()}
+    assert {(r["to"], r["known"] >> 32, r["known"] & 0xFFFFFFFF) for r in got.collect()} == {(r["block"], r["at"], own.count([r["word"]])[0]) for r in asked.collect()}

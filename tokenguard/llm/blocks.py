@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tokenguard.llm.common import bounded_batches, materialize, slices
+from tokenguard.llm.common import bounded_batches, slices
+from tokenguard.sources.shared import new_folder
 
 BLOCK_BYTES = 8 << 20
+IN_TASK = 15  # bits of a block's number within its task
 SLICE_BYTES = 1 << 20
 
 
@@ -36,7 +38,7 @@ def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.Rec
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, block = slices(batches, "text", SLICE_BYTES, owner), TaskContext.get().partitionId() << 32
+        parts, block = slices(batches, "text", SLICE_BYTES, owner), TaskContext.get().partitionId() << IN_TASK
 
         def one(first: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             size = first.column(text).nbytes
@@ -52,4 +54,7 @@ def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([block]), *made.columns], ["block", *made.schema.names])
             block += 1
 
-    return materialize(docs.mapInArrow(run, f"block long, {schema}"))
+    path = new_folder(docs.sparkSession)
+    made = docs.mapInArrow(run, f"block long, {schema}")
+    made.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)

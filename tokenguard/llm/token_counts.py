@@ -22,6 +22,7 @@ from tokenguard.llm.common import slices, table
 from tokenguard.llm.pieces import pieces_of
 
 
+PLACES = 27  # bits of a pre-token's place in its block; the numbers of blocks have the others
 BLOCKS = 4  # times blocks.BLOCK_BYTES: larger blocks ask for fewer pre-tokens
 
 
@@ -38,10 +39,12 @@ def frequencies(docs: DataFrame, path: str, pattern: str | None = None) -> DataF
             sizes.append(pa.compute.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()))
             for text in batch.column(1).to_pylist():
                 found = Counter(split(text or ""))
-                at.append(np.fromiter((place(w, len(index)) for w in found), np.int32, len(found)))
-                times.append(np.fromiter(found.values(), np.int32, len(found)))
+                own = np.fromiter((place(w, len(index)) for w in found), np.int32, len(found))
+                order = np.argsort(own)
+                at.append(np.diff(own[order], prepend=np.int32(0)))
+                times.append(np.fromiter(found.values(), np.int32, len(found))[order])
                 ends.append(ends[-1] + len(found))
-        # numbers byte by byte, which compresses well where most are small
+        # gaps between places and frequencies, byte by byte, which compresses well where most are small
         planes = lambda xs: pa.array([np.ascontiguousarray(np.concatenate(xs).view(np.uint8).reshape(-1, 4).T).tobytes()] + [None] * (len(ends) - 2), pa.large_binary())
         rows = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(sizes), pa.array(ends[1:], pa.int64()), planes(at), planes(times)], ["doc_id", "n_bytes", "end", "at", "times"])
         return pa.RecordBatch.from_arrays([pa.array([list(index)], pa.list_(pa.string())), pa.array([squeezed(rows)], pa.binary())], ["words", "packed"])
@@ -50,21 +53,22 @@ def frequencies(docs: DataFrame, path: str, pattern: str | None = None) -> DataF
 
 
 def counted(asked: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(to, at, n): the pieces of each row (block, at, word). Equal words come one after the other and are counted once."""
+    """(to, known): the pieces of each row (place, word), with its place in the block. Equal words come one after the other and
+    are counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, 0
         for batch in slices(batches, "word", owner="pieces"):
-            words = batch.column(2)
+            words, place = batch.column(1), batch.column(0).to_numpy()
             new = np.append(True, pa.compute.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) if len(words) > 1 else np.ones(1, bool)
             different = words.filter(pa.array(new)).to_pylist()
             n = np.empty(len(different), np.int32)
             seen = different[0] == last  # the batch goes on with the word that ended the one before
             n[:1], n[seen:] = known, pieces_of(path, pattern).count(different[seen:])
             last, known = different[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[np.cumsum(new) - 1])], ["to", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(place >> PLACES), pa.array((place & (1 << PLACES) - 1) << 32 | n[np.cumsum(new) - 1])], ["to", "known"])
 
-    return asked.select("block", "at", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, "to long, at int, n int")
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(run, "to long, known long")
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit: int = 4096) -> DataFrame:
@@ -76,15 +80,18 @@ def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit:
     Texts are counted whole, however long. Other columns, whatever their names, are left out; an empty table gives no rows."""
     blocks = frequencies(docs, path, pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    asked = blocks.select("block", F.posexplode("words").alias("at", "word")).select((F.shiftleft("block", PLACES) + F.col("at")).alias("place"), "word")
     worth = counted(asked, path, pattern)
 
     def summed(rows: pa.Table, told: pa.Table) -> pa.Table:
-        n = np.zeros(told.num_rows, np.int64)
-        n[told.column("at").to_numpy()] = told.column("n").to_numpy()
+        n, known = np.zeros(told.num_rows, np.int64), told.column("known").to_numpy()
+        n[known >> 32] = known & 0xFFFFFFFF
         docs = unsqueezed(rows.column("packed")[0].as_py())
         read = lambda k: np.ascontiguousarray(np.frombuffer(docs.column(k)[0].as_py(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-        upto = np.append(0, np.cumsum(n[read("at")] * read("times")))[docs.column("end").to_numpy()]
+        ends, upto = docs.column("end").to_numpy(), np.append(0, np.cumsum(read("at"), dtype=np.int64))
+        starts = np.append(0, ends[:-1])
+        at = upto[1:] - np.repeat(upto[starts], ends - starts)
+        upto = np.append(0, np.cumsum(n[at] * read("times")))[ends]
         return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": np.diff(upto, prepend=0)})
 
     out = blocks.select("block", "packed").groupBy("block").cogroup(worth.groupBy("to")).applyInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long")
