@@ -2,8 +2,8 @@
 
 A sentencepiece model merges over the whole text, white space included. But a merge over a boundary would make a piece that
 holds both characters there. So a text can be cut where a space follows another character, if no piece of the model has a
-space behind anything but spaces, and on both sides of a character that is in no longer piece. What lies between the cuts is
-encoded alone behind a mark, a character that merges with nothing.
+space behind anything but spaces, on both sides of a character that is in no longer piece, and between letters and signs that
+no piece holds side by side. What lies between the cuts is encoded alone behind a mark, a character that merges with nothing.
 
 A byte-level file (JSON) brings its own pattern, and strings of its added tokens stand alone.
 """
@@ -32,8 +32,13 @@ class SentencePieces:
         joins = set("".join(longer)) - {SPACE}
         self.mark = next(c for c in map(chr, [10, 9, *range(1, 32)]) if c not in joins)
         self.skip = len(sp.encode(self.mark))
-        inside = "".join(map(re.escape, sorted(joins)))
-        self.find = re.compile(f" *[{inside}]+| +|[^{inside} ]").findall
+        letters = {c for c in joins if c.isalnum()}
+        met = {(a, b) for x in longer for a, b in zip(x, x[1:]) if SPACE not in (a, b)}
+        while mixed := {c for a, b in met if (a in letters) != (b in letters) for c in (a, b)} & letters:
+            letters -= mixed
+        inside, own, others = ("".join(map(re.escape, sorted(x))) for x in (joins, letters, joins - letters))
+        runs = "|".join(f"[{x}]+" for x in (own, others) if x)
+        self.find = re.compile(f" *(?:{runs})| +|[^{inside} ]").findall
         self.bytes_of = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
 
     def split(self, text: str) -> list[str]:
