@@ -31,7 +31,7 @@ def unsqueezed(raw: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
-def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.RecordBatch], schema: str, owner: str, times: int = 1) -> DataFrame:
+def blocks_of(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], pa.RecordBatch], schema: str, owner: str, times: float = 1) -> DataFrame:
     """(block, what make returns as one row) for blocks of `times` BLOCK_BYTES of text, written to the shared folder. make gets the
     slices of a block; docs has a column text. owner: as in slices."""
     bounded_batches(docs.sparkSession)
