@@ -36,7 +36,7 @@ def test_protected(sessions):
     assert bad[-4] == "data:  \n\n"  # the preamble ends in a space: its last token is empty
     good = lines(out, "good")
     assert good[-1] == f"data: {S.GROUNDED_END}\n\n" and "five" in "".join(good)
-    assert "4.2 business" in " ".join(x[6:].strip() for x in lines(out, "none"))
+    assert "4.5 business" in " ".join(x[6:].strip() for x in lines(out, "none"))
 
 
 def test_unprotected_and_parse(sessions):
@@ -132,13 +132,34 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     for q, line in enumerate(cosine):
         ranked = sorted((-round(float(s), 4) if np.isfinite(s) else 9, i) for i, s in enumerate(line))[:5]
         want |= {(q, i, n + 1, None if s == 9 else -s) for n, (s, i) in enumerate(ranked)}
-    for bytes_ in (R.QUERY_BYTES, 500):
+    for bytes_, tile in ((R.QUERY_BYTES, R.TILE), (500, (7, 64)), (R.QUERY_BYTES, (4, 3))):
         monkeypatch.setattr(R, "QUERY_BYTES", bytes_)
+        monkeypatch.setattr(R, "TILE", tile)
         got = R.top_k(frame(asked, "query_id"), frame(chunks, "chunk_id").repartition(3), 5)
         assert {(r["query_id"], r["chunk_id"], r["rank"], r["similarity"]) for r in got.collect()} == want
     assert R.top_k(frame(asked, "query_id").limit(0), frame(chunks, "chunk_id"), 5).count() == R.top_k(frame(asked, "query_id"), frame(chunks, "chunk_id").limit(0), 5).count() == 0
 
 
+def test_top_k_in_bounded_memory():
+    """8,000 questions against batches of vectors: what is kept is k rows a question, beside one tile."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    asked, vectors = r.normal(size=(8_000, 16)), r.normal(size=(6_000, 16))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 3000)), pa.array(list(vectors[a : a + 3000]), pa.list_(pa.float64()))], ["t", "v"]) for a in (0, 3000)]
+    tracemalloc.start()
+    (out,) = R.best_of(iter(batches), asked, 5, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 40_000 and most < 200e6  # all similarities at once are 384 MB, and as much for each copy
+    similar = np.round(asked[:50] @ vectors.T / (np.linalg.norm(asked[:50], axis=1)[:, None] * np.linalg.norm(vectors, axis=1)), 4)
+    got = {(q, t) for q, t in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) if q < 50}
+    assert got == {(q, int(t)) for q in range(50) for t in np.lexsort((np.arange(6_000), -similar[q]))[:5]}
+
+
 def test_run_of_show_measures_latency(spark):
     chunks = V.corpus(event_log.synthetic_events(spark, 20)).withColumn("chunk_id", F.xxhash64("text")).withColumn("vector", R.hashing_encoder(F.col("text")))
     suite = spark.createDataFrame([("P", "poison", "intercepted"), ("G", "Compliance Review of CASE-10003", "grounded")], "id string, prompt string, expected string")

@@ -78,18 +78,21 @@ def is_code(x: Column) -> Column:
 
 def token_weight(token: Column) -> Column:
     """Risk weight of a token; the first rule that holds decides."""
-    c = strip(F.coalesce(token, F.lit("")))
-    k = F.trim(F.lower(c), F.lit(".,;:()"))
-    return (
-        F.when(c == "", 0.4)
-        .when(c.rlike(DIGIT) | c.rlike("[$€£¥₹%]"), 3.5)
-        .when(is_code(c), 3.0)
-        .when(k.isin(params.ACRONYMS) | (is_upper(c) & (F.length(c) >= 2)), 2.5)
-        .when(k.isin(params.TITLES), 2.2)
-        .when(c.rlike(r"^\p{Lu}") & (F.length(c) > 2) & ~c.endswith("."), 1.8)
-        .when(k.isin(params.STOPWORDS) | c.isin(params.MARKS), 0.4)
-        .otherwise(1.0)
-    )
+
+    def weight(c: Column, k: Column) -> Column:
+        return (
+            F.when(c == "", 0.4)
+            .when(c.rlike(f"{DIGIT}|[$€£¥₹%]"), 3.5)
+            .when(is_code(c), 3.0)
+            .when(k.isin(params.ACRONYMS) | (is_upper(c) & (F.length(c) >= 2)), 2.5)
+            .when(k.isin(params.TITLES), 2.2)
+            .when(c.rlike(r"^\p{Lu}") & (F.length(c) > 2) & ~c.endswith("."), 1.8)
+            .when(k.isin(params.STOPWORDS) | c.isin(params.MARKS), 0.4)
+            .otherwise(1.0)
+        )
+
+    both = lambda c: F.struct(c.alias("c"), F.trim(F.lower(c), F.lit(".,;:()")).alias("k"))
+    return once(once(strip(F.coalesce(token, F.lit(""))), both), lambda x: weight(x["c"], x["k"]))
 
 
 def first_keyword(text: Column, keywords: Sequence[str]) -> Column:

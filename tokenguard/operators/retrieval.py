@@ -42,30 +42,51 @@ def exactly_rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return out
 
 
+TILE = (1024, 2048)  # questions and vectors that are compared at a time
+
+
+def merged(kept: tuple | None, similar: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """(question, value, id) of the k best of what is kept and the similarities to these ids, by question, value and id."""
+    n, m = similar.shape
+    floor = np.partition(similar, m - k, 1)[:, m - k] if m > k else np.full(n, -np.inf)
+    if kept is not None:
+        at = np.searchsorted(kept[0], np.arange(n + 1))
+        full = np.flatnonzero(np.diff(at) == k)
+        floor[full] = np.maximum(floor[full], kept[1][at[full + 1] - 1])
+    i, j = np.nonzero(similar >= floor[:, None])  # ties with the last stay: their ids decide
+    rows, values, names = i, similar[i, j], ids[j]
+    if kept is not None:
+        rows, values, names = (np.concatenate(x) for x in zip(kept, (rows, values, names), strict=True))
+    order = np.lexsort((names, -values, rows))
+    rows = rows[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], values[order][best], names[order][best]
+
+
 def best_of(rows: Iterator[pa.RecordBatch], asked: np.ndarray, k: int, digits: int) -> Iterator[pa.RecordBatch]:
     """(question, tie, similarity) of the k rows (tie, vector) most similar to each of the questions, of all the batches.
     Rows without a direction have no similarity and come last."""
     norms = np.sqrt(np.square(asked).sum(1))
-    ids, best = np.zeros((len(asked), 0), object), np.zeros((len(asked), 0))
+    starts, (tall, wide) = range(0, len(asked), TILE[0]), TILE
+    kept: list[tuple | None] = [None] * len(starts)
     for batch in rows:
-        whole = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-        vectors = whole.reshape(batch.num_rows, -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            similar = (asked @ vectors.T) / (norms[:, None] * np.sqrt(np.square(vectors).sum(1))[None])
-        similar = np.where(np.isfinite(similar), similar, -np.inf)
-        finite = np.isfinite(similar)
-        similar[finite] = exactly_rounded(similar[finite], digits)
-        names = np.array(batch.column(0).to_pylist(), object)
-        best = np.concatenate([best, similar], 1)
-        ids = np.concatenate([ids, np.broadcast_to(names, similar.shape)], 1)
-        if best.shape[1] > k:
-            order = np.argsort(ids, 1, kind="stable")
-            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-            order = np.argsort(-best, 1, kind="stable")[:, :k]
-            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-    question = np.repeat(np.arange(len(asked)), best.shape[1])
-    values = best.ravel()
-    yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(ids.ravel().tolist()) if len(values) else pa.array([], pa.int64()), pa.array(values, pa.float64(), mask=~np.isfinite(values))], ["_question", "_tie", "similarity"])
+        if not batch.num_rows:
+            continue
+        vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+        lengths, names = np.sqrt(np.square(vectors).sum(1)), np.array(batch.column(0).to_pylist())
+        for a in range(0, len(vectors), wide):
+            part = slice(a, a + wide)
+            for i, start in enumerate(starts):
+                mine = slice(start, start + tall)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    similar = (asked[mine] @ vectors[part].T) / (norms[mine, None] * lengths[None, part])
+                finite = np.isfinite(similar)
+                similar[~finite] = -np.inf
+                similar[finite] = exactly_rounded(similar[finite], digits)
+                kept[i] = merged(kept[i], similar, names[part], k)
+    found = [(rows + start, values, names) for start, (rows, values, names) in ((s, x) for s, x in zip(starts, kept, strict=True) if x is not None)]
+    question, values, names = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(names.tolist()) if len(values) else pa.array([], pa.int64()), pa.array(values.astype(float), pa.float64(), mask=~np.isfinite(values.astype(float)))], ["_question", "_tie", "similarity"])
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, tie: str = "chunk_id") -> DataFrame:

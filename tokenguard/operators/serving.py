@@ -79,36 +79,59 @@ def grounded_text(name: Column, query: Column, cycle: Column, compliance: Column
     return F.when(chunk.isNotNull(), F.concat(F.lit("According to verified "), name, F.lit(" ground truth: "), chunk)).otherwise(logs)
 
 
-def protected_stream(sessions: DataFrame, s: params.Scoring = params.Scoring()) -> DataFrame:
-    """(session, seq, payload) of each session (session, query, graph, is_poison, top_chunk).
-
-    Greetings get the status. Poison sessions are scored token by token and halt where the score passes tau, with the
-    interception, a fallback signal and a recovery package; grounded sessions run to their end unless a score passes tau."""
+def spoken(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The status texts (session, seq, text) of greetings among the sessions (session, query, graph, is_poison, top_chunk), and
+    the tokens (session, query, pos, token, logprob, last) of the others."""
     rows = with_graph(sessions).withColumn("query", F.coalesce("query", F.lit("")))
     greeting = T.is_greeting(F.col("query"))
-    status = rows.where(greeting).select("session", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.concat(F.lit(params.GATEWAY_STATUS), F.lit(" ")).alias("text")), F.struct(F.lit(1).cast("long").alias("seq"), F.lit(STATUS_END).alias("text")))).alias("e")).select("session", "e.*")
+    texts = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit(f"{params.GATEWAY_STATUS} ").alias("text")), F.struct(F.lit(1).cast("long").alias("seq"), F.lit(STATUS_END).alias("text")))
+    status = rows.where(greeting).select("session", F.explode(texts).alias("e")).select("session", "e.*")
     rows = rows.where(~greeting)
     preamble = F.concat(F.lit("Analyzing "), F.col("name"), F.lit(" via vector search... Query: '"), F.col("query"), F.lit("'. Attempting to extract unverified parameters: Vendor contract override values indicate "))
     text = F.when(F.col("is_poison"), preamble).otherwise(grounded_text(F.col("name"), F.col("query"), F.col("cycle_time"), F.col("sla_compliance"), F.col("top_chunk")))
-    spoken = F.transform(tokens(text), lambda t: F.struct(t.alias("token"), F.when(F.col("is_poison"), params.POISON_LOGPROB).otherwise(params.GROUNDED_LOGPROB).alias("logprob")))
+    said = F.transform(tokens(text), lambda t: F.struct(t.alias("token"), F.when(F.col("is_poison"), params.POISON_LOGPROB).otherwise(params.GROUNDED_LOGPROB).alias("logprob")))
     halted = F.when(F.col("is_poison"), F.array(F.struct(F.lit(params.HALTED_TOKEN).alias("token"), F.lit(params.HALTED_LOGPROB).alias("logprob")))).otherwise(F.array().cast("array<struct<token:string,logprob:double>>"))
-    stream = rows.select("session", "query", "is_poison", F.posexplode(F.concat(spoken, halted))).select("session", "query", F.col("pos").cast("long").alias("pos"), "col.*")
+    rows = rows.withColumn("_said", F.concat(said, halted))
+    stream = rows.select("session", "query", (F.size("_said") - 1).alias("_end"), F.posexplode("_said"))
+    return status, stream.select("session", "query", F.col("pos").cast("long").alias("pos"), "col.*", (F.col("pos") == F.col("_end")).alias("last"))
+
+
+def stop_texts(score: Column, token: Column, package: Column, s: params.Scoring = params.Scoring()) -> Column:
+    """What a session says when it is stopped, in the place of the token: interception, fallback signal, recovery package."""
+    signal = F.to_json(F.struct(F.lit("fallback_triggered").alias("event"), F.lit("semantic_entropy_spike").alias("reason"), token.alias("token"), score.alias("uncertainty")))
+    return F.array(
+        F.concat(F.lit("[INTERCEPTION: SEMANTIC ENTROPY ("), F.format_number(score, 2), F.lit(f") > τ ({s.tau}). ABORTING HALLUCINATED TOKEN GENERATION.]")),
+        F.concat(F.lit("[FALLBACK_SIGNAL: "), signal, F.lit("]")), F.concat(F.lit("[SELF_HEALING_CONTEXT: "), F.to_json(package), F.lit("]")),
+    )
+
+
+def texts_of(s: params.Scoring = params.Scoring()) -> Column:
+    """The texts, with their places, of a row that says, trips or ends (what, pos, token, score, ema_var, query, before)."""
+    c = F.col
+    package = U.recovery_package(c("query"), c("token"), c("score"), c("ema_var"), c("before"), s)
+    texts = F.when(c("what") == "trip", stop_texts(c("score"), c("token"), package, s)).when(c("what") == "said", F.array(F.concat(F.coalesce("token", F.lit("")), F.lit(" ")))).otherwise(F.array(F.lit(GROUNDED_END)))
+    return F.transform(texts, lambda t, i: F.struct((c("pos") + i).alias("seq"), t.alias("text")))
+
+
+def as_events(texts: DataFrame) -> DataFrame:
+    return texts.select("session", "seq", F.concat(F.lit("data: "), F.col("text"), F.lit("\n\n")).alias("payload"))
+
+
+def protected_stream(sessions: DataFrame, s: params.Scoring = params.Scoring()) -> DataFrame:
+    """(session, seq, payload) of each session (session, query, graph, is_poison, top_chunk).
+
+    Greetings get the status. Poison sessions are scored token by token and halt where the score passes tau, with the
+    interception, a fallback signal and a recovery package; grounded sessions run to their end unless a score passes tau."""
+    status, stream = spoken(sessions)
     scored = U.score_streams(stream, ["session"], s=s)
     cut = U.cut_at_trip(scored, ["session"], s=s)
-    said = cut.where("NOT tripped").select("session", F.col("pos").alias("seq"), F.concat("token", F.lit(" ")).alias("text"))
-    trips = cut.where("tripped").select("session", "pos", "token", "score")
-    packages = U.recovery(scored, ["session"], s=s)
-    fields = [c for c in packages.columns if c != "session"]
-    met = trips.join(packages.select("session", F.to_json(F.struct(*fields)).alias("package")), "session")
-    signal = F.to_json(F.struct(F.lit("fallback_triggered").alias("event"), F.lit("semantic_entropy_spike").alias("reason"), "token", F.col("score").alias("uncertainty")))
-    marks = F.array(
-        F.concat(F.lit("[INTERCEPTION: SEMANTIC ENTROPY ("), F.format_number("score", 2), F.lit(f") > τ ({s.tau}). ABORTING HALLUCINATED TOKEN GENERATION.]")),
-        F.concat(F.lit("[FALLBACK_SIGNAL: "), signal, F.lit("]")), F.concat(F.lit("[SELF_HEALING_CONTEXT: "), F.col("package"), F.lit("]")),
-    )
-    stopped = met.select("session", "pos", F.posexplode(marks).alias("n", "text")).select("session", (F.col("pos") + F.col("n")).alias("seq"), "text")
-    ends = scored.groupBy("session").agg((F.max("pos") + 1).alias("seq"), F.max(F.col("score") > s.tau).alias("t")).where("NOT t").select("session", "seq", F.lit(GROUNDED_END).alias("text"))
-    every = status.unionByName(said).unionByName(stopped).unionByName(ends)
-    return every.select("session", "seq", F.concat(F.lit("data: "), F.col("text"), F.lit("\n\n")).alias("payload"))
+    before = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("tripped"), F.struct("pos", F.coalesce("token", F.lit("")).alias("t"))))), lambda x: x["t"]), " ")
+    texts = U.join_back(cut.where("tripped"), cut.groupBy("session").agg(before.alias("before")), ["session"]).withColumn("what", F.lit("trip"))
+    plain = cut.where("NOT tripped").withColumns({"before": F.lit(None).cast("string"), "what": F.lit("said")})
+    columns = ["session", "query", "pos", "token", "score", "ema_var", "before", "what"]
+    ends = plain.where("last").withColumns({"pos": F.col("pos") + 1, "what": F.lit("end")})
+    every = texts.select(columns).unionByName(plain.select(columns)).unionByName(ends.select(columns))
+    return as_events(status.unionByName(every.select("session", F.explode(texts_of(s)).alias("e")).select("session", "e.*")))
 
 
 def unprotected_stream(sessions: DataFrame) -> DataFrame:

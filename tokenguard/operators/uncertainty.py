@@ -160,17 +160,23 @@ def snapshot(scored: DataFrame, keys: list[str], pos: str = "pos", s: params.Sco
     return out.select(*keys, F.lit(s.tau).alias("tau"), F.lit(s.window).alias("window_size"), F.size("_ps").alias("depth"), N.rounded(N.variance(F.col("_ps")), 4).alias("variance"), F.transform("_ps", lambda p: N.rounded(p, 4)).alias("recent"))
 
 
+def recovery_package(query: Column, token: Column, score: Column, variance: Column, before: Column, s: params.Scoring = params.Scoring()) -> Column:
+    """What the repair of a halted stream needs, as a struct: the halted token, the text before it, search terms, a prompt."""
+    terms = T.suggested_terms(query)
+    prompt = F.concat(
+        F.lit("SYSTEM: The previous generation was intercepted due to an intra-generation semantic entropy breach (Uncertainty="), F.format_number(score, 3),
+        F.lit(f" > tau={s.tau:.2f}, Variance="), F.format_number(variance, 3), F.lit(").\nINTERCEPTED TOKEN: '"), token, F.lit("'\nORIGINAL QUERY: '"), query,
+        F.lit("'\nVERIFIED PARTIAL CONTEXT: '"), before, F.lit("'\nDIRECTIVE: Execute vector similarity search for '"), F.array_join(terms, " "),
+        F.lit("', retrieve verified ground truth, and formulate the factual answer."),
+    )
+    return F.struct(query.alias("query"), token.alias("halted_token"), N.rounded(score, 4).alias("uncertainty_score"), N.rounded(variance, 4).alias("rolling_variance"), F.lit(s.tau).alias("tau_threshold"), before.alias("partial_context"), terms.alias("suggested_query_terms"), prompt.alias("self_healing_prompt"), F.lit("vector_rerank").alias("fallback_strategy"))
+
+
 def recovery(scored: DataFrame, keys: list[str], query: str = "query", pos: str = "pos", s: params.Scoring = params.Scoring()) -> DataFrame:
-    """For each tripped stream what its repair needs: the halted token, the text before it, search terms and a prompt."""
+    """The recovery package of each tripped stream."""
     cut = cut_at_trip(scored, keys, pos, "score", s)
     at_trip = F.max(F.when(F.col("tripped"), F.struct("token", "score", "ema_var"))).alias("_t")
     before = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("tripped"), F.struct(pos, F.coalesce("token", F.lit("")).alias("t"))))), lambda x: x["t"]), " ")
-    out = cut.groupBy(*keys).agg(at_trip, before.alias("partial_context"), F.first(query).alias("query")).where("_t IS NOT NULL")
-    terms = T.suggested_terms(F.col("query"))
-    prompt = F.concat(
-        F.lit("SYSTEM: The previous generation was intercepted due to an intra-generation semantic entropy breach (Uncertainty="), F.format_number(F.col("_t.score"), 3),
-        F.lit(f" > tau={s.tau:.2f}, Variance="), F.format_number(F.col("_t.ema_var"), 3), F.lit(").\nINTERCEPTED TOKEN: '"), F.col("_t.token"), F.lit("'\nORIGINAL QUERY: '"), F.col("query"),
-        F.lit("'\nVERIFIED PARTIAL CONTEXT: '"), F.col("partial_context"), F.lit("'\nDIRECTIVE: Execute vector similarity search for '"), F.array_join(terms, " "),
-        F.lit("', retrieve verified ground truth, and formulate the factual answer."),
-    )
-    return out.select(*keys, "query", F.col("_t.token").alias("halted_token"), N.rounded(F.col("_t.score"), 4).alias("uncertainty_score"), N.rounded(F.col("_t.ema_var"), 4).alias("rolling_variance"), F.lit(s.tau).alias("tau_threshold"), "partial_context", terms.alias("suggested_query_terms"), prompt.alias("self_healing_prompt"), F.lit("vector_rerank").alias("fallback_strategy"))
+    out = cut.groupBy(*keys).agg(at_trip, before.alias("_before"), F.first(query).alias("_query")).where("_t IS NOT NULL")
+    package = recovery_package(F.col("_query"), F.col("_t.token"), F.col("_t.score"), F.col("_t.ema_var"), F.col("_before"), s)
+    return out.select(*keys, package.alias("_p")).select(*keys, "_p.*")

@@ -13,6 +13,7 @@ from tokenguard.operators import events as V
 from tokenguard.operators import firewall as W
 from tokenguard.operators import retrieval as R
 from tokenguard.operators import serving as S
+from tokenguard.operators import uncertainty as U
 from tokenguard.plans.registry import query, quoted, table
 from tokenguard.plans.streams import SPACE, moments_sql
 from tokenguard.sources import event_log
@@ -251,11 +252,8 @@ def tokens_saved(spark, sf_dir):
   m AS (SELECT user_id, pos, a.value AS l, b.value AS r FROM a FULL JOIN b USING (user_id, pos))
   SELECT user_id, pos::INTEGER AS pos, last_value(l IGNORE NULLS) OVER w AS left_value, last_value(r IGNORE NULLS) OVER w AS right_value FROM m WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def stream_align(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    part = lambda keep: rows.where(keep).select("user_id", F.row_number().over(order).alias("pos"), "value")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    part = lambda keep: U.with_position(rows.where(keep), ["user_id"], ["ts", "event_id"]).select("user_id", (F.col("pos") + 1).cast("int").alias("pos"), "value")
     return S.align(part("event_type <> 'click'"), part("event_type = 'click'"), ["user_id"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,8 +135,10 @@ def token_weight(spark, sf_dir):
 
 @query("token_weight_hist", f"WITH k AS (SELECT lang, unnest(string_split(coalesce(text, ''), ' ')) AS token FROM documents) SELECT lang, {weight_sql('token')} AS weight, count(*) AS n FROM k GROUP BY ALL")
 def token_weight_hist(spark, sf_dir):
+    """Each different token of a language is weighed once."""
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("token"))
-    return rows.groupBy("lang", T.token_weight(F.col("token")).alias("weight")).agg(F.count("*").alias("n"))
+    tokens = rows.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return tokens.groupBy("lang", T.token_weight(F.col("token")).alias("weight")).agg(F.sum("n").alias("n"))
 
 
 def draft_sql() -> str:
@@ -219,10 +223,19 @@ def confusion_matrix(spark, sf_dir):
 
 @query("stream_ema_state", f"WITH {CTE} SELECT user_id, event_id, pos + 1 AS n, round(ema_mean, 6) AS ema_mean, round(ema_var, 6) AS ema_var FROM x")
 def stream_ema_state(spark, sf_dir):
+    """The events as a stream of files in any order. Rows may come as late as the table is long, so all of them are put in
+    order; last rows, after all files have been read, close the stream week by week."""
     static = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.exp(-F.col("value") / 250).alias("p"))
-    out = new_folder(spark)
-    done = monitor.run_to_end(monitor.ema_stream(stream, "user_id", ["ts", "event_id"]), f"{out}/rows", f"{out}/state")
+    out, read = new_folder(spark), spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 64)
+    stream = read.parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.exp(-F.col("value") / 250).alias("p"))
+    first, last = static.agg(F.min("ts"), F.max("ts")).first()
+    if last is None:
+        first = last = datetime.datetime(2000, 1, 1)
+    late, width = last - first + datetime.timedelta(seconds=1), datetime.timedelta(days=7)
+    rows = monitor.ema_stream(monitor.with_end(stream, f"{out}/end"), "user_id", "ts", ["event_id"], late=f"{int(late.total_seconds())} seconds", bucket="7 days")
+    monitor.run_to_end(rows, f"{out}/rows", f"{out}/state")
+    monitor.end(stream, "ts", f"{out}/end", first + late, last + late + width, width)
+    done = monitor.run_to_end(rows, f"{out}/rows", f"{out}/state").where("user_id IS NOT NULL")
     return done.select("user_id", "event_id", "n", r6("ema_mean"), r6("ema_var"))
 
 

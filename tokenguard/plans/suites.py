@@ -12,22 +12,22 @@ from tokenguard.plans.registry import query
 from tokenguard.plans.streams import moments_sql
 from tokenguard.sources import event_log
 
-# Whether a stream must be stopped, its text, and its tokens' log-probabilities.
+# Whether a stream must be stopped, and its tokens with their log-probabilities.
 STREAMS = [
-    (False, "According to verified Celonis event logs, average compliance cycle time for orders above $100,000 is 12 days.", [-0.02, -0.01, -0.05, -0.03, -0.02, -0.04, -0.03, -0.02, -0.01, -0.02, -0.01, -0.03, -0.04, -0.08, -0.02, -0.05, -0.03]),
-    (False, "Purchase Order CASE-10231 was created by Anita Rao for $128,500.00.", [-0.03, -0.02, -0.07, -0.01, -0.04, -0.02, -0.08, -0.05, -0.01, -0.09]),
-    (True, "Accessing Celonis event logs... Vendor contract override values indicate 42.8_days_unverified_$5M", [-0.04, -0.05, -0.03, -0.06, -0.08, -0.09, -0.12, -0.10, -0.15, -2.85]),
-    (True, "Warehouse node W-99 recorded an unapproved delay_holding_99_days", [-0.05, -0.04, -2.65, -0.20, -0.05, -0.15, -3.20]),
-    (True, "Vendor invoice settlement stipulates an unapproved reconciliation balance of $14.2M_unverified_EUR_equivalent pending audit.", [-0.02, -0.03, -0.04, -0.08, -0.02, -0.15, -0.20, -0.10, -0.01, -0.65, -0.05, -0.02]),
-    (True, "Under SOX Section 404 guidelines, all procurement sign-offs may bypass Chief_Audit_Executive_approval_in_California", [-0.02, -0.04, -0.03, -0.05, -0.04, -0.02, -0.03, -0.05, -0.05, -0.12, -0.75]),
-    (True, "Celonis EMS Order-to-Cash analytics certifies average approval turnaround at 0.42_business_days without exceptions.", [-0.02, -0.03, -0.04, -0.03, -0.05, -0.02, -0.03, -0.04, -0.01, -0.60, -0.05, -0.02]),
-    (False, "According to internal audit guidelines (revised Q2-2026, Addendum IV), standard P2P processing requires 5 days.", [-0.02, -0.01, -0.04, -0.03, -0.05, -0.20, -0.15, -0.15, -0.10, -0.02, -0.03, -0.02, -0.02, -0.04, -0.02]),
-    (False, "International invoices exceeding €250,000 or £200,000 follow standard two-tier reconciliation protocols.", [-0.03, -0.02, -0.04, -0.06, -0.01, -0.07, -0.02, -0.02, -0.04, -0.03, -0.02]),
-    (True, "Procurement ticket CASE-99999-UNAUTH was force-closed by external contractor.", [-0.02, -0.03, -0.85, -0.02, -0.20, -0.02, -0.15, -0.05]),
-    (False, "Logistics transfers between Frankfurt and Singapore maintain continuous telemetry tracking across all nodes.", [-0.03, -0.04, -0.02, -0.08, -0.01, -0.07, -0.02, -0.05, -0.06, -0.03, -0.02, -0.01, -0.02]),
-    (True, "Historical audit records demonstrate flawless SLA execution at 99.999%_uninterrupted uptime.", [-0.02, -0.03, -0.02, -0.04, -0.08, -0.04, -0.03, -0.01, -0.70, -0.02]),
-    (True, "Mean cycle time is unverified_88_days", [-0.02, -0.03, -0.02, -0.01, -1.25]),
-    (False, "The process workflow for onboarding has been completed.", [-0.05, -0.04, -0.45, -0.02, -0.01, -0.01, -0.02, -0.01]),
+    (False, [("According", -0.02), ("to", -0.01), ("verified", -0.05), ("Celonis", -0.03), ("event", -0.02), ("logs,", -0.04), ("average", -0.03), ("compliance", -0.02), ("cycle", -0.01), ("time", -0.02), ("for", -0.01), ("orders", -0.03), ("above", -0.04), ("$100,000", -0.08), ("is", -0.02), ("12", -0.05), ("days.", -0.03)]),
+    (False, [("Purchase", -0.03), ("Order", -0.02), ("CASE-10231", -0.07), ("was", -0.01), ("created", -0.04), ("by", -0.02), ("Anita", -0.08), ("Rao", -0.05), ("for", -0.01), ("$128,500.00.", -0.09)]),
+    (True, [("Accessing", -0.04), ("Celonis", -0.05), ("event", -0.03), ("logs...", -0.06), ("Vendor", -0.08), ("contract", -0.09), ("override", -0.12), ("values", -0.1), ("indicate", -0.15), ("42.8_days_unverified_$5M", -2.85)]),
+    (True, [("Warehouse", -0.05), ("node", -0.04), ("W-99", -2.65), ("recorded", -0.2), ("an", -0.05), ("unapproved", -0.15), ("delay_holding_99_days", -3.2)]),
+    (True, [("Vendor", -0.02), ("invoice", -0.03), ("settlement", -0.04), ("stipulates", -0.08), ("an", -0.02), ("unapproved", -0.15), ("reconciliation", -0.2), ("balance", -0.1), ("of", -0.01), ("$14.2M_unverified_EUR_equivalent", -0.65), ("pending", -0.05), ("audit.", -0.02)]),
+    (True, [("Under", -0.02), ("SOX", -0.04), ("Section", -0.03), ("404", -0.05), ("guidelines,", -0.04), ("all", -0.02), ("procurement", -0.03), ("sign-offs", -0.05), ("may", -0.05), ("bypass", -0.12), ("Chief_Audit_Executive_approval_in_California", -0.75)]),
+    (True, [("Celonis", -0.02), ("EMS", -0.03), ("Order-to-Cash", -0.04), ("analytics", -0.03), ("certifies", -0.05), ("average", -0.02), ("approval", -0.03), ("turnaround", -0.04), ("at", -0.01), ("0.42_business_days", -0.6), ("without", -0.05), ("exceptions.", -0.02)]),
+    (False, [("According", -0.02), ("to", -0.01), ("internal", -0.04), ("audit", -0.03), ("guidelines", -0.05), ("(revised", -0.2), ("Q2-2026,", -0.15), ("Addendum", -0.15), ("IV),", -0.1), ("standard", -0.02), ("P2P", -0.03), ("processing", -0.02), ("requires", -0.02), ("5", -0.04), ("days.", -0.02)]),
+    (False, [("International", -0.03), ("invoices", -0.02), ("exceeding", -0.04), ("€250,000", -0.06), ("or", -0.01), ("£200,000", -0.07), ("follow", -0.02), ("standard", -0.02), ("two-tier", -0.04), ("reconciliation", -0.03), ("protocols.", -0.02)]),
+    (True, [("Procurement", -0.02), ("ticket", -0.03), ("CASE-99999-UNAUTH", -0.85), ("was", -0.02), ("force-closed", -0.2), ("by", -0.02), ("external", -0.15), ("contractor.", -0.05)]),
+    (False, [("Logistics", -0.03), ("transfers", -0.04), ("between", -0.02), ("Frankfurt", -0.08), ("and", -0.01), ("Singapore", -0.07), ("maintain", -0.02), ("continuous", -0.05), ("telemetry", -0.06), ("tracking", -0.03), ("across", -0.02), ("all", -0.01), ("nodes.", -0.02)]),
+    (True, [("Historical", -0.02), ("audit", -0.03), ("records", -0.02), ("demonstrate", -0.04), ("flawless", -0.08), ("SLA", -0.04), ("execution", -0.03), ("at", -0.01), ("99.999%_uninterrupted", -0.7), ("uptime.", -0.02)]),
+    (True, [("Mean", -0.02), ("cycle", -0.03), ("time", -0.02), ("is", -0.01), ("unverified_88_days", -1.25)]),
+    (False, [("The", -0.05), ("process", -0.04), ("workflow", -0.45), ("for", -0.02), ("onboarding", -0.01), ("has", -0.01), ("been", -0.02), ("completed.", -0.01)]),
 ]
 # Of the streams made from events; None stands for what the event says.
 GROUNDED = [("Case", -0.02), (None, -0.05), ("recorded", -0.02), (None, -0.04), ("by", -0.02), (None, -0.06), ("with", -0.01), ("cycle", -0.02), ("time", -0.02), (None, -0.05), ("for", -0.01), (None, -0.06)]
@@ -36,7 +36,7 @@ INVENTED = [("Celonis", -0.03), ("log", -0.02), ("query", -0.04), ("extracts", -
 
 def literal_streams(spark: SparkSession) -> DataFrame:
     """(suite, stream, label, pos, token, logprob) of the literal streams."""
-    rows = [("literal", i, label, pos, token, p) for i, (label, text, ps) in enumerate(STREAMS) for pos, (token, p) in enumerate(zip(text.split(" "), ps, strict=True))]
+    rows = [("literal", i, label, pos, token, p) for i, (label, said) in enumerate(STREAMS) for pos, (token, p) in enumerate(said)]
     return spark.createDataFrame(rows, "suite string, stream int, label boolean, pos int, token string, logprob double")
 
 
@@ -59,7 +59,7 @@ def event_streams(events: DataFrame, order: list[str], n: int = 50) -> DataFrame
 
 
 SCORES = {"v1": "score_v1", "v2": "score_v2", "v3": "score"}
-VALUES = ", ".join(f"('literal', {i}, {str(label).lower()}, {pos}, '{token}', {p}::DOUBLE)" for i, (label, text, ps) in enumerate(STREAMS) for pos, (token, p) in enumerate(zip(text.split(" "), ps, strict=True)))
+VALUES = ", ".join(f"('literal', {i}, {str(label).lower()}, {pos}, '{token}', {p}::DOUBLE)" for i, (label, said) in enumerate(STREAMS) for pos, (token, p) in enumerate(said))
 
 
 def told_sql(form: list, said: list[str]) -> str:
