@@ -76,18 +76,42 @@ def test_tight_leaves_are_counted_by_their_sums(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(x))] == brute_components(len(x), np.argwhere(near))
 
 
-def test_cells_grow_with_the_vectors_where_they_are_clustered(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 32)
-    monkeypatch.setattr(near_dedup, "GROUP", 64)
-    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 0)
-    met = []
-    for clusters in (8, 32):
-        r = np.random.default_rng(clusters)
-        x = np.repeat(np.linalg.qr(r.normal(size=(64, 64)))[0][:clusters], 64, axis=0) + 0.03 * r.normal(size=(64 * clusters, 64))
-        unique = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "uid long, x array<double>, copies long")
-        _, leaves, pairs = near_dedup.upper_levels(unique, (2 - 1.8) ** 0.5, 512)
-        met.append(near_dedup.cells_of(pairs.select("a", "b"), near_dedup.packed(leaves, 64)).count())
-    assert met[1] <= 8 * met[0]  # 16 times without pruning
+def cells(spark, x):
+    unique = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "uid long, x array<double>, copies long")
+    _, leaves, pairs = near_dedup.upper_levels(unique, (2 - 1.8) ** 0.5, 512)
+    return near_dedup.cells_of(pairs.select("a", "b"), near_dedup.packed(leaves, 64)).count()
+
+
+@pytest.fixture
+def small_nodes(monkeypatch):
+    for name, value in (("CHUNK", 32), ("GROUP", 64), ("GROUP_BYTES", 0)):
+        monkeypatch.setattr(near_dedup, name, value)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_every_cluster_of_a_sample_has_a_centre(seed):
+    r = np.random.default_rng(seed)
+    x = near_dedup.unit(np.repeat(np.linalg.qr(r.normal(size=(64, 64)))[0][:32], 64, axis=0) + 0.03 * r.normal(size=(64 * 32, 64)))
+    sample = r.permutation(len(x))[:1024]
+    centres = sample[near_dedup.farthest_first(x[sample], (2 - 1.8) ** 0.5, 100_000)]
+    assert {c // 64 for c in centres.tolist()} == set(range(32)) and len(centres) < 128
+    assert len(near_dedup.farthest_first(x[:64], (2 - 1.8) ** 0.5, 64)) == 1  # one cluster makes a leaf
+
+
+@pytest.mark.parametrize("seed", [0, 2])
+def test_cells_grow_with_the_vectors_where_they_are_clustered(spark, small_nodes, seed):
+    r = np.random.default_rng(seed)
+    x = np.repeat(np.linalg.qr(r.normal(size=(64, 64)))[0][:32], 64, axis=0) + 0.03 * r.normal(size=(64 * 32, 64))
+    assert cells(spark, x) <= 112  # 32 groups make 528 pairs
+
+
+def test_more_clusters_than_centres(spark, small_nodes, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FAN", 16)
+    monkeypatch.setattr(near_dedup, "SAMPLE", 100)
+    monkeypatch.setattr(near_dedup, "LEAST", 16)
+    r = np.random.default_rng(3)
+    x = np.repeat(near_dedup.unit(r.normal(size=(150, 64))), 12, axis=0) + 0.01 * r.normal(size=(1800, 64))
+    assert cells(spark, x) <= 112  # 29 groups make 435 pairs
 
 
 def test_trees_count_exactly():
