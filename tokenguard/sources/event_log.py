@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenguard.functions import numeric as N
+from tokenguard.sources import collection
 
 EVENT = "case_id string, activity string, timestamp string, resource string, resource_email string, resource_phone string, department string, cost_center string, amount_usd double, cycle_time_days int, note string"
 METRICS = "avg_compliance_cycle_time_days double, avg_order_to_cash_days double, orders_flagged_for_bottleneck int, total_orders int, note_ground_truth string"
@@ -49,41 +50,32 @@ def payload(raw: Column) -> Column:
     return F.struct(F.coalesce(p["token"], F.lit("")).alias("token"), logprob.alias("logprob"), N.normalized_probabilities(p["top_logprobs"], logprob).alias("probabilities"), p["unconditioned_logprob"].alias("unconditioned_logprob"))
 
 
-def write_collection(chunks: DataFrame, path: str, dim: int, metric: str = "COSINE") -> int:
-    """Replace a vector collection (id, vector, case_id, activity, text) and return the number of its rows; vectors of another
-    length fail the write. A manifest beside the rows names dimension, metric and number."""
-    fits = F.assert_true(F.size("vector") == dim, "a vector has another dimension").isNull()
-    drop_collection(chunks.sparkSession, path)
-    chunks.where(fits).write.parquet(f"{path}/rows")
-    spark = chunks.sparkSession
-    n = spark.read.parquet(f"{path}/rows").count()
-    spark.createDataFrame([(dim, metric, n)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
-    return n
+def write_collection(chunks: DataFrame, path: str, dim: int, metric: str = "COSINE", gate: str | None = None) -> int:
+    """Replace a vector collection by chunks (chunk_id, vector, case_id, activity, text) and return the number of its rows, which
+    are counted as they are written. A vector of another length fails the write, and so does personal data in the column
+    `gate`; the collection then stays as it was."""
+    return collection.replace(chunks, path, dim, metric, key="chunk_id", gate=gate)
 
 
 def has_collection(spark: SparkSession, path: str) -> bool:
-    folder, files = hadoop_path(spark, path)
-    return files.exists(folder)
+    return collection.manifest(spark, path) is not None
 
 
 def drop_collection(spark: SparkSession, path: str) -> None:
-    folder, files = hadoop_path(spark, path)
+    folder, files = collection.files_of(spark, path)
     files.delete(folder, True)
 
 
 def describe_collection(spark: SparkSession, path: str) -> DataFrame:
     """(dim, metric, row_count) of a collection."""
-    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = collection.manifest(spark, path)
+    return spark.createDataFrame([(found["dim"], found["metric"], found["row_count"])], MANIFEST)
 
 
 def open_collection(spark: SparkSession, path: str, otherwise: DataFrame) -> DataFrame:
     """The rows of a collection, or another frame of chunks where there is none."""
-    return spark.read.parquet(f"{path}/rows") if has_collection(spark, path) else otherwise
+    found = collection.read(spark, path, key="chunk_id")
+    return otherwise if found is None else found
 
 
 def write_report(report: DataFrame, path: str) -> None:
