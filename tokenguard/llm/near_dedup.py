@@ -26,7 +26,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
@@ -40,8 +40,6 @@ GROUP = 8192  # vectors of a group of leaves, about: a cell holds two groups
 GROUP_BYTES = 16 << 20  # of a group, at most: wide vectors make smaller groups
 FAN = 256  # centres that split a node, at most
 SAMPLE = 1024  # vectors of a node, about, among which its centres are picked
-LEAST = 128  # vectors of a node that is split if it holds clusters
-UNSPLIT = "!"  # ends the name of a node that was found to have no clusters
 DEPTH = 12  # upper levels, at most: nodes that are still large are then cut by hash
 LEAF = 32
 SLACK = 1e-7  # bounds are widened by more than rounding can change them
@@ -243,187 +241,13 @@ def farthest_first(x: np.ndarray, near: float, n: int) -> np.ndarray:
     """Positions of centres among unit vectors, a sample of n: each is the farthest from those before it, until all are within
     `near` of one. So every cluster of the sample has a centre.
 
-    Where FAN centres don't do, or one does, the vectors have no such clusters. Then there are as many centres as CHUNK asks for, half of
-    them the farthest and half the first of the others; or one, if n vectors make a leaf."""
-    most, line, far = min(FAN, len(x)) if n > CHUNK else min(FAN, max(2, len(x) // 8)), [0], np.square(x - x[0]).sum(1)
-    while len(line) < most and far.max() > near * near:
-        line.append(int(far.argmax()))
-        far = np.minimum(far, np.square(x - x[line[-1]]).sum(1))
-    if far.max() > near * near or len(line) == 1:
-        few = max(16, min(FAN, 2 * math.ceil(n / CHUNK))) if n > CHUNK else 1
-        line = line[: (few + 1) // 2]
-        line += [i for i in range(len(x)) if i not in set(line)][: few - len(line)]
-    return np.array(line)
-
-
-def split(self, x: np.ndarray) -> Level:
-        """The next level, made when it is first needed: greedily chosen centres that cover all within half the radius."""
-        if self.children == ():
-            if self.radius <= POINT:
-                self.children = None
-                return Level([self])
-            own, most = x[self.rows], self.radius * self.radius / 4
-            alive, self.children = np.ones(len(own), bool), Level()
-            near_of = neighbours(own, most) if len(own) <= GRAM else None
-            for i in range(len(own)):
-                if not alive[i]:
-                    continue
-                if near_of is None:
-                    far = np.square(own - own[i]).sum(1)
-                    near = np.flatnonzero(alive & (far <= most))
-                    far = far[near]
-                else:
-                    near, far = near_of(i)
-                    near, far = near[alive[near]], far[alive[near]]
-                alive[near] = alive[i] = False
-                if len(near) < 2:
-                    self.children.append(Node(x, self.rows[i : i + 1], own[i], 0.0))
-                else:
-                    near = np.union1d(near, [i])
-                    self.children.append(Node(x, self.rows[near], own[i], math.sqrt(max(0.0, float(far.max()))) + SLACK))
-        return self.children or Level([self])
-
-
-def neighbours(x: np.ndarray, most: float):
-    """A function from a row to the rows within the squared distance and their squared distances.
-
-    One product gives all; if few pairs are near, only those are kept."""
-    norms = np.square(x).sum(1)
-    product = x @ x.T
-    i, j = np.nonzero(product >= norms.min() - most / 2)
-    if len(i) > 32 * len(x):
-        squares = norms[:, None] + norms[None] - 2 * product
-        return lambda k: ((near := np.flatnonzero(squares[k] <= most)), squares[k][near])
-    squares = norms[i] + norms[j] - 2 * product[i, j]
-    i, j, squares = i[squares <= most], j[squares <= most], squares[squares <= most]
-    at = np.searchsorted(i, np.arange(len(x) + 1)).tolist()
-    return lambda k: (j[at[k] : at[k + 1]], squares[at[k] : at[k + 1]])
-
-
-def tree(x: np.ndarray, rows: np.ndarray) -> Node:
-    centre = x[rows].mean(0)
-    return Node(x, rows, centre, float(np.sqrt(np.square(x[rows] - centre).sum(1).max())))
-
-
-class Links:
-    """Counts of links and edges of a spanning forest, collected over many node pairs."""
-
-    def __init__(self, raw: np.ndarray, copies: np.ndarray, least: float):
-        """raw: the vectors as given, but for powers of two (scaled)."""
-        self.raw, self.norm = raw, np.sqrt(np.einsum("nd,nd->n", raw, raw))
-        self.x, self.copies, self.least = raw / self.norm[:, None], copies, least
-        self.reach = math.sqrt(max(0.0, 2 - 2 * least))
-        self.count = np.zeros(len(raw), np.int64)
-        self.label = np.arange(len(raw))  # smallest position that is known to be connected
-        self.edges: list[tuple[int, int]] = []
-
-    def connect(self, u: np.ndarray, v: np.ndarray) -> None:
-        """Keep edges that join what was not connected; the others need no memory."""
-        a, b = self.label[u], self.label[v]
-        new = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        if len(new):
-            made = forest(new[:, 0], new[:, 1])
-            self.edges += made
-            root = np.arange(len(self.label))
-            for child, parent in sorted(made):  # parents are smaller, so theirs are settled
-                root[child] = root[parent]
-            self.label = root[self.label]
-
-    def whole(self, a: np.ndarray, b: np.ndarray) -> None:
-        """All of a are linked to all of b."""
-        self.count[a] += self.copies[b].sum()
-        self.count[b] += self.copies[a].sum()
-        self.connect(np.full(len(a) + len(b), a[0]), np.concatenate([a, b]))
-
-    def exact(self, a: np.ndarray, b: np.ndarray) -> None:
-        same = a is b
-        for start in range(0, len(a), 1024):
-            part = a[start : start + 1024]
-            near = np.argwhere(self.x[part] @ self.x[b].T >= self.least - 1e-6)
-            i, j = part[near[:, 0]], b[near[:, 1]]
-            keep = i < j if same else i != j
-            i, j = i[keep], j[keep]
-            # the vectors as given decide at the threshold, by one way of summing, whatever block the pair is met in
-            keep = np.einsum("nd,nd->n", self.raw[i], self.raw[j]) / (self.norm[i] * self.norm[j]) >= self.least
-            i, j = i[keep], j[keep]
-            np.add.at(self.count, i, self.copies[j])
-            np.add.at(self.count, j, self.copies[i])
-            self.connect(i, j)
-
-    def within(self, node: Node) -> None:
-        """Pairs inside one node."""
-        if 2 * node.radius + SLACK < self.reach:  # all are linked to all
-            self.count[node.rows] += self.copies[node.rows].sum() - self.copies[node.rows]
-            return self.connect(np.full(len(node.rows), node.rows[0]), node.rows)
-        if node.children is None or len(node.rows) <= LEAF:
-            return self.exact(node.rows, node.rows)
-        nodes = node.split(self.x)
-        if len(nodes) == 1 and nodes[0] is node:
-            return self.exact(node.rows, node.rows)
-        for child in nodes:
-            if len(child.rows) > 1:
-                self.within(child)
-        self.between(nodes, nodes)
-
-    def between(self, left: Level, right: Level) -> None:
-        """Pairs across nodes of two lists (or of one list with itself), a level at a time."""
-        same = left is right
-        # first by single precision and the widest radii, then exactly for the pairs that are left
-        widest = float(left.radii.max() + right.radii.max() + self.reach + SLACK)
-        least = np.float32((left.least_norm + right.least_norm - widest * widest) / 2 - 1e-4)
-        for start in range(0, len(left), 2048):
-            i, j = np.nonzero(left.coarse[start : start + 2048] @ right.coarse.T >= least)
-            i += start
-            if same:
-                i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), 65536):
-                self.pairs(left, right, i[k : k + 65536], j[k : k + 65536])
-
-    def pairs(self, left: Level, right: Level, i: np.ndarray, j: np.ndarray) -> None:
-        apart = np.sqrt(np.square(left.centres[i] - right.centres[j]).sum(1))
-        span = left.radii[i] + right.radii[j]
-        for k in np.flatnonzero(apart - SLACK <= span + self.reach):
-            a, b = left[i[k]], right[j[k]]
-            if apart[k] + span[k] + SLACK < self.reach:
-                self.whole(a.rows, b.rows)
-            elif len(a.rows) * len(b.rows) <= LEAF * LEAF or a.children is None and b.children is None:
-                self.exact(a.rows, b.rows)
-            else:
-                self.down(a, b)
-
-    def down(self, a: Node, b: Node) -> None:
-        """The next level of the wider node, or of both if their radii are alike."""
-        left = a.split(self.x) if 2 * a.radius >= b.radius or b.children is None else Level([a])
-        right = b.split(self.x) if 2 * b.radius >= a.radius or a.children is None else Level([b])
-        if left[0] is a and right[0] is b:
-            self.exact(a.rows, b.rows)
-        else:
-            self.between(left, right)
-
-
-def scaled(x: np.ndarray) -> np.ndarray:
-    """Rows times powers of two, which changes no cosine in floating point and keeps squares from overflowing."""
-    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = scaled(x)
-    return x / np.sqrt(np.maximum(np.square(x).sum(1, keepdims=True), 1e-300))
-
-
-def apart(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def farthest_first(x: np.ndarray, near: float, n: int) -> np.ndarray:
-    """Positions of centres among unit vectors: each is the farthest from those before it, until all are within `near` of one.
-    So every cluster of the sample has a centre. Where FAN centres don't do, the vectors have no such clusters: then as many
-    as CHUNK asks for n vectors, half of them the farthest and half the first of the others."""
+    Where FAN centres don't do, or one does, the vectors have no such clusters. Then there are as many centres as CHUNK asks
+    for, half of them the farthest and half the first of the others."""
     line, far = [0], np.square(x - x[0]).sum(1)
     while len(line) < min(FAN, len(x)) and far.max() > near * near:
         line.append(int(far.argmax()))
         far = np.minimum(far, np.square(x - x[line[-1]]).sum(1))
-    if far.max() > near * near:
+    if far.max() > near * near or len(line) == 1:
         few = max(16, min(FAN, 2 * math.ceil(n / CHUNK)))
         line = line[: (few + 1) // 2]
         line += [i for i in range(len(x)) if i not in set(line)][: few - len(line)]
@@ -446,10 +270,10 @@ def split(points: DataFrame, wide: DataFrame, depth: int, batch: int, reach: flo
         x = unit(matrix(column, len(column[0])))
         order = np.argsort(textkit.mix(sample.column("uid").to_numpy().astype(np.uint64)), kind="stable")
         line = order[farthest_first(x[order], reach, sample.column("n")[0].as_py())]
-        return sample.select(["node", "uid", "x"]).take(pa.array(np.sort(line))).append_column("alone", pa.array([len(line) == 1] * len(line)))
+        return sample.select(["node", "uid", "x"]).take(pa.array(np.sort(line)))
 
     sample = mine.where(turn < F.col("share")).select("node", "n", "uid", "x").unionByName(first).dropDuplicates(["node", "uid"])
-    chosen = materialize(sample.groupBy("node").applyInArrow(pick, "node string, uid long, x array<double>, alone boolean"))
+    chosen = materialize(sample.groupBy("node").applyInArrow(pick, "node string, uid long, x array<double>"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         uid, column = left.column("uid"), left.column("x").combine_chunks()
@@ -463,8 +287,8 @@ def split(points: DataFrame, wide: DataFrame, depth: int, batch: int, reach: flo
             x = unit(matrix(column[a : a + 4096], tops.shape[1]))
             best[a : a + 4096] = (x @ tops.T).argmax(1)
             far[a : a + 4096] = np.sqrt(np.square(x - tops[best[a : a + 4096]]).sum(1))
-        parent, mark = left.column("node")[0].as_py(), UNSPLIT if len(names) == 1 else ""
-        return pa.table({"uid": uid, "x": column, "copies": left.column("copies"), "node": pa.array([f"{parent}/{u}{mark}" for u in names[order][best].tolist()], pa.string()), "d": far})
+        parent = left.column("node")[0].as_py()
+        return pa.table({"uid": uid, "x": column, "copies": left.column("copies"), "node": pa.array([f"{parent}/{u}" for u in names[order][best].tolist()], pa.string()), "d": far})
 
     def to_unit(batches):
         for b in batches:
@@ -480,7 +304,7 @@ def split(points: DataFrame, wide: DataFrame, depth: int, batch: int, reach: flo
     tops = chosen.join(wide.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "node")
     tops = tops.select(F.col("node").alias("of"), F.col("salt").alias("part"), "uid", "x")
     placed = salted.select("node", "salt", "uid", "x", "copies").groupBy("node", "salt").cogroup(tops.groupBy("of", "part"))
-    centres = chosen.select(F.col("node").alias("parent"), F.concat("node", F.lit("/"), F.col("uid").cast("string"), F.when(F.col("alone"), UNSPLIT).otherwise("")).alias("node"), "x").mapInArrow(to_unit, "parent string, node string, centre array<double>")
+    centres = chosen.select(F.col("node").alias("parent"), F.concat_ws("/", "node", F.col("uid").cast("string")).alias("node"), "x").mapInArrow(to_unit, "parent string, node string, centre array<double>")
     return placed.applyInArrow(nearest, "uid long, x array<double>, copies long, node string, d double"), centres
 
 
@@ -493,8 +317,7 @@ def upper_levels(unique: DataFrame, reach: float, batch: int) -> tuple[DataFrame
     stats = materialize(points.groupBy("node").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("radius"), F.sum("copies").alias("copies"), F.min("uid").alias("anchor")).withColumns({"parent": F.col("node"), "centre": F.lit(None).cast("array<double>")}))
     leaves, pairs = None, stats.select(F.col("node").alias("a"), F.col("node").alias("b"))
     for depth in range(DEPTH + 1):
-        # a node that would do for a leaf is split as well where it holds clusters, which its split finds out
-        is_wide = ((F.col("n") > CHUNK) | (F.col("n") > LEAST) & ~F.col("node").endswith(UNSPLIT)) & F.coalesce(2 * F.col("radius") + SLACK >= reach, F.lit(True)) & F.lit(depth < DEPTH)
+        is_wide = (F.col("n") > CHUNK) & F.coalesce(2 * F.col("radius") + SLACK >= reach, F.lit(True)) & F.lit(depth < DEPTH)
         if depth == 0:
             is_wide = F.lit(True)  # roots have no centre
         own = stats.where(~is_wide)
@@ -524,7 +347,8 @@ def upper_levels(unique: DataFrame, reach: float, batch: int) -> tuple[DataFrame
 
 def packed(leaves: DataFrame, group: int) -> DataFrame:
     """(node, own, pieces): the group of each leaf. Leaves of one parent follow each other from nearest to nearest and fill
-    groups of about `group` vectors; a leaf with more has groups of its own, cut by hash into pieces."""
+    groups of about `group` vectors; parents whose leaves would fill no half of a group join their siblings. A leaf with more
+    than a group has groups of its own, cut by hash into pieces."""
 
     def chain(met: pa.Table) -> pa.Table:
         n, names = met.column("n").to_numpy(), met.column("node").to_pylist()
@@ -544,7 +368,11 @@ def packed(leaves: DataFrame, group: int) -> DataFrame:
             own[i] = f"{met.column('parent')[0].as_py()}#{groups}"
         return pa.table({"node": names, "own": own, "pieces": pa.array([1] * len(n), pa.int32())})
 
-    small = leaves.where(F.col("n") <= group).select("parent", "node", "centre", "n").groupBy("parent").applyInArrow(chain, "node string, own string, pieces int")
+    small = leaves.where(F.col("n") <= group).select("parent", "node", "centre", "n")
+    for _ in range(3):
+        few = F.sum("n").over(Window.partitionBy("parent")) < group / 2  # a row for each leaf
+        small = small.withColumn("parent", F.when(few, F.regexp_replace("parent", "/[^/]*$", "")).otherwise(F.col("parent")))
+    small = small.groupBy("parent").applyInArrow(chain, "node string, own string, pieces int")
     return small.unionByName(leaves.where(F.col("n") > group).select("node", F.concat("node", F.lit("#")).alias("own"), F.ceil(F.col("n") / group).cast("int").alias("pieces")))
 
 
