@@ -14,9 +14,11 @@ from tokenguard.operators import firewall as W
 from tokenguard.operators import retrieval as R
 from tokenguard.operators import serving as S
 from tokenguard.operators import uncertainty as U
-from tokenguard.plans.registry import query, quoted, table
+from tokenguard.plans.registry import SQL, query, quoted, table
 from tokenguard.plans.streams import SPACE, moments_sql
 from tokenguard.sources import event_log
+from tokenguard.sources.shared import new_folder
+from tokenguard.streaming import monitor
 
 EMAIL_SQL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 PHONE_SQL = rf"\+\p{{Nd}}{{1,3}}(?:-|{SPACE})?\p{{Nd}}{{4,5}}(?:-|{SPACE})?\p{{Nd}}{{4,5}}"
@@ -272,8 +274,7 @@ def process_graphs(spark, sf_dir):
     return S.process_graphs(spark)
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = user_turns(spark, sf_dir)
+def sessions(turns: DataFrame) -> DataFrame:
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("session"), F.col("text").alias("query"), F.lit("o2c").alias("graph"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_poison"), F.when(F.pmod("conv_id", F.lit(3)) == 0, F.lit("Case closed in time.")).alias("top_chunk"))
 
 
@@ -301,10 +302,21 @@ CALM = f"' event logs, query analysis for ''' || query || ''' confirms a mean cy
     UNION ALL SELECT session, place + 2, '[SELF_HEALING_CONTEXT: ' || j || ']', NULL FROM package)
   SELECT session, seq::BIGINT AS seq, 'data: ' || text || chr(10) || chr(10) AS payload, uncertainty FROM said""")
 def protected_stream(spark, sf_dir):
+    return with_uncertainty(S.protected_stream(sessions(user_turns(spark, sf_dir))))
+
+
+def with_uncertainty(events: DataFrame) -> DataFrame:
     """The number in the fallback signal, which has all its digits, is set apart and rounded."""
     number = r'(?<="uncertainty":)[-0-9.E]+(?=\}\]\n\n$)'
-    rows = S.protected_stream(sessions(spark, sf_dir))
-    return rows.select("session", "seq", F.regexp_replace("payload", number, "").alias("payload"), F.round(F.nullif(F.regexp_extract("payload", number, 0), F.lit("")).cast("double"), 6).alias("uncertainty"))
+    return events.select("session", "seq", F.regexp_replace("payload", number, "").alias("payload"), F.round(F.nullif(F.regexp_extract("payload", number, 0), F.lit("")).cast("double"), 6).alias("uncertainty"))
+
+
+@query("stream_protected", SQL["protected_stream"])
+def stream_protected(spark, sf_dir):
+    """The same sessions served continuously: the turns as a stream of files, tokens cut as they arrive."""
+    schema, out = table(spark, sf_dir, "conversations").schema, new_folder(spark)
+    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/conversations.parquet*").where("role = 'user'").select("conv_id", "turn", "text")
+    return with_uncertainty(monitor.run_to_end(monitor.protected_events(sessions(turns)), f"{out}/rows", f"{out}/state", by_clock=True))
 
 
 FALLBACK = f"len(list_filter([{quoted(params.FALLBACK_KEYWORDS)}], lambda k: contains(lower(query), k))) > 0"
@@ -315,7 +327,7 @@ FALLBACK = f"len(list_filter([{quoted(params.FALLBACK_KEYWORDS)}], lambda k: con
     ELSE 'According to' || {CALM} END, ' '), lambda w: w || ' '), CASE WHEN found THEN '{S.UNPROTECTED_END}' ELSE '{S.GROUNDED_END}' END) AS ts FROM said)
   SELECT session, unnest(range(len(ts))) AS seq, 'data: ' || unnest(ts) || chr(10) || chr(10) AS payload FROM t""")
 def unprotected_stream(spark, sf_dir):
-    return S.unprotected_stream(sessions(spark, sf_dir))
+    return S.unprotected_stream(sessions(user_turns(spark, sf_dir)))
 
 
 @query("recover_answers", f"WITH {SIMILAR} SELECT b.query_id, 'RECOVERED_SUCCESSFULLY' AS status, 'label ' || ql AS search_query, 'vector_rerank_dense_o2c' AS repair_strategy, 'vector of label ' || cl AS verified_ground_truth, 'CASE-' || chunk_id AS case_id, fused AS vector_score FROM best b WHERE rank = 1")
