@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import bounded_batches, materialize, slices
+from tokenguard.llm.common import bounded_batches, give_back, materialize, slices
 
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 HUBS = 2048  # with more blocks, hubs stand between blocks and parts
+ROUND = 1 << 18  # keys of a part that are added up and answered at a time, about
+RANGES = 8  # of a block's keys that are added up one after the other
 
 Keys = tuple[str, np.ndarray, np.ndarray]  # a kind, sorted distinct keys, and their counts
 
@@ -57,6 +59,8 @@ def pack(docs: DataFrame, note: Callable[[pa.RecordBatch], bytes] | None = None,
                 kept, size, block = [], 0, block + 1
         if kept:
             yield out()
+        kept = []
+        give_back()
 
     return materialize(docs.mapInArrow(run, "block long, packed binary, note binary"))
 
@@ -73,6 +77,46 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """counted of sorted distinct keys with their counts, a range of the keys at a time."""
+    longest = max((keys for keys, _ in found), key=len, default=np.zeros(0, np.uint64))
+    bounds = np.unique(longest[:: max(1, len(longest) // RANGES)][1:])
+    cuts = [[0, *np.searchsorted(keys, bounds).tolist(), len(keys)] for keys, _ in found]
+    done = [counted(np.concatenate([keys[c[i] : c[i + 1]] for (keys, _), c in zip(found, cuts, strict=True)]), np.concatenate([n[c[i] : c[i + 1]] for (_, n), c in zip(found, cuts, strict=True)])) for i in range(len(bounds) + 1)] if found else []
+    return np.concatenate([np.zeros(0, np.uint64), *(keys for keys, _ in done)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in done)])
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if counts.max() <= np.iinfo(t).max)).tobytes()
+
+
+def received(met: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys and counts of each message."""
+    keys = [unplaned(x) for x in met.column("keys").to_pylist()]
+    return keys, [np.frombuffer(x, f"<i{len(x) // len(k)}") for x, k in zip(met.column("counts").to_pylist(), keys, strict=True)]
+
+
+def answered(sent: list[np.ndarray], counts: list[np.ndarray], near: Callable[[np.ndarray], np.ndarray], answer: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> tuple[list[np.ndarray], int, int]:
+    """The values of each message's keys, the sum of all counts, and the number of different keys with a count.
+
+    About ROUND keys are added up and answered at a time; keys for which near is equal come in the same round. A part's size
+    then counts for its messages, their values and the number of each key's round, and not for the tables made of them."""
+    rounds = -(-sum(map(len, sent)) // ROUND)
+    values, total, different = [np.empty(len(x), dtype) for x in sent], 0, 0
+    turn = [(textkit.mix(near(x)) % np.uint64(rounds)).astype(np.uint32) for x in sent]
+    for r in range(rounds):
+        at = [np.flatnonzero(t == r) for t in turn]
+        keys, sums = counted(np.concatenate([x[i] for x, i in zip(sent, at, strict=True)]), np.concatenate([c[i].astype(np.int64) for c, i in zip(counts, at, strict=True)]))
+        if not len(keys):
+            continue
+        found = answer(keys, sums).astype(dtype)
+        for v, x, i in zip(values, sent, at, strict=True):
+            v[i] = found[np.searchsorted(keys, x[i])]
+        total, different = total + int(sums.sum()), different + int((sums > 0).sum())
+    return values, total, different
+
+
 def planes(keys: np.ndarray) -> bytes:
     """Keys byte by byte, which compresses well where neighbours are alike."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -99,16 +143,17 @@ def rows_of(kind: str, keys: np.ndarray, counts: np.ndarray, slot: np.ndarray, *
     m = len(slots)
     pieces = [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     columns = {"kind": pa.array([kind] * m, pa.string()), "slot": pa.array(slots, pa.int64())} | {k: pa.array([v] * m, pa.int64()) for k, v in more.items()}
-    columns |= {"keys": pa.array([planes(keys[p]) for p in pieces], pa.binary()), "counts": pa.array([counts[p].astype("<i8").tobytes() for p in pieces], pa.binary())}
+    columns |= {"keys": pa.array([planes(keys[p]) for p in pieces], pa.binary()), "counts": pa.array([narrow(counts[p]) for p in pieces], pa.binary())}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def ask(blocks: DataFrame, kinds: dict[str, str], vocabulary: Callable[[pa.RecordBatch], Iterator[Keys]], place: Callable[[str, np.ndarray, int], np.ndarray], answer: Callable[[str, np.ndarray, np.ndarray], np.ndarray], parts: int) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+def ask(blocks: DataFrame, kinds: dict[str, str], vocabulary: Callable[[pa.RecordBatch], Iterator[Keys]], place: Callable[[str, np.ndarray, int], np.ndarray], answer: Callable[[str, np.ndarray, np.ndarray], np.ndarray], parts: int, near: Callable[[str, np.ndarray], np.ndarray] | None = None, common: Callable[[str, list[np.ndarray], list[np.ndarray]], tuple] | None = None) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """(block, kind, slot, values): what each block gets for its keys, in the order of the slots; `told` joins them. And per
     kind the sum of all counts and the number of different keys with a count.
 
     kinds: the numpy type of each kind's answers. vocabulary gives a block's keys, place a key's part, and answer the values
-    of a part's keys from their sums."""
+    of a part's keys from their sums, in rounds (see answered): near gives what keys that are answered together have alike
+    (the keys alone, if missing), and common what all rounds of a part need of all its messages, passed on to answer."""
     n = blocks.count()
     hubs = math.ceil(math.sqrt(n)) if n > HUBS else 0
     wide = math.ceil(parts / math.ceil(math.sqrt(parts)))  # parts of a hub
@@ -122,10 +167,12 @@ def ask(blocks: DataFrame, kinds: dict[str, str], vocabulary: Callable[[pa.Recor
                         yield rows_of(kind, keys, counts, part // wide, hub=int(textkit.mix(np.array([block], np.uint64))[0] % np.uint64(hubs)), block=block)
                     else:
                         yield rows_of(kind, keys, counts, part, hub=0, block=block)
+                    del keys, counts, part
+        give_back()
 
     def gathered(met: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        sent = [unplaned(x) for x in met.column("keys").to_pylist()]
-        return sent, *counted(np.concatenate(sent), np.concatenate([np.frombuffer(x, "<i8") for x in met.column("counts").to_pylist()]))
+        sent, counts = received(met)
+        return sent, *counted(np.concatenate(sent), np.concatenate([x.astype(np.int64) for x in counts]))
 
     def merge(met: pa.Table) -> pa.Table:
         kind, (_, keys, counts) = met.column("kind")[0].as_py(), gathered(met)
@@ -133,11 +180,14 @@ def ask(blocks: DataFrame, kinds: dict[str, str], vocabulary: Callable[[pa.Recor
         return pa.Table.from_batches([rows_of(kind, keys, counts, part, hub=met.column("hub")[0].as_py(), block=met.column("slot")[0].as_py())])
 
     def reply(met: pa.Table) -> pa.Table:
-        kind, (sent, keys, sums) = met.column("kind")[0].as_py(), gathered(met)
-        values = answer(kind, keys, sums).astype(kinds[kind])
-        own = [values[np.searchsorted(keys, x)].tobytes() for x in sent]
+        kind, (sent, counts) = met.column("kind")[0].as_py(), received(met)
+        shared = common(kind, sent, counts) if common else ()
+        values, total, different = answered(sent, counts, lambda keys: near(kind, keys) if near else keys, lambda keys, sums: answer(kind, keys, sums, *shared), kinds[kind])
+        own = pa.array((x.tobytes() for x in values), pa.binary(), size=len(values))
+        del sent, counts, values
+        give_back()
         first = [0] * (met.num_rows - 1)
-        return pa.table({"kind": met.column("kind"), "slot": met.column("slot"), "hub": met.column("hub"), "block": met.column("block"), "values": pa.array(own, pa.binary()), "total": pa.array([int(sums.sum()), *first], pa.int64()), "different": pa.array([int((sums > 0).sum()), *first], pa.int64())})
+        return pa.table({"kind": met.column("kind"), "slot": met.column("slot"), "hub": met.column("hub"), "block": met.column("block"), "values": own, "total": pa.array([total, *first], pa.int64()), "different": pa.array([different, *first], pa.int64())})
 
     def hand_on(met: pa.Table, told_: pa.Table) -> pa.Table:
         if not met.num_rows:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import exchange, textkit
-from tokenguard.llm.common import crc_mod, slices, table
+from tokenguard.llm.common import crc_mod, give_back, slices, table
 from tokenguard.llm.exchange import counted, told, unpack
 
 ORDER = 5
@@ -69,6 +69,21 @@ def place(kind: str, keys: np.ndarray, parts: int) -> np.ndarray:
     return (textkit.mix(near) % U(parts)).astype(np.int64)
 
 
+def near(kind: str, keys: np.ndarray) -> np.ndarray:
+    """What runs that are answered together have alike: the three symbols before the predicted one. Longer contexts are then
+    whole; the next shorter ones come from pair_runs."""
+    return (keys >> U(BITS)) & U((1 << 3 * BITS) - 1) if kind == "run" else keys
+
+
+def pair_runs(kind: str, sent: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
+    """Of runs: those of the last two context symbols, with their counts in training documents, which are few."""
+    if kind != "run":
+        return ()
+    found = [counted(keys & U((1 << 3 * BITS) - 1), n.astype(np.int64)) for keys, n in zip(sent, counts, strict=True)]
+    keys, sums = exchange.summed(found)
+    return keys[sums > 0], sums[sums > 0]
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Bytes, offsets and training flags of slices of a block, and the first row of each."""
     at = 0
@@ -88,8 +103,8 @@ def vocabulary(batch: pa.RecordBatch) -> Iterator[exchange.Keys]:
             once, n = np.unique(keys[learned], return_counts=True)
             others = np.unique(keys[~learned])
             kept[kind].append(counted(np.concatenate([once, others]), np.concatenate([n, np.zeros(len(others), np.int64)])))
-    for kind, found in kept.items():
-        yield kind, *counted(np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)]))
+    for kind in list(kept):
+        yield kind, *exchange.summed(kept.pop(kind))
 
 
 def pair_counts(batch: pa.RecordBatch) -> bytes:
@@ -105,12 +120,13 @@ def pair_counts(batch: pa.RecordBatch) -> bytes:
 class Trie:
     """Counts of one partition's contexts, for all orders."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: np.ndarray):
-        """keys, counts: distinct runs of training documents; low: counts of pairs, context x symbol."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: np.ndarray, second: tuple[np.ndarray, np.ndarray] | None = None):
+        """keys, counts: distinct runs of training documents; low: counts of pairs, context x symbol; second: keys and counts of
+        the runs of two context symbols, where keys does not hold all that end in these."""
         self.low = low
         self.level = {}
         for j in range(ORDER, 1, -1):
-            keys, counts = counted(keys & U((1 << BITS * (j + 1)) - 1), counts)
+            keys, counts = second if second and j == 2 else counted(keys & U((1 << BITS * (j + 1)) - 1), counts)
             # contexts of one order, with the sum and the number of their symbols
             by = keys >> U(BITS)
             first = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
@@ -202,10 +218,10 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
     shared = spark.sparkContext.broadcast(low)
     kinds = {"run": "<f8", "word": "<i8"}
 
-    def answer(kind: str, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return Trie(keys[sums > 0], sums[sums > 0], shared.value).log_probs(keys) if kind == "run" else sums
+    def answer(kind: str, keys: np.ndarray, sums: np.ndarray, *second: np.ndarray) -> np.ndarray:
+        return Trie(keys[sums > 0], sums[sums > 0], shared.value, second).log_probs(keys) if kind == "run" else sums
 
-    answers, sums = exchange.ask(blocks, kinds, vocabulary, place, answer, parts)
+    answers, sums = exchange.ask(blocks, kinds, vocabulary, place, answer, parts, near, pair_runs)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = unpack(left.column("packed")[0].as_py())
@@ -224,6 +240,8 @@ def score(docs: DataFrame, train: str) -> tuple[DataFrame, int, int]:
                 counts, row = value["word"][find["word"](words.hashes)], np.repeat(np.arange(len(flags)), words.counts())
                 base[here], known[here] = np.bincount(row, np.log10(counts + 1.0), len(flags)), np.bincount(row, counts > 0, len(flags))
             words_of[here] = words.counts()
+        del find, value
+        give_back()
         return pa.table({"doc_id": batch.column(0), "train": batch.column(1), "n_words": words_of, "n_known": known, "base": base, "score": scores / np.log(10)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
