@@ -421,7 +421,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         by_sums = met_sums.select(F.col("uid").alias("u"), F.col("hub").alias("v"), (F.col("more") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("n"))
         hubs = summed.select(F.col("anchor_a").alias("u"), F.col("anchor_b").alias("v"), F.lit(0).cast("long").alias("n"))
         by_sums = materialize(by_sums.unionByName(hubs))
-        skip = summed.where("a <> b").select("a", "b")
+        skip = summed.select("a", "b")
     else:
         by_sums, skip = None, None
         pairs = pairs.select("a", "b")
@@ -432,11 +432,11 @@ def near_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     members = points.join(homes, "node").withColumn("own", F.concat("own", F.lit("."), F.pmod(F.xxhash64("uid"), F.col("pieces")).cast("string")))
     both = cells.select("i", "j", F.col("i").alias("own")).unionByName(cells.where("i <> j").select("i", "j", F.col("j").alias("own")))
     sent = members.select("own", "node", "uid", "copies", "x").join(both, "own").repartition(max(1, min(4 * n_cells, 20_000)), "i", "j")
-    # pairs of leaves that were counted by their sums, for the cells that hold both
+    # pairs of leaves, also of one with itself, that were counted by their sums, for the cells that hold both
     if skip is None:
         skipped = cells.limit(0).select("i", "j", F.lit("").alias("a"), F.lit("").alias("b"))
     else:
-        place = lambda k: homes.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).cast("string").alias(f"piece_{k}"))
+        place = lambda k: homes.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1).cast("array<string>")).alias(f"piece_{k}"))
         one, two = (F.concat(f"own_{k}", F.lit("."), f"piece_{k}") for k in "ab")
         skipped = skip.join(place("a"), "a").join(place("b"), "b").select(F.least(one, two).alias("i"), F.greatest(one, two).alias("j"), "a", "b").join(cells, ["i", "j"], "left_semi")
 
@@ -454,8 +454,9 @@ def near_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         left, right = ([(node, t) for (own, node), t in trees.items() if own == side] for side in (i, j))
         gone = {frozenset(x) for x in zip(without.column("a").to_pylist(), without.column("b").to_pylist(), strict=True)}
         if i == j:
-            for _, t in left:
-                found.within(t)
+            for node, t in left:
+                if frozenset((node,)) not in gone:
+                    found.within(t)
         if not gone:
             level = Level(t for _, t in left)
             found.between(level, level if i == j else Level(t for _, t in right))
