@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import textkit
-from tokenguard.llm.common import bounded_batches, bounded_sample, crc_mod, slices, table
+from tokenguard.llm.common import bounded_batches, bounded_sample, crc_mod, give_back, slices, table
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -81,6 +81,8 @@ def predict(df: DataFrame, languages: list[str], log_probs: np.ndarray, sharpnes
             odds = np.exp(totals)
             seen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool) & bool(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], pa.string()), pa.array(np.where(seen, odds.max(1) / odds.sum(1), 0.0))], ["kept", "lang_pred", "score"])
+            del buckets, rows, keys, counts, row, bucket, totals, odds
+        give_back()
 
     letters = has_letter(F.col("text")).alias("letters")
     own = df.select(F.struct(*names_kept).alias("kept"), letters, *([] if inside is not None else ["text"]))

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenguard.llm import exchange, textkit
-from tokenguard.llm.common import materialize, slices, table
+from tokenguard.llm.common import give_back, materialize, slices, table
 from tokenguard.llm.graph import components
 
 BLOCK = 768  # documents of a block in a ring that is split
 DIRECT = 256  # documents that are compared by one matrix product
+LARGE = 1 << 18  # shingles of a cell after which a worker gives its free memory back
 MANY = 65535  # frequencies from here on are alike: ties by hash
 
 
@@ -78,7 +79,10 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
         df = exchange.told(right, "shingle", "<u2")[back]  # parts are ranges: asked in the order of the keys
         sizes = np.diff(offsets)
         one, two = digests(hashes, offsets)
-        return pa.table({"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": sizes, "digest1": one, "digest2": two, "keys": pa.array(rarest(sizes, hashes, df, percent), pa.list_(pa.int64()))})
+        keys = pa.array(rarest(sizes, hashes, df, percent), pa.list_(pa.int64()))
+        del hashes, back, df
+        give_back()
+        return pa.table({"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": sizes, "digest1": one, "digest2": two, "keys": keys})
 
     done = blocks.select("block", "packed").groupBy("block").cogroup(answers.withColumnRenamed("block", "to").groupBy("to"))
     return materialize(done.applyInArrow(finish, "doc_id long, text_key long, n_shingles long, digest1 long, digest2 long, keys array<long>"))
@@ -92,6 +96,8 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             hashes, offsets = textkit.shingle_sets(textkit.Words(*textkit.flat(batch.column(0))), words)
             columns = [*(pa.array(x) for x in digests(hashes, offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, ["digest1", "digest2", "shingles"])
+            del hashes, offsets, columns
+        give_back()
 
     return docs.select("text").mapInArrow(run, "digest1 long, digest2 long, shingles array<long>")
 
@@ -241,6 +247,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             parts = [(np.flatnonzero(own & left), np.flatnonzero(~left)), (np.flatnonzero(~own & left), np.flatnonzero(own & ~left))]
         found = [x for a, b in parts for x in links(block, a, b, percent)]
         u, v = (np.concatenate([ids[x[i]] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        if len(every) > LARGE:
+            del block, found
+            give_back()
         return pa.Table.from_pylist([{"u": x, "v": y} for x, y in forest(u, v)], EDGE)
 
     edges = cells.groupBy("pivot", "ring", "i", "j").applyInArrow(run, "u long, v long")
