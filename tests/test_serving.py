@@ -160,6 +160,42 @@ def test_top_k_in_bounded_memory():
     assert got == {(q, int(t)) for q in range(50) for t in np.lexsort((np.arange(6_000), -similar[q]))[:5]}
 
 
+def test_top_k_compares_few_exactly(monkeypatch):
+    """Single precision sorts out almost all pairs; what is left, vectors of odd lengths and ties are compared exactly."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    asked, vectors = r.integers(0, 4, (600, 16)).astype(float), r.integers(0, 4, (20_000, 16)).astype(float)
+    asked[7], asked[8], vectors[11], vectors[12], vectors[13], vectors[14] = 0, 1e-170, 0, 1e-120, 1e200, np.nan
+    vectors[15_000:15_200] = asked[20] * 2  # more ties than are asked for
+    names, compared = r.permutation(20_000), []
+    own = R.exactly_rounded
+    monkeypatch.setattr(R, "exactly_rounded", lambda x, digits: (compared.append(x.size), own(x, digits))[1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[a : a + 5000]), pa.array(list(vectors[a : a + 5000]), pa.list_(pa.float64()))], ["t", "v"]) for a in range(0, 20_000, 5000)]
+    (out,) = R.best_of(iter(batches), asked, 5, 4)
+    got = set(zip(*(out.column(i).to_pylist() for i in range(3))))
+    with np.errstate(all="ignore"):
+        similar = asked @ vectors.T / (np.sqrt(np.square(asked).sum(1))[:, None] * np.sqrt(np.square(vectors).sum(1)))
+    similar[~np.isfinite(similar)] = -np.inf
+    similar = np.round(similar, 4)
+    want = {(q, int(names[t]), None if similar[q, t] == -np.inf else similar[q, t]) for q in range(600) for t in np.lexsort((names, -similar[q]))[:5]}
+    assert got == want
+    assert sum(compared) < 0.1 * similar.size  # all of them before
+
+
+def test_encoder_counts_words(spark):
+    import hashlib
+
+    texts = ["", None, "  a  B a\u2003c ", "x " * 500, "no \U0001f600 é É"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("v", R.hashing_encoder(F.col("t"), 8)).collect()
+    for r in rows:
+        want = [0.0] * 8
+        for w in (r["t"] or "").lower().split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert r["v"] == want
+
+
 def test_run_of_show_measures_latency(spark):
     chunks = V.corpus(event_log.synthetic_events(spark, 20)).withColumn("chunk_id", F.xxhash64("text")).withColumn("vector", R.hashing_encoder(F.col("text")))
     suite = spark.createDataFrame([("P", "poison", "intercepted"), ("G", "Compliance Review of CASE-10003", "grounded")], "id string, prompt string, expected string")

@@ -6,6 +6,7 @@ defaults are stand-ins, a hashing encoder and lexical overlap, and say nothing a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +24,22 @@ QUERY_BYTES = 64 << 20  # of the vectors of queries that meet the corpus at once
 
 def hashing_encoder(text: Column, dim: int = 64) -> Column:
     """Word counts by hash (of the MD5 digest); the zero vector for blank text."""
-    places = F.transform(T.split_spaces(F.lower(text)), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    return T.once(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double")))
+
+    @F.arrow_udf("array<double>")
+    def counts(words: pa.Array) -> pa.Array:
+        n, every = len(words), words.flatten().dictionary_encode()
+        places = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in every.dictionary.to_pylist()], np.int64)  # of each different word
+        rows = np.repeat(np.arange(n), words.value_lengths().to_numpy(zero_copy_only=False))
+        found = np.bincount(rows * dim + places[every.indices.to_numpy()], minlength=n * dim) if len(rows) else np.zeros(n * dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(found.astype(float)))
+
+    return counts(T.split_spaces(F.lower(text)))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
     """Share of the query's different words that the text holds."""
     q, t = (F.array_distinct(T.split_spaces(F.lower(x))) for x in (query, text))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0))
+    return T.once(F.struct(q.alias("q"), t.alias("t")), lambda x: F.coalesce(F.try_divide(F.size(F.array_intersect(x["q"], x["t"])).cast("double"), F.size(x["q"])), F.lit(0.0)))
 
 
 def exactly_rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -42,49 +51,103 @@ def exactly_rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return out
 
 
-TILE = (1024, 2048)  # questions and vectors that are compared at a time
+TILE = (512, 1024)  # questions and vectors that are compared at a time
+FIRST = 128  # vectors that are compared first, which leaves floors for the others
+
+
+class Best:
+    """The k best of some questions' rows by similarity and id, as (question, value, id) in this order."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.kept: tuple = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        self.new: list[tuple] = []  # not yet sorted in
+
+    def add(self, rows: np.ndarray, values: np.ndarray, names: np.ndarray) -> None:
+        self.new.append((rows, values, names))
+        if sum(len(x[0]) for x in self.new) >= len(self.kept[0]):
+            self.sort()
+
+    def sort(self) -> None:
+        rows, values, names = (np.concatenate([x for x in xs if len(x)]) for xs in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((names, -values, rows))
+        rows = rows[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+        self.kept, self.new = (rows[best], values[order][best], names[order][best]), []
+        at = np.searchsorted(self.kept[0], np.arange(len(self.floor) + 1))
+        full = np.flatnonzero(np.diff(at) == self.k)
+        self.floor[full] = self.kept[1][at[full + 1] - 1]
+
+
+def similarities(a: np.ndarray, b: np.ndarray, a_norms: np.ndarray, b_norms: np.ndarray, digits: int) -> np.ndarray:
+    """Of each row of a with the same row of b, rounded; -inf where there is none."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        found = np.einsum("ij,ij->i", a, b) / (a_norms * b_norms)
+    finite = np.isfinite(found)
+    found[~finite] = -np.inf
+    found[finite] = exactly_rounded(found[finite], digits)
+    return found
 
 
-def merged(kept: tuple | None, similar: np.ndarray, ids: np.ndarray, k: int) -> tuple:
-    """(question, value, id) of the k best of what is kept and the similarities to these ids, by question, value and id."""
-    n, m = similar.shape
-    floor = np.partition(similar, m - k, 1)[:, m - k] if m > k else np.full(n, -np.inf)
-    if kept is not None:
-        at = np.searchsorted(kept[0], np.arange(n + 1))
-        full = np.flatnonzero(np.diff(at) == k)
-        floor[full] = np.maximum(floor[full], kept[1][at[full + 1] - 1])
-    i, j = np.nonzero(similar >= floor[:, None])  # ties with the last stay: their ids decide
-    rows, values, names = i, similar[i, j], ids[j]
-    if kept is not None:
-        rows, values, names = (np.concatenate(x) for x in zip(kept, (rows, values, names), strict=True))
-    order = np.lexsort((names, -values, rows))
-    rows = rows[order]
-    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[best], values[order][best], names[order][best]
+def directions(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """In single precision, with NaN for rows whose length is no ordinary number."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return np.where(((norms > 1e-100) & (norms < 1e100))[:, None], x / norms[:, None], np.nan).astype(np.float32)
 
 
 def best_of(rows: Iterator[pa.RecordBatch], asked: np.ndarray, k: int, digits: int) -> Iterator[pa.RecordBatch]:
     """(question, tie, similarity) of the k rows (tie, vector) most similar to each of the questions, of all the batches.
-    Rows without a direction have no similarity and come last."""
-    norms = np.sqrt(np.square(asked).sum(1))
-    starts, (tall, wide) = range(0, len(asked), TILE[0]), TILE
-    kept: list[tuple | None] = [None] * len(starts)
+    Rows without a direction have no similarity and come last.
+
+    What single precision puts surely below a question's k-th best is not looked at again; the others, a few for each
+    question, are compared in double precision."""
+    with np.errstate(over="ignore"):
+        norms = np.sqrt(np.square(asked).sum(1))
+    slack = 0.5 * 10.0**-digits + (asked.shape[1] + 8) * 2.0**-23  # rounding to digits, and that of sums in single precision
+    blank = norms == 0  # such questions have the smallest ids as their best, whatever the vectors
+    live = np.flatnonzero(~blank)
+    groups = [(mine, directions(asked[mine], norms[mine]), Best(len(mine), k)) for mine in (live[a : a + TILE[0]] for a in range(0, len(live), TILE[0]))]
+    room = np.empty(TILE[0] * TILE[1], np.float32)
+    least = np.zeros(0, np.int64)
+    started = False
     for batch in rows:
         if not batch.num_rows:
             continue
         vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-        lengths, names = np.sqrt(np.square(vectors).sum(1)), np.array(batch.column(0).to_pylist())
-        for a in range(0, len(vectors), wide):
-            part = slice(a, a + wide)
-            for i, start in enumerate(starts):
-                mine = slice(start, start + tall)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    similar = (asked[mine] @ vectors[part].T) / (norms[mine, None] * lengths[None, part])
-                finite = np.isfinite(similar)
-                similar[~finite] = -np.inf
-                similar[finite] = exactly_rounded(similar[finite], digits)
-                kept[i] = merged(kept[i], similar, names[part], k)
-    found = [(rows + start, values, names) for start, (rows, values, names) in ((s, x) for s, x in zip(starts, kept, strict=True) if x is not None)]
+        names = np.array(batch.column(0).to_pylist())
+        with np.errstate(over="ignore"):
+            lengths = np.sqrt(np.square(vectors).sum(1))
+        ways = directions(vectors, lengths)
+        odd = np.flatnonzero(np.isnan(ways).any(1) & (lengths != 0))  # too long, too short or no number: always compared
+        ways[lengths == 0] = 0
+        if blank.any():
+            least = np.sort(np.concatenate([least, names]) if len(least) else names)[:k]
+        at = 0
+        while at < len(vectors):
+            part = slice(at, at + (TILE[1] if started else min(FIRST, TILE[1])))
+            at, started = part.stop, True
+            own = odd[(odd >= part.start) & (odd < part.stop)] - part.start
+            none = np.flatnonzero(lengths[part] == 0)
+            for mine, quick, best in groups:
+                near = np.matmul(quick, ways[part].T, out=room[: len(mine) * (wide := len(ways[part]))].reshape(len(mine), wide))
+                near[:, none] = -np.inf
+                near[:, own] = np.nan
+                bound = (best.floor - slack).astype(np.float32)
+                some = np.flatnonzero(~(near.max(1) < bound))  # not below: also where it is no number
+                i, j = np.divmod(np.flatnonzero(~(near[some] < bound[some, None])), wide)
+                for a in range(0, len(i), 1 << 16):
+                    own_i, v = some[i[a : a + (1 << 16)]], j[a : a + (1 << 16)] + part.start
+                    q = mine[own_i]
+                    value = similarities(asked[q], vectors[v], norms[q], lengths[v], digits)
+                    on = value >= best.floor[own_i]  # ties with the last stay: their ids decide
+                    if on.any():
+                        best.add(own_i[on], value[on], names[v[on]])
+    for _, _, best in groups:
+        if best.new:
+            best.sort()
+    found = [(mine[best.kept[0]], *best.kept[1:]) for mine, _, best in groups if len(best.kept[0])]
+    if len(least):
+        found.append((np.repeat(np.flatnonzero(blank), len(least)), np.full(blank.sum() * len(least), -np.inf), np.tile(least, blank.sum())))
     question, values, names = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     yield pa.RecordBatch.from_arrays([pa.array(question, pa.int64()), pa.array(names.tolist()) if len(values) else pa.array([], pa.int64()), pa.array(values.astype(float), pa.float64(), mask=~np.isfinite(values.astype(float)))], ["_question", "_tie", "similarity"])
 
@@ -123,7 +186,8 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4, tie: s
 def rerank(hits: DataFrame, k: int, cross: Column, tie: str = "chunk_id", share: float = params.Retrieval().rerank_share) -> DataFrame:
     """The k hits of each query with the highest fused score; cross is the reranker's score of a hit."""
     best = Window.partitionBy("query_id").orderBy(F.desc("fused"), tie)
-    scored = hits.withColumn("cross_score", N.rounded(cross, 4)).withColumn("fused", N.fused(cross, F.col("similarity"), share))
+    scored = hits.withColumn("_cross", cross)  # computed once
+    scored = scored.withColumns({"cross_score": N.rounded(F.col("_cross"), 4), "fused": N.fused(F.col("_cross"), F.col("similarity"), share)}).drop("_cross")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

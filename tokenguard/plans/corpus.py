@@ -17,7 +17,7 @@ from tokenguard.operators import uncertainty as U
 from tokenguard.plans.registry import SQL, query, quoted, table
 from tokenguard.plans.streams import SPACE, moments_sql
 from tokenguard.sources import event_log
-from tokenguard.sources.shared import new_folder
+from tokenguard.sources.shared import materialize, new_folder
 from tokenguard.streaming import monitor
 
 EMAIL_SQL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
@@ -155,8 +155,10 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 
 def coded(chunks: DataFrame) -> DataFrame:
-    """Chunks by the digest of their text, with the stand-in encoder's vectors."""
-    return chunks.withColumn("chunk_id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")).dropDuplicates(["chunk_id"]).withColumn("vector", R.hashing_encoder(F.col("text")))
+    """Chunks by the digest of their text, with the stand-in encoder's vectors. They are written once: a search reads them in
+    each of its rounds, and again for the texts it has found."""
+    known = chunks.withColumn("chunk_id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")).dropDuplicates(["chunk_id"])
+    return materialize(known.withColumn("vector", R.hashing_encoder(F.col("text"))))
 
 
 @query("retrieve_text", f"""WITH {EVENTS}, asked AS (SELECT conv_id || '-' || turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
