@@ -52,3 +52,9 @@ def test_retrieve_text_asks_for_every_user_turn(spark):
     hits = corpus.retrieve_text(spark, SMALL).groupBy("query_id").count().collect()
     asked = spark.read.parquet(f"{SMALL}/conversations.parquet").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id")).collect()
     assert {r["query_id"] for r in hits} == {r["id"] for r in asked} and all(r["count"] == params.Retrieval().top_k for r in hits)
+
+
+def test_draft_logprob_takes_no_join(spark):
+    """Turns are short: nothing is there that Spark could broadcast through the driver."""
+    plan = streams.draft_logprob(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.lstrip(" +:-").startswith("Join ")]
